@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from kindred.llm.mixing import op10_mixing
 from kindred.llm.simhash import op7_simhash
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
-    found = [op7_simhash]
+    found = [op7_simhash, op10_mixing]
     return {f.__name__: f for f in found}
 
 
