@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from kindred.llm.fingerprint import op1_fingerprints
+from kindred.llm.licenses import op2_licenses
 from kindred.llm.mixing import op10_mixing
 from kindred.llm.packing import op4_packing
 from kindred.llm.simhash import op7_simhash
@@ -13,7 +15,7 @@ from kindred.llm.tokenfile import op3_token_file
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
-    found = [op3_token_file, op4_packing, op7_simhash, op10_mixing]
+    found = [op1_fingerprints, op2_licenses, op3_token_file, op4_packing, op7_simhash, op10_mixing]
     return {f.__name__: f for f in found}
 
 
