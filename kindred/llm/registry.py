@@ -13,10 +13,11 @@ from kindred.llm.packing import op4_packing
 from kindred.llm.secrets import op6_secrets
 from kindred.llm.simhash import op7_simhash
 from kindred.llm.tokenfile import op3_token_file
+from kindred.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
-    found = [op1_fingerprints, op2_licenses, op3_token_file, op4_packing, op6_secrets, op7_simhash, op10_mixing]
+    found = [op1_fingerprints, op2_licenses, op3_token_file, op4_packing, op6_secrets, op7_simhash, op9_toxicity, op10_mixing]
     return {f.__name__: f for f in found}
 
 
