@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: dict[int, int], id_col: str = "doc_id", text_co
     weights = np.array([w for w, _ in plain] + [OTHER])
     mass = np.array([c for _, c in plain] + [max(n0 - sum(c for _, c in plain), 1.0)])
     rough = Model(lexicon, _root(weights, mass / mass.sum()), 0.0, 1.0)
-    seen = score(docs, rough, id_col, text_col, only=labels).select("doc_id", "statistic").collect()
+    seen = score(docs, rough, id_col, text_col, only=labels).groupBy("doc_id").agg(F.max("statistic").alias("statistic")).collect()
     x, y = np.array([r["statistic"] for r in seen]), np.array([labels[r["doc_id"]] for r in seen], float)
     return Model(lexicon, rough.rate, *_logistic(x, (y > 0).astype(float)))
 
