@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from kindred.llm.fingerprint import op1_fingerprints
 from kindred.llm.licenses import op2_licenses
 from kindred.llm.mixing import op10_mixing
+from kindred.llm.neighbours import op8_neighbours
 from kindred.llm.packing import op4_packing
 from kindred.llm.quality import op5_quality
 from kindred.llm.secrets import op6_secrets
@@ -18,7 +19,7 @@ from kindred.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
-    found = [op1_fingerprints, op2_licenses, op3_token_file, op4_packing, op5_quality, op6_secrets, op7_simhash, op9_toxicity, op10_mixing]
+    found = [op1_fingerprints, op2_licenses, op3_token_file, op4_packing, op5_quality, op6_secrets, op7_simhash, op8_neighbours, op9_toxicity, op10_mixing]
     return {f.__name__: f for f in found}
 
 
