@@ -99,7 +99,7 @@ def _best_start(rated: DataFrame) -> DataFrame:
     return rated.groupBy("key").agg(F.array_min(off)["start"].alias("start"))
 
 
-def mix(rows: DataFrame, id_col: str, source_col: str, size_col: str, most: float = MOST) -> DataFrame:
+def mix(rows: DataFrame, id_col: str, source_col: str, size: Column, most: float = MOST) -> DataFrame:
     """Every row with ``source_size``, ``target``, ``rate`` and ``copies``, the number of times the mix takes it.
 
     The row itself comes back whole in the struct column ``row``, so its column names
@@ -107,8 +107,7 @@ def mix(rows: DataFrame, id_col: str, source_col: str, size_col: str, most: floa
     are taken once and weigh nothing; ties and repeated ids are rows like any other; an
     empty table gives no rows. Equal input gives equal copies on every run.
     """
-    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
-    keyed = keyed.select("row", _key(F.col("row")[source_col]).alias("key"), F.col("row")[size_col].alias("size"), F.pmod(F.xxhash64(F.col("row")[id_col].cast("long")), F.lit(RANK_BUCKETS)).alias("bucket"))
+    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), _key(F.col(source_col)).alias("key"), size.alias("size"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(RANK_BUCKETS)).alias("bucket"))
     buckets = materialise(keyed.groupBy("key", "size", "bucket").agg(F.count("*").alias("n")), "sizes")
     sizes = materialise(buckets.groupBy("key", "size").agg(F.sum("n").alias("n")), "sizes")
     solved = tilts(sizes, targets(sizes, most), most)
@@ -130,7 +129,13 @@ def mix(rows: DataFrame, id_col: str, source_col: str, size_col: str, most: floa
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``mix`` of documents by their number of words; ``(doc_id, size, source_size, target, rate, copies)``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    return mix(materialise(rows, "words"), "doc_id", "source", "size").select("row.doc_id", "row.size", "source_size", "target", "rate", "copies")
+    return mix(materialise(rows, "words"), "doc_id", "source", F.col("size")).select("row.doc_id", "row.size", "source_size", "target", "rate", "copies")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: every row as often as it is taken, with its own columns; rows not taken are left out."""
+    found = mix(docs, id_col, source_col, word_count(F.col(text_col))).filter("copies > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.llm.common import map_rows, partitions, table
 from kindred.operators.components import connected_components
@@ -56,17 +56,21 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row, ``fp`` the SimHash as a signed long; null texts count as empty."""
+    """``(doc_id, text_hash, fp)`` for every row: the text's XXH64 and its SimHash as signed longs; null texts count as empty."""
 
     def make():
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [_signed(simhash(t or "")) for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
         return kernel
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_hash(F.col(text_col)).alias("text_hash"))
+    return map_rows(rows, make, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 #: The pairs (i, j), i < j, of positions 1..31 with i xor j = s, for each syndrome s.
@@ -210,19 +214,41 @@ def near_links(distinct: DataFrame, threshold: int = THRESHOLD, tile: int = TILE
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``(doc_id, fp, component_id)``: every row with its fingerprint and the smallest id reachable over links.
+    """``(doc_id, text_hash, fp, component_id)``: every row with the smallest id reachable over links.
 
     Equal fingerprints are collapsed to one before anything is compared, so a group of
     copies of any size costs one row. Null and empty texts have fingerprint zero and
-    link like any other; repeated ids keep a row each; an empty table gives no rows.
+    link like any other; repeated ids keep a row each; null ids never name a component
+    unless all its ids are null; an empty table gives no rows.
     """
     docs_fp = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialise(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     labels = connected_components(near_links(distinct.repartition(partitions(docs.sparkSession), "fp"), threshold))
     labelled = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = materialise(labelled.join(smallest, "component").select("fp", "component_id"), "classes")
-    return docs_fp.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = materialise(labelled.join(smallest, "component").select("fp", "component", "component_id"), "classes")
+    return docs_fp.join(classes, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but one for each component only: that of the smallest id.
+
+    Among rows with that id the one with the smallest hash of its text stays, and of
+    equal rows one. What goes is decided on ids and hashes; texts are joined once.
+    """
+    key, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), _text_hash(F.col(text_col))
+    rows = near_duplicates(docs, id_col, text_col, threshold)
+    rows = materialise(rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "component"), "members")
+    first = F.min(F.struct("no_id", "k", "text_hash")).alias("first")
+    kept = rows.groupBy("component").agg(first).select(F.col("first.k").alias("k"), F.col("first.text_hash").alias("text_hash"))
+    gone = rows.join(kept, ["k", "text_hash"], "left_anti").select("k", "text_hash").distinct()
+    out = docs.join(gone, (key == gone["k"]) & (text_hash == gone["text_hash"]), "left_anti")
+    repeated = materialise(rows.groupBy("k", "text_hash").count().filter("count > 1").join(kept, ["k", "text_hash"], "left_semi"), "repeated")
+    if repeated.isEmpty():
+        return out
+    again = (key == repeated["k"]) & (text_hash == repeated["text_hash"])
+    once = out.join(repeated, again, "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(repeated, again, "left_anti").unionByName(once)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
