@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kindred.llm.common import map_rows, table
-from kindred.llm.tokens import Encoder, crc32
+from kindred.llm.tokens import crc32, encoder
 from kindred.plans.storage import materialise
 
 CAPACITY = 4096
@@ -99,12 +99,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     """``(doc_id, piece, start, length, ids_crc32)``: each text's ids and ``end_id``, cut where longer than ``capacity``."""
 
     def make():
-        encoder = Encoder(tokenizer, by_word)
+        own = encoder(tokenizer, by_word)
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for d, e in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                ids = encoder.ids(e, end_id)
+            for d, e in zip(batch.column("doc_id").to_pylist(), own.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                ids = own.ids(e, end_id)
                 out += [(d, k, lo, min(capacity, len(ids) - lo), crc32(ids[lo : lo + capacity])) for k, lo in enumerate(range(0, len(ids), capacity))]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

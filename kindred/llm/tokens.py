@@ -6,6 +6,8 @@ import os
 import re
 import zlib
 from array import array
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 #: Vocabulary file that the registered queries use.
 WORD_BPE = "word_bpe_49k.json"
 #: Entries in one generation of a worker's cache; it holds two.
-KEPT = 400_000
+KEPT = 600_000
 #: Letters that the tokenizer lowers one by one and never joins with a neighbour, between marks that group by themselves.
 _PLAIN = re.compile("([-.,!?;:#$%&*|\"()\\[\\]{}_/=+]*)([A-Za-zÀ-ÖØ-öø-įı-ǃ]+)([-.,!?;:#$%&*|\"()\\[\\]{}_/=+]*)")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -57,16 +59,18 @@ class Encoder:
         return wanted
 
     def _learn(self, unseen: set[str]) -> None:
+        # Words in plain lower case stand for themselves; the rest is looked at closer.
+        plain = [c for c in unseen if c.isascii() and c.isalpha() and c.islower()]
         match = _PLAIN.fullmatch
-        found = [(c, match(c)) for c in unseen]
+        found = [(c, match(c)) for c in unseen.difference(plain)]
         odd = [c for c, m in found if m is None]
         parts = [(c, m[1], m[2].lower(), m[3]) for c, m in found if m is not None]
-        words = list(self._recall({w for _, _, w, _ in parts}))
-        self.new.update(zip(words, self._encoded(self.lettered, words), strict=True))
-        marks = [m for m in self._recall({m for _, h, _, t in parts for m in (h, t)} | set(odd)) if m]
-        self.new.update(zip(marks, self._encoded(self.full, marks), strict=True))
-        self.new[""] = b""
+        words = [*plain, *self._recall({w for _, _, w, _ in parts}.difference(plain))]
         new = self.new
+        new.update(zip(words, self._encoded(self.lettered, words), strict=True))
+        marks = [m for m in self._recall({m for _, h, _, t in parts for m in (h, t)}.union(odd)) if m]
+        new.update(zip(marks, self._encoded(self.full, marks), strict=True))
+        new[""] = b""
         new.update([(c, new[h] + new[w] + new[t]) for c, h, w, t in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -75,17 +79,27 @@ class Encoder:
         if len(self.new) > self.kept:
             self.old, self.new = self.new, {}
         split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
-        unseen = self._recall({c for chunks in split if chunks for c in chunks})
+        unseen = self._recall(set(chain.from_iterable(chunks for chunks in split if chunks)))
         if unseen:
             self._learn(unseen)
         known = self.new.__getitem__
         return [self._encoded(self.full, [t])[0] if chunks is None else b"".join(map(known, chunks)) for t, chunks in zip(texts, split, strict=True)]
 
+    def raw(self, encoded: bytes, *more: int) -> np.ndarray:
+        """The ids in the width they are held in, followed by ``more``."""
+        return np.frombuffer(encoded + array(self.code, more).tobytes(), self.dtype)
+
     def ids(self, encoded: bytes, *more: int) -> np.ndarray:
         """The ids as unsigned 32-bit integers, followed by ``more``."""
         return np.concatenate([np.frombuffer(encoded, self.dtype), np.array(more, self.dtype)]).astype("<u4")
 
 
+@cache
+def encoder(path: str | None = None, by_word: bool = True) -> Encoder:
+    """One encoder for each worker process, so that later tasks find its cache warm."""
+    return Encoder(path, by_word)
+
+
 def crc32(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
