@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kindred.llm.common import partitions, slices, table
-from kindred.llm.tokens import Encoder, crc32
+from kindred.llm.tokens import crc32, encoder
 from kindred.plans.storage import fresh_path
 
 MAGIC = b"KTF1"
@@ -43,7 +43,7 @@ def bits_for(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """``bits`` bits for each id, least significant first, padded to a whole byte."""
     if bits in (8, 16, 32):
-        return ids.astype(f"<u{bits // 8}").tobytes()
+        return ids.astype(f"<u{bits // 8}", copy=False).tobytes()
     planes = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=bits)
     return np.packbits(planes.ravel(), bitorder="little").tobytes()
 
@@ -112,8 +112,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     dealt = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, by_word)
-        bits, part, seq = bits_for(max(encoder.vocabulary, end_id + 1)), TaskContext.get().partitionId(), 0
+        words = encoder(tokenizer, by_word)
+        bits, part, seq = bits_for(max(words.vocabulary, end_id + 1)), TaskContext.get().partitionId(), 0
         own: list[int | None] = []
         ids: list[np.ndarray] = []
         held = 0
@@ -124,9 +124,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         for batch in batches:
             for cut in slices(batch):
-                for d, e in zip(cut.column("doc_id").to_pylist(), encoder.encode([t or "" for t in cut.column("text").to_pylist()]), strict=True):
+                for d, e in zip(cut.column("doc_id").to_pylist(), words.encode([t or "" for t in cut.column("text").to_pylist()]), strict=True):
                     own.append(d)
-                    ids.append(encoder.ids(e, end_id))
+                    ids.append(words.raw(e, end_id))
                     held += len(ids[-1])
                     if held >= segment_ids:
                         yield segment()
