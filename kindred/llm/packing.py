@@ -132,7 +132,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches):
         found = shared.value
-        span = int(found[:, 1].max()) + 1 if len(found) else 1
+        span = int((found[:, 1] + found[:, 2]).max()) if len(found) else 1  # ranks are below it
         keys = found[:, 0] * span + found[:, 1]
         order = np.argsort(keys)
         keys, found = keys[order], found[order]
