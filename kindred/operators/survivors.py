@@ -38,7 +38,8 @@ def unique_targets(wanted: DataFrame, existing: DataFrame | None = None, rounds:
 
     ``existing`` holds names already there as ``dir, name``. Each round numbers the
     rows that want one name by ``ord``, places those whose numbered name is free, and
-    sends the rest, which meet a name that someone else holds, round again.
+    sends the rest, which meet a name that someone else holds, round again. A name as it
+    was wanted goes before one with a number.
     """
     taken = None if existing is None else existing.select("dir", F.col("name").alias("target_name"))
     empty = wanted.select("ord", "path", "dir", F.col("name").alias("target_name")).limit(0)
