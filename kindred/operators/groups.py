@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from kindred.functions.scalars import hamming
 from kindred.operators.components import connected_components
 from kindred.plans.options import ScanOptions
+from kindred.plans.order import global_rank
 
 #: Order of the methods in numbering and reports.
 METHOD_ORDER = ("exact", "perceptual", "feature", "video", "semantic")
@@ -43,8 +44,8 @@ def exact_groups(files: DataFrame, scope: str = "scope", key: str = "md5", order
 
 
 def number_groups(groups: DataFrame, *order: Column) -> DataFrame:
-    """Dense ``group_id`` from 1 over the (small) table of groups."""
-    return groups.withColumn("group_id", F.row_number().over(W.orderBy(*order)).cast("long"))
+    """Dense ``group_id`` from 1 over the table of groups, in the given order."""
+    return global_rank(groups, "group_id", *order)
 
 
 def method_rank(method: Column) -> Column:
@@ -133,4 +134,4 @@ def all_groups(*tables: tuple[str, DataFrame]) -> DataFrame:
         multi = F.col("multi_account") if "multi_account" in groups.columns else F.lit(False)
         part = groups.select(F.lit(method).alias("method"), "first_ord", "n_files", "similarity", multi.alias("multi_account"))
         out = part if out is None else out.unionByName(part)
-    return number_groups(out, method_rank(F.col("method")), F.col("first_ord"))
+    return number_groups(out, F.asc(method_rank(F.col("method"))), F.asc("first_ord"))

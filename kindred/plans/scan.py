@@ -65,4 +65,4 @@ def scan_archives(hashes: DataFrame, options: ScanOptions = ScanOptions()) -> Da
     found, _ = perceptual(hashes, options)
     scopes = hashes.select(F.col("ord").alias("first_ord"), "scope")
     near = found.join(scopes, "first_ord").select("scope", F.lit("perceptual").alias("method"), "first_ord", "n_files", "similarity")
-    return G.number_groups(exact.unionByName(near), F.asc("scope"), G.method_rank(F.col("method")), F.asc("first_ord")).withColumnRenamed("scope", "archive")
+    return G.number_groups(exact.unionByName(near), F.asc("scope"), F.asc(G.method_rank(F.col("method"))), F.asc("first_ord")).withColumnRenamed("scope", "archive")

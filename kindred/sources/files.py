@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from kindred.functions import scalars as S
 from kindred.plans.options import ScanOptions
+from kindred.plans.order import global_rank
 
 
 def list_files(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("image",), content: bool = False) -> DataFrame:
     """Files of the given kinds under a folder (or one file): ``path, original_path, length, mtime, format, kind, source_type, source_group``.
 
     Without ``content`` the bytes are never read. Sizes and times reach the reader as
-    filters. A folder without such files gives no rows.
+    filters; files without any bytes are left out by the reader. A folder without such
+    files gives no rows.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     plain = F.regexp_replace("path", "^file:/*", "/")
@@ -32,16 +34,8 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def with_order(manifest: DataFrame) -> DataFrame:
-    """``ord``, the place by source and path, by ranges of paths: counts of the ranges before, then places within.
-
-    A path's range is its hash-free first characters, so no task sorts the whole table.
-    """
-    keyed = manifest.withColumn("__p", F.substring("path", 1, 64))
-    sizes = keyed.groupBy("source_ord", "__p").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("source_ord", "__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("__before", before).drop("__n")
-    place = F.row_number().over(W.partitionBy("source_ord", "__p").orderBy("path"))
-    return keyed.join(starts, ["source_ord", "__p"]).withColumn("ord", F.col("__before") + place - 1).drop("__p", "__before")
+    """With ``ord``, the place by source and path from 0."""
+    return global_rank(manifest, "ord", F.asc("source_ord"), F.asc("path"), first=0)
 
 
 def size_guards(files: DataFrame, most: int = ScanOptions.max_file_bytes) -> DataFrame:
