@@ -90,7 +90,7 @@ def explode_archives(archives: DataFrame, options: ScanOptions = ScanOptions(),
     if not media_only:
         return out
     image = S.kind(F.col("member")) == "image"
-    return out.filter(F.col("error_type").isNotNull() | (image & (F.col("source_group").isNull() | F.col("member").startswith("xl/media/"))))
+    return out.filter(F.col("member").isNull() | (image & (F.col("source_group").isNull() | F.col("member").startswith("xl/media/"))))
 
 
 def _placements(data: bytes) -> dict[str, int]:
