@@ -12,7 +12,7 @@ from kindred.plans.storage import materialise
 
 def perceptual(hashes: DataFrame, options: ScanOptions = ScanOptions(), exclude_exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(groups, members)`` of a table ``scope, ord, md5, h, tp``."""
-    near = hamming_edges(hashes, options.perceptual_threshold, exclude_exact=exclude_exact)
+    near = materialise(hamming_edges(hashes, options.perceptual_threshold, exclude_exact=exclude_exact), "near")
     edges = materialise(_with_top(near, hashes), "edges")
     members = materialise(G.components_of(edges), "members")
     return G.perceptual_groups(hashes, edges, members, options), members
