@@ -16,9 +16,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.common import map_rows, partitions, table
+from kindred.llm.likeness import near_copies, text_hash as _text_hash
 from kindred.operators.components import connected_components
 from kindred.plans.storage import materialise
 
@@ -69,10 +70,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(rows, make, "doc_id long, text_hash long, fp long")
 
 
-def _text_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 #: The pairs (i, j), i < j, of positions 1..31 with i xor j = s, for each syndrome s.
 _PAIRS = [[(i, i ^ s) for i in range(1, 32) if i < (i ^ s)] if s else [] for s in range(32)]
 
@@ -230,15 +227,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs_fp.join(classes, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, width: int = 5, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, but one for each component only: that of the smallest id.
 
+    Components are those of ``near_duplicates`` within ``threshold`` bits or, given a
+    ``similarity``, of pairs whose sets of ``width``-word shingles have that Jaccard
+    similarity or more.
     Among rows with that id the one with the smallest hash of its text stays, and of
     equal rows one. What goes is decided on ids and hashes; texts are joined once.
     """
     key, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), _text_hash(F.col(text_col))
-    rows = near_duplicates(docs, id_col, text_col, threshold)
-    rows = materialise(rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "component"), "members")
+    if similarity is None:
+        rows = near_duplicates(docs, id_col, text_col, threshold)
+        rows = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "component")
+    else:
+        rows = near_copies(docs, id_col, text_col, width, similarity)
+    rows = materialise(rows, "members")
     first = F.min(F.struct("no_id", "k", "text_hash")).alias("first")
     kept = rows.groupBy("component").agg(first).select(F.col("first.k").alias("k"), F.col("first.text_hash").alias("text_hash"))
     gone = rows.join(kept, ["k", "text_hash"], "left_anti").select("k", "text_hash").distinct()

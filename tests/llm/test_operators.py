@@ -382,6 +382,46 @@ def test_keep_one(spark, odd, odd_rows, empty):
     assert SH.keep_one(empty).count() == 0
 
 
+def jaccard(a, b, width=5):
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_at_a_similarity(spark, odd, empty):
+    """Planted copies, single and in a large group, against all pairs; the pipeline's stage keeps one of each component."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    made = []
+    for group in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([12, 60, 200]))]
+        for _ in range(60 if group == 0 else 4):
+            copy = list(base)
+            for _ in range(rng.randrange(0, max(2, len(base) // 30))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            made.append(" ".join(copy))
+    rng.shuffle(made)
+    root = list(range(len(made)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(made)):
+        for j in range(i):
+            if jaccard(made[i], made[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, DATA).collect()}
+    assert kept == {find(i) for i in range(len(made))}
+    assert len(kept) < SH.keep_one(df).count()
+    got = SH.keep_one(odd, width=5, similarity=0.8)
+    assert got.columns == odd.columns and sum(not (r["text"] or "").strip() for r in got.collect()) == 1
+    assert SH.keep_one(empty, similarity=0.8).count() == 0
+
+
 # 8. neighbours
 
 
