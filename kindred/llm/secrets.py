@@ -3,9 +3,9 @@
 Strong patterns (assignments, access key ids, long hexadecimal runs) are reported
 wherever they match. Weak candidates, an account name, a token-like run or an endpoint
 address, say nothing alone: within a scope, the lines between two blank lines, their
-spans are interval-joined with the complementary parts within a window, and a weak
-candidate is reported only as part of a credential that has both an identifier or
-endpoint and a secret.
+spans are interval-joined with the complementary parts, over the whole scope or within
+a window if one is given, and a weak candidate is reported only as part of a credential
+that has both an identifier or endpoint and a secret.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Weak candidates: identifiers by their names, endpoints, token-like runs.
 NAMED = re.compile(r"""(?<![A-Za-z0-9_])(?:access_?key(?:_?id)?|client_?id|account(?:_?(?:id|name))?|user(?:_?(?:id|name))?|login|tenant(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(r"""(?:https?|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[^\s"'<>]+""", re.ASCII)
-KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
 IDENTIFIERS, SECRETS = {"access", "identifier"}, {"assign", "hex", "key"}
 WEAK = {"identifier", "key", "endpoint"}
-#: Code points between two parts of one credential.
+#: Code points between two parts of one credential, for callers of ``linked`` that want a window; the query and the pipeline link over whole scopes.
 WINDOW = 400
 _BLANK = re.compile(r"\n[^\S\n]*\n")
 _HEX_ONLY = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
@@ -96,8 +96,9 @@ def _near(part: Span, others: list[Span], starts: list[int], longest: int, windo
     return False
 
 
-def linked(text: str, sure: list[Span], window: int = WINDOW) -> list[Span]:
-    """The weak candidates that belong to a credential."""
+def linked(text: str, sure: list[Span], window: int | None = WINDOW) -> list[Span]:
+    """The weak candidates that belong to a credential; without a window its parts may lie anywhere in the scope."""
+    window = len(text) if window is None else window
     weak = _weak(text, sure)
     if not weak:
         return []
@@ -119,7 +120,7 @@ def linked(text: str, sure: list[Span], window: int = WINDOW) -> list[Span]:
     return out
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = None) -> DataFrame:
     """``(doc_id, base, more)`` for every row, without a shuffle: spans ``(kind, start, end)`` in code points.
 
     ``base`` are the strong patterns' spans, ``more`` the linked weak candidates; both
@@ -158,7 +159,7 @@ def op6_secrets(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("more").cast("long").alias("n_linked"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = None) -> DataFrame:
     """The rows with all their columns, each span of the text replaced by ``[kind]``."""
     columns = docs.columns
 

@@ -307,6 +307,19 @@ def test_linking(spark, odd, odd_rows, empty):
     assert SC.secrets(odd).count() == len(odd_rows) and SC.secrets(empty).count() == 0
 
 
+def test_linking_takes_long_keys_and_whole_scopes(spark):
+    rng = random.Random(2)
+    key = "aZ9" + "".join(rng.choice("abcXYZ0189+/") for _ in range(340)) + "=="
+    parts = f"account_name: store7\n{key}\nhttps://api.example.com/v1"
+    assert [s.kind for s in sorted(SC.linked(parts, []))] == ["identifier", "key", "endpoint"]
+    far = f"client_id: svc-reporting\n{'plain words here ' * 100}\n{key}"
+    df = spark.createDataFrame([(1, parts), (2, far), (3, far.replace("\n", "\n\n"))], "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["more"]] for r in SC.secrets(df).collect()}
+    assert got == {1: ["identifier", "key", "endpoint"], 2: ["identifier", "key"], 3: []}
+    clean = {r["doc_id"]: r["text"] for r in SC.redact(df).collect()}
+    assert clean[1] == "[identifier]\n[key]\n[endpoint]" and key not in clean[2] and key in clean[3]
+
+
 # 7. near-duplicates
 
 
