@@ -41,11 +41,11 @@ NAMES = {
     "gpl-1": ("gpl|general", "(?:gnu )?(?:gpl|general public license)(?: version)? v?1(?: 0)?"),
     "gpl-2": ("gpl|general", "(?:gnu )?(?:gpl|general public license)(?: version)? v?2(?: 0)?"),
     "gpl-3": ("gpl|general", "(?:gnu )?(?:gpl|general public license)(?: version)? v?3(?: 0)?"),
-    "gpl": ("gpl|general", "(?:gnu gpl|gnu general public license|gpl)"),
+    "gpl": ("gpl|general", "(?:gnu )?(?:gpl|general public license)"),
     "lgpl-2": ("lgpl|lesser|library", "(?:gnu )?(?:lgpl|library general public license)(?: version)? v?2(?: 0)?"),
     "lgpl-2.1": ("lgpl|lesser", "(?:gnu )?(?:lgpl|lesser general public license)(?: version)? v?2 1"),
     "lgpl-3": ("lgpl|lesser", "(?:gnu )?(?:lgpl|lesser general public license)(?: version)? v?3(?: 0)?"),
-    "lgpl": ("lgpl|lesser", "(?:gnu )?(?:lgpl|lesser general public license)"),
+    "lgpl": ("lgpl|lesser|library", "(?:gnu )?(?:lgpl|(?:lesser|library) general public license)"),
     "agpl-3": ("agpl|affero", "(?:gnu )?(?:agpl|affero general public license)(?: version)? v?3(?: 0)?"),
     "agpl": ("agpl|affero", "(?:gnu )?(?:agpl|affero general public license)"),
     "gfdl": ("gfdl|documentation", "(?:gfdl|gnu free documentation license)"),
@@ -81,15 +81,31 @@ NAMES = {
 SETTINGS = (
     (0.99, "spdx license identifier {}"),
     (0.97, "licensed under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
-    (0.95, "(?:re)?(?:leased|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
+    (0.95, "(?:re)?(?:leased|distributed|published|available|modify it|modified) under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
     (0.9, "under (?:the )?(?:terms of (?:the )?)?{} licen[cs]e"),
-    (0.85, "(?:governed|covered) by (?:the )?{}(?: licen[cs]e)?"),
+    (0.85, "(?:governed by|covered by|subject to) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: licen[cs]e)?"),
     (0.8, "licen[cs]e (?:is )?(?:the )?{}"),
     (0.6, "(?:the )?{} licen[cs]e"),
 )
 
+#: Settings that end with the word license, which a name written out has itself.
+_TAILED = tuple(i for i, (_, setting) in enumerate(SETTINGS) if setting.endswith("{} licen[cs]e"))
+
+#: Texts of licenses: label, keyword, and the words by which it is known.
+BODIES = (
+    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("boost", "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "with or without fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted provided that"),
+    ("bsd-3", "neither the name", "neither the names? of (?:[^ ]+ ){1,12}may be used to endorse or promote products derived from this software"),
+    ("bsd-4", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("unlicense", "free and unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "public license", "do what the fuck you want to public license"),
+)
+
 #: Without any of these no rule and no phrase can match.
-_GATE = ("licen", "spdx", "cc by", "leased under", "distributed under", "published under", "available under", "governed by", "covered by")
+_GATE = ("licen", "spdx", "cc by", "leased under", "distributed under", "published under", "available under", "governed by", "covered by", "modify it under", "modified under", "subject to", *(keyword for _, keyword, _ in BODIES))
 #: Characters in a block of the index of findings already taken.
 _BLOCK = 256
 _WORDS = bytes(c if chr(c).isdigit() or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -106,10 +122,29 @@ class Rule:
     pattern: re.Pattern[str]
 
 
+def _versioned(name: str) -> str:
+    """With the ways to write a version: version 2, v2, v 2 0, gplv2, and that of the GNU notices."""
+    notice = "(?: as published by the free software foundation(?: either)?)?" if "general public" in name else ""
+    return re.sub(r"\(\?: version\)\? (?:v\?)?([0-9])", lambda m: f"{notice}(?: version)?(?: ?v)? ?{m[1]}", name)
+
+
+def _written(name: str) -> str | None:
+    """The name without its abbreviation, if the word license is in it."""
+    out = re.sub(r"\(\?:[a-z]+\|((?:[a-z]+ |\(\?:[a-z|]+\) )+licen(?:se|\[cs\]e))\)", r"\1", name).replace("(?: license)?", " license")
+    return out if "licen" in out and out != "unlicense" else None
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
-    """Every license in every setting, most certain setting first, and within one the names as listed."""
-    made = [(sure, label, keys, f"(?<= )(?:{setting.format(name)})(?= )") for sure, setting in SETTINGS for label, (keys, name) in NAMES.items()]
+    """Every license in every setting, most certain setting first, and within one the names as listed; then texts of licenses."""
+    made = []
+    for i, (sure, setting) in enumerate(SETTINGS):
+        for label, (keys, name) in NAMES.items():
+            said = setting.format(_versioned(name))
+            if i in _TAILED and (written := _written(name)):
+                said += "|" + setting.removesuffix(" licen[cs]e").format(_versioned(written))
+            made.append((sure, label, keys, f"(?<= )(?:{said})(?= )"))
+    made += [(0.98, label, key, f"(?<= ){words}(?= )") for label, key, words in BODIES]
     return tuple(Rule(i, label, sure, tuple(keys.split("|")), re.compile(p)) for i, (sure, label, keys, p) in enumerate(made))
 
 

@@ -112,6 +112,30 @@ def test_license_rules(odd, odd_rows, empty):
     assert L.licenses(odd).count() == len(odd_rows) and L.licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("notice", "label"),
+    [
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl-2"),
+        ("modify it under the terms of the GNU General Public License as published by", "gpl"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+        ("GNU General Public License version 3, 29 June 2007", "gpl-3"),
+        ("licensed under GPLv3", "gpl-3"),
+        ("licensed under LGPLv2.1", "lgpl-2.1"),
+        ("released under MPLv2", "mpl-2"),
+        ("GNU Affero General Public License", "agpl"),
+        ("GNU Library General Public License", "lgpl"),
+        ("the Eclipse Public License 2.0", "epl-2"),
+        ("Apache License Version 2.0, January 2004", "apache-2"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that", "bsd"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ],
+)
+def test_license_notices(notice, label):
+    line, _ = L.words_of(f"Words before. {notice} Words after.")
+    assert any(g in line for g in L._GATE) and [f.label for f in L.scan(line)] == [label]
+
+
 # 3. token files
 
 
