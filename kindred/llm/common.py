@@ -24,12 +24,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each cut holds a bounded number of rows and characters (one row at least)."""
     sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
-        if i > start and (i - start >= SLICE_ROWS or held + n > SLICE_CHARS):
+        if i > start and (i - start >= rows or held + n > SLICE_CHARS):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
@@ -37,13 +37,13 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         yield batch.slice(start)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: StructType | str, text: str = "text") -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: StructType | str, text: str = "text", rows: int = SLICE_ROWS) -> DataFrame:
     """``mapInArrow`` over slices: ``make`` runs once in each task and returns the kernel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, rows):
                 yield kernel(part)
 
     return df.mapInArrow(run, schema)

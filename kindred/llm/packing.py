@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kindred.llm.common import map_rows, table
-from kindred.llm.tokens import crc32, encoder
+from kindred.llm.tokens import ROWS, crc32, encoder, with_end
 from kindred.plans.storage import materialise
 
 CAPACITY = 4096
@@ -102,18 +102,23 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         own = encoder(tokenizer, by_word)
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for d, e in zip(batch.column("doc_id").to_pylist(), own.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                ids = own.ids(e, end_id)
-                out += [(d, k, lo, min(capacity, len(ids) - lo), crc32(ids[lo : lo + capacity])) for k, lo in enumerate(range(0, len(ids), capacity))]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            flat, bounds = with_end(*own.encode(batch.column("text")), end_id)
+            sizes = np.diff(bounds)
+            cuts = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), cuts)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            start = piece * capacity
+            length = np.minimum(capacity, sizes[doc] - start)
+            at = bounds[doc] + start
+            crcs = [crc32(flat[a:b]) for a, b in zip(at, at + length, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(c, t) for c, t in zip((piece, start, length, crcs), kinds, strict=True))], names)
 
         return kernel
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_rows(rows, make, "doc_id long, piece int, start long, length long, ids_crc32 long", rows=ROWS)
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

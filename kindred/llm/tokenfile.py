@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from kindred.llm.common import partitions, slices, table
-from kindred.llm.tokens import crc32, encoder
-from kindred.plans.storage import fresh_path
+from kindred.llm.common import map_rows, partitions, table
+from kindred.llm.tokens import ROWS, crc32, encoder, with_end
+from kindred.plans.storage import fresh_path, materialise
 
 MAGIC = b"KTF1"
 BLOCK_IDS = 4096
@@ -98,44 +98,87 @@ class Segment:
         return self.range(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, tokenizer: str | None = None, by_word: bool = True) -> DataFrame:
+    """``(doc_id, tie, n, ids)`` for every row, without a shuffle: its ids and ``end_id`` as bytes, and the hash of its text."""
+
+    def make():
+        own = encoder(tokenizer, by_word)
+        code = own.dtype if end_id >> 16 == 0 else np.dtype("<u4")
+
+        def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+            flat, bounds = with_end(*own.encode(batch.column("text")), end_id)
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds * code.itemsize), pa.py_buffer(flat.astype(code))])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(np.diff(bounds)), data.cast(pa.binary())], ["doc_id", "tie", "n", "ids"])
+
+        return kernel
+
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"))
+    return map_rows(rows, make, "doc_id long, tie long, n long, ids binary", rows=ROWS)
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, tokenizer: str | None = None, by_word: bool = True, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every whole text, append ``end_id`` and write segments in ascending id order.
 
-    One shuffle deals the texts by range of id; each task encodes its range and streams
-    segments of bounded size. Null texts count as empty (one id, the end); null ids come
-    first; rows with equal ids are ordered by the hash of their text and are all kept;
-    an empty table writes no segment.
+    Texts are encoded where they are read and never move; one shuffle deals their ids by
+    range of document id, and each task streams segments of bounded size. Null texts
+    count as empty (one id, the end); null ids come first; rows with equal ids are
+    ordered by the hash of their text and are all kept, equal rows in any order, dealt
+    to as many tasks as their number asks for; an empty table writes no segment.
     """
     spark = docs.sparkSession
-    tie = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", tie)
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    vocabulary = encoder(tokenizer, by_word).vocabulary
+    bits = bits_for(max(vocabulary, end_id + 1))
+    rows = materialise(encoded(docs, id_col, text_col, end_id, tokenizer, by_word), "ids").withColumn("nth", F.monotonically_increasing_id())
+    order = ["doc_id", "tie", "nth"]
+    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer, by_word)
-        bits, part, seq = bits_for(max(words.vocabulary, end_id + 1)), TaskContext.get().partitionId(), 0
+        part, seq, held = TaskContext.get().partitionId(), 0, 0
         own: list[int | None] = []
         ids: list[np.ndarray] = []
-        held = 0
 
         def segment() -> pa.RecordBatch:
             data = write_segment(own, ids, bits)
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_docs": len(own), "n_ids": held, "data": data}], schema)
+            row = {"part": part, "seq": seq, "first_id": own[0], "last_id": own[-1], "n_docs": len(own), "n_ids": held, "data": data}
+            return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for cut in slices(batch):
-                for d, e in zip(cut.column("doc_id").to_pylist(), words.encode([t or "" for t in cut.column("text").to_pylist()]), strict=True):
-                    own.append(d)
-                    ids.append(words.raw(e, end_id))
-                    held += len(ids[-1])
-                    if held >= segment_ids:
-                        yield segment()
-                        own, ids, held, seq = [], [], 0, seq + 1
+            for d, n, e in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
+                data = e.as_buffer()
+                own.append(d)
+                ids.append(np.frombuffer(data, f"<u{data.size // n}"))
+                held += n
+                if held >= segment_ids:
+                    yield segment()
+                    own, ids, held, seq = [], [], 0, seq + 1
         if own:
             yield segment()
 
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
-    dealt.select("doc_id", "text").mapInArrow(run, "part int, seq long, n_docs long, n_ids long, data binary").write.parquet(path)
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
+    dealt.select("doc_id", "n", "ids").mapInArrow(run, "part int, seq long, first_id long, last_id long, n_docs long, n_ids long, data binary").write.parquet(path)
+
+
+def read_documents(spark, path: str, doc_ids: list[int]) -> DataFrame:
+    """``(doc_id, ids)`` of the documents asked for, all rows of a repeated id.
+
+    Segments tell their first and last id in columns of their own, whose statistics keep
+    the reader from all but the few that may hold one; of those only the blocks with the
+    documents' ids are unpacked.
+    """
+    wanted = sorted(set(doc_ids))
+    may = F.lit(False)
+    for d in wanted:
+        may = may | ((F.col("last_id") >= d) & (F.coalesce("first_id", F.lit(NULL_ID)) <= d))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                s = Segment(data.as_py())
+                at = np.flatnonzero(np.isin(s.doc_ids, wanted))
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[at]), pa.array([s.document(int(i)).astype(np.int64) for i in at], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return spark.read.parquet(path).filter(may).select("data").mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def read_tokens(spark, path: str) -> DataFrame:
