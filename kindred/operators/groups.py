@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.functions.scalars import hamming
 from kindred.operators.components import connected_components
+from kindred.operators.similarity import scope_key
 from kindred.plans.options import ScanOptions
+from kindred.plans.joins import join_counted
 from kindred.plans.order import global_rank
+from kindred.plans.storage import materialise
 
 #: Order of the methods in numbering and reports.
 METHOD_ORDER = ("exact", "perceptual", "feature", "video", "semantic")
@@ -21,8 +24,8 @@ def assign_scope(files: DataFrame, cross_doc: bool = False, source_group: str =
 
 def comparable(files: DataFrame, least: int = 2) -> DataFrame:
     """Without scopes of fewer than ``least`` files (the pool always stays)."""
-    n = F.count("*").over(W.partitionBy("scope"))
-    return files.withColumn("__n", n).filter(F.col("scope").isNull() | (F.col("__n") >= least)).drop("__n")
+    large = files.filter("scope is not null").groupBy("scope").agg(F.count("*").alias("__n")).filter(F.col("__n") >= least).select("scope")
+    return files.filter("scope is not null").join(large, "scope", "left_semi").unionByName(files.filter("scope is null")).select(files.columns)
 
 
 def exact_members(files: DataFrame, scope: str = "scope", key: str = "md5", order: str = "ord") -> DataFrame:
@@ -60,6 +63,14 @@ def components_of(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return connected_components(edges, a, b).select(F.col("node").alias("ord"), F.col("component").alias("first_ord"))
 
 
+def perceptual_members(hashes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(ord, first_ord)`` for the files under any hash that has edges; all files of such a hash are in one component."""
+    found = connected_components(edges, "a", "b").select(F.col("node").alias("first"), F.col("component").alias("first_ord"))
+    of_hash = materialise(nodes.select("s", "h", "n", "first").join(found, "first").drop("first"), "components")
+    rows = hashes.select(scope_key(F.col("scope")).alias("s"), "h", "ord")
+    return join_counted(rows, of_hash, ["s", "h"], rows.count()).select("ord", "first_ord")
+
+
 def _pair_bits(column: str) -> Column:
     """Differing bits summed over all pairs of a group: each bit gives ones times zeros."""
     n = F.count(column)
@@ -73,17 +84,18 @@ def _pair_bits(column: str) -> Column:
 def perceptual_groups(hashes: DataFrame, edges: DataFrame, members: DataFrame, options: ScanOptions = ScanOptions(), missing_pair: str = "zero") -> DataFrame:
     """``(first_ord, n_files, avg_full, avg_top, similarity, multi_account)`` for each component.
 
-    ``hashes``: ``ord, h, tp`` (full and top hash, longs). ``edges``: ``a, b, dist,
-    dist_top``. Full and top averages run over all pairs, by counts of bits, without
-    making pairs. The blended average sums over edges; with ``missing_pair="zero"`` a
+    ``hashes``: ``ord, h, tp`` (full and top hash, longs; an absent top hash counts as
+    the full one). ``edges``: ``a, b, dist, dist_top``, or such rows added up with their
+    number in ``n`` (``edge_sums``). Full and top averages run over all pairs, by counts
+    of bits, without making pairs. The blended average sums over edges; with ``missing_pair="zero"`` a
     pair without an edge counts as 0 (the denominator is all pairs), with ``"observed"``
     only edges count.
     """
-    own = hashes.join(members, "ord")
+    own = hashes.withColumn("tp", F.coalesce("tp", "h")).join(members, "ord")
     pairs = F.col("n_files") * (F.col("n_files") - 1) / 2
     stats = own.groupBy("first_ord").agg(F.count("*").alias("n_files"), _pair_bits("h").alias("full_bits"), _pair_bits("tp").alias("top_bits"))
     blended = options.blend_full * F.col("dist") + options.blend_top * F.col("dist_top")
-    linked = edges.join(members, edges["a"] == members["ord"]).groupBy("first_ord").agg(F.sum(blended).alias("blended"), F.count("*").alias("n_edges"))
+    linked = edges.join(members, edges["a"] == members["ord"]).groupBy("first_ord").agg(F.sum(blended).alias("blended"), (F.sum("n") if "n" in edges.columns else F.count("*")).alias("n_edges"))
     joined = stats.join(linked, "first_ord").withColumn("avg_full", F.col("full_bits") / pairs).withColumn("avg_top", F.col("top_bits") / pairs)
     average = F.col("blended") / (pairs if missing_pair == "zero" else F.col("n_edges"))
     multi = (F.col("avg_top") >= options.multi_account_min_top) & (F.col("avg_top") > F.col("avg_full") * options.multi_account_ratio)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kindred.functions.scalars import hamming, l2_normalise
+from kindred.plans.storage import materialise
 
 BANDS, BAND_BITS = 4, 16
 #: Above so many flips in a band, probing costs more than comparing blocks of hashes.
@@ -98,6 +99,64 @@ def hamming_edges(hashes: DataFrame, threshold: int = 10, column: str = "h", exc
     return (out.filter("not (ma <=> mb)") if exclude_exact else out).select("a", "b", "dist")
 
 
+def _ones(column: Column) -> Column:
+    """How often each of the 64 bits is set, over a group."""
+    return F.array(*[F.sum(F.shiftrightunsigned(column, bit).bitwiseAND(1)) for bit in range(64)])
+
+
+def _within(n: Column, ones: Column) -> Column:
+    """Differing bits summed over all pairs of a group: each bit gives ones times zeros."""
+    return F.aggregate(ones, F.lit(0).cast("long"), lambda total, k: total + k * (n - k))
+
+
+def _across(n: Column, ones: Column, m: Column, others: Column) -> Column:
+    """Differing bits summed over all pairs between two groups."""
+    return F.aggregate(F.zip_with(ones, others, lambda k, j: k * (m - j) + (n - k) * j), F.lit(0).cast("long"), lambda total, x: total + x)
+
+
+def scope_key(scope: Column) -> Column:
+    """The scope as a key that is never null; the pool's is empty."""
+    return F.coalesce(F.concat(F.lit("s"), scope.cast("string")), F.lit(""))
+
+
+def hash_nodes(hashes: DataFrame, exclude_exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(classes, nodes)`` of ``scope, ord, md5, h, tp`` rows: copies of one file, and all files of one hash, as one row each.
+
+    An absent top hash counts as the full one. Both tables have ``s, h, first, n, ones``;
+    classes also ``kind`` (the digest), nodes ``own_n`` and ``own_top``, the pairs within
+    classes and their differing bits, which don't count as edges.
+    """
+    kind = F.coalesce(F.concat(F.lit("m"), "md5"), F.lit("")) if exclude_exact else F.lit("")
+    rows = hashes.filter("h is not null").select(scope_key(F.col("scope")).alias("s"), "h", kind.alias("kind"), "ord", F.coalesce("tp", "h").alias("tp"))
+    classes = materialise(rows.groupBy("s", "h", "kind").agg(F.min("ord").alias("first"), F.count("*").alias("n"), _ones(F.col("tp")).alias("ones")), "classes")
+    one = classes.select("s", "h", F.col("first").alias("f"), F.col("n").alias("k"), F.col("ones").alias("o"), _within(F.col("n"), F.col("ones")).alias("top"))
+    own = [F.sum(F.col("k") * (F.col("k") - 1) / 2).cast("long"), F.sum("top")] if exclude_exact else [F.lit(0).cast("long")] * 2
+    every = F.array(*[F.sum(F.col("o")[bit]) for bit in range(64)])
+    nodes = one.groupBy("s", "h").agg(F.min("f").alias("first"), F.sum("k").alias("n"), every.alias("ones"), own[0].alias("own_n"), own[1].alias("own_top"))
+    return classes, materialise(nodes, "nodes")
+
+
+def edge_sums(classes: DataFrame, nodes: DataFrame, threshold: int = 10, exclude_exact: bool = True, method: str | None = None) -> DataFrame:
+    """``(a, b, dist, dist_top, n)``: the edges of ``hamming_edges`` added up for each pair of distinct hashes.
+
+    ``a`` and ``b`` are the first files with the two hashes (or one hash: a = b). The
+    number of edges between two hashes and the sum of their top distances follow from
+    counts of files and of bits, so a hash that very many files share costs one row.
+    """
+    pairs = materialise(hamming_pairs(nodes.select(F.col("s").alias("scope"), "h"), threshold, method=method).select(F.col("scope").alias("s"), "x", "y", "dist"), "near")
+    n, ones = F.col("n"), F.col("ones")
+    same = nodes.select(F.col("first").alias("a"), F.col("first").alias("b"), F.lit(0).cast("long").alias("dist"), (_within(n, ones) - F.col("own_top")).alias("dist_top"), ((n * (n - 1) / 2).cast("long") - F.col("own_n")).alias("n"))
+    side = lambda t, x, own, *more: t.select("s", F.col("h").alias(x), *[F.col(c).alias(f"{c}_{own}") for c in ("first", "n", "ones")], *more)
+    size, bits = F.col("n_a") * F.col("n_b"), _across(F.col("n_a"), F.col("ones_a"), F.col("n_b"), F.col("ones_b"))
+    near = pairs.join(side(nodes, "x", "a"), ["s", "x"]).join(side(nodes, "y", "b"), ["s", "y"]).select("s", "x", "y", "dist", "first_a", "first_b", size.alias("n"), bits.alias("dist_top"))
+    if exclude_exact:  # copies under two hashes are no edges
+        copies = pairs.join(side(classes, "x", "a", "kind"), ["s", "x"]).join(side(classes, "y", "b", "kind"), ["s", "y", "kind"])
+        copies = copies.groupBy("s", "x", "y").agg(F.sum(size).alias("less"), F.sum(bits).alias("less_top"))
+        near = near.join(copies, ["s", "x", "y"], "left").na.fill(0, ["less", "less_top"]).withColumn("n", n - F.col("less")).withColumn("dist_top", F.col("dist_top") - F.col("less_top"))
+    near = near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"), (F.col("dist") * n).cast("long").alias("dist"), "dist_top", "n")
+    return same.unionByName(near).filter("n > 0")
+
+
 def cosine_edges(vectors: DataFrame, threshold: float = 0.85, column: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(a, b, cosine)``, a < b by ``ord``: all pairs of vectors with a cosine of ``threshold`` or more, exactly.
 
@@ -166,6 +225,19 @@ def all_pairs(files: DataFrame) -> DataFrame:
     return a.join(b, a["scope"].eqNullSafe(b["sb"]) & (F.col("a") < F.col("b"))).select("a", "b")
 
 
+def candidate_pairs(descriptors: DataFrame, band_bits: int = BAND_BITS) -> DataFrame:
+    """``(a, b)``, a < b, for files with two keypoints that agree in some band of ``band_bits`` bits.
+
+    Sixteen bands of 16 bits find every pair of keypoints within 15 of 256 bits. A band
+    value that very many files share makes as many pairs; wider bands are rarer.
+    """
+    low = (1 << band_bits) - 1 if band_bits < 64 else -1
+    bands = [F.shiftrightunsigned(F.col(f"w{i}"), bit).bitwiseAND(low) for i in range(4) for bit in range(0, 64, band_bits)]
+    rows = descriptors.select("file", F.posexplode(F.array(*bands)).alias("band", "value")).distinct()
+    other = rows.select(F.col("file").alias("b"), "band", "value")
+    return rows.withColumnRenamed("file", "a").join(other, ["band", "value"]).filter("a < b").select("a", "b").distinct()
+
+
 def descriptor_matches(descriptors: DataFrame, pairs: DataFrame, ratio: float = 0.75) -> DataFrame:
     """``(a, b, kp_a, kp_b, good, score)`` for each candidate pair.
 

@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.operators import groups as G
-from kindred.operators.similarity import cosine_edges, feature_edges, hamming_edges, video_edges
+from kindred.operators.similarity import cosine_edges, edge_sums, feature_edges, hash_nodes, video_edges
 from kindred.plans.options import ScanOptions
 from kindred.plans.storage import materialise
 
 
 def perceptual(hashes: DataFrame, options: ScanOptions = ScanOptions(), exclude_exact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(groups, members)`` of a table ``scope, ord, md5, h, tp``."""
-    near = materialise(hamming_edges(hashes, options.perceptual_threshold, exclude_exact=exclude_exact), "near")
-    edges = materialise(_with_top(near, hashes), "edges")
-    members = materialise(G.components_of(edges), "members")
+    """``(groups, members)`` of a table ``scope, ord, md5, h, tp``, from one row for each distinct hash and pair of near hashes."""
+    classes, nodes = hash_nodes(hashes, exclude_exact)
+    edges = materialise(edge_sums(classes, nodes, options.perceptual_threshold, exclude_exact), "edges")
+    members = materialise(G.perceptual_members(hashes, nodes, edges), "members")
     return G.perceptual_groups(hashes, edges, members, options), members
 
 
-def _with_top(near: DataFrame, hashes: DataFrame) -> DataFrame:
-    top = G.pair_distance(near.select("a", "b"), hashes, "tp").withColumnRenamed("dist", "dist_top")
-    return near.join(top, ["a", "b"])
-
-
 def find_groups(hashes: DataFrame, options: ScanOptions = ScanOptions(), keyframes: DataFrame | None = None, vectors: DataFrame | None = None, descriptors: DataFrame | None = None, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(groups, members)`` of all methods switched on, under one numbering.
 
