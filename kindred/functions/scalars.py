@@ -121,5 +121,5 @@ def l2_normalise(vector: Column) -> Column:
 
 
 def renamed(prefix: Column, index: Column, path: Column, digits: int = 3) -> Column:
-    """``prefix_007.ext``: a running index, the suffix kept."""
-    return F.concat(prefix, F.lit("_"), F.lpad(index.cast("string"), digits, "0"), suffix(path))
+    """``prefix_007.ext``: a running index of at least so many digits, the suffix kept."""
+    return F.concat(prefix, F.lit("_"), F.format_string(f"%0{digits}d", index.cast("long")), suffix(path))

@@ -5,43 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kindred.functions.scalars import file_name, parent, renamed, stem, suffix
+from kindred.plans.order import group_rank
 from kindred.plans.storage import materialise
 
 
-def _best(use_mtime: bool) -> list[Column]:
+def _best(use_mtime: bool) -> Column:
+    """The key that is smallest for the best row: pixels, size, newest time (none is oldest), then input order."""
     pixels = F.coalesce("width", F.lit(0)).cast("long") * F.coalesce("height", F.lit(0)).cast("long")
-    return [F.desc(pixels), F.desc(F.coalesce("length", F.lit(0)))] + ([F.desc_nulls_last("mtime")] if use_mtime else []) + [F.asc("ord")]
-
-
-def ranked(members: DataFrame, group: str = "group_id", use_mtime: bool = True) -> DataFrame:
-    """``rank`` within each group: pixels, size, newest time, then input order."""
-    return members.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*_best(use_mtime))).cast("long"))
+    newest = [F.col("mtime").isNull(), -F.coalesce(F.col("mtime").cast("double"), F.lit(0.0))] if use_mtime else []
+    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate((-pixels, -F.coalesce("length", F.lit(0)), *newest, F.col("ord")))])
 
 
 def keep_best(members: DataFrame, group: str = "group_id", use_mtime: bool = True) -> DataFrame:
-    """The best row of each group. Only each task's best of a group is shuffled."""
-    return ranked(members, group, use_mtime).filter("rank = 1").drop("rank")
+    """The best row of each group: pixels, size, newest time, then input order. Only each task's best of a group is shuffled."""
+    row = F.struct(*[F.col(f"`{c}`") for c in members.columns])
+    return members.groupBy(F.col(group).alias("__g")).agg(F.min_by(row, _best(use_mtime)).alias("__row")).select("__row.*")
 
 
 def duplicates(members: DataFrame, group: str = "group_id", use_mtime: bool = True) -> DataFrame:
-    """All rows but the best, of groups with two or more."""
-    return ranked(members, group, use_mtime).filter("rank > 1").drop("rank")
+    """All rows but the best; ``ord`` tells the rows of a group apart, so no task sees a group whole."""
+    best = members.groupBy(F.col(group).alias("__g")).agg(F.min(_best(use_mtime)).alias("__b"))
+    best = best.select("__g", F.col("__b")[f"k{4 if use_mtime else 2}"].alias("__o"))
+    return members.join(best, members[group].eqNullSafe(best["__g"]) & (members["ord"] == best["__o"]), "left_anti")
+
+
+def ranked(members: DataFrame, group: str = "group_id", use_mtime: bool = True) -> DataFrame:
+    """``rank`` within each group, the best first."""
+    return group_rank(members.withColumn("__k", _best(use_mtime)), "rank", [group], F.asc("__k")).drop("__k")
 
 
 def delete_plan(members: DataFrame, group: str = "group_id") -> DataFrame:
-    """``(group_id, n_delete, bytes_reclaimed)`` if all but the best go."""
-    return duplicates(members, group).groupBy(group).agg(F.count("*").alias("n_delete"), F.sum("length").alias("bytes_reclaimed"))
+    """``(group_id, n_delete, bytes_reclaimed)`` if all but the best go; groups of one have no row."""
+    sizes = members.groupBy(group).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.min_by("length", _best(True)).alias("best"))
+    return sizes.filter("n > 1").select(group, (F.col("n") - 1).alias("n_delete"), (F.col("bytes") - F.coalesce("best", F.lit(0))).alias("bytes_reclaimed"))
 
 
 def unique_targets(wanted: DataFrame, existing: DataFrame | None = None, rounds: int = 20) -> DataFrame:
     """``(ord, path, target)`` from ``(ord, path, dir, name)``: names that clash get _1, _2, and so on.
 
-    ``existing`` holds names already there as ``dir, name``. Each round numbers the
-    rows that want one name by ``ord``, places those whose numbered name is free, and
+    ``existing`` holds names already there as ``dir, name``, repeated or not. Each round
+    numbers the rows that want one name by ``ord``, places those whose numbered name is free, and
     sends the rest, which meet a name that someone else holds, round again. A name as it
     was wanted goes before one with a number.
     """
-    taken = None if existing is None else existing.select("dir", F.col("name").alias("target_name"))
+    taken = None if existing is None else existing.select("dir", F.col("name").alias("target_name")).distinct()
     empty = wanted.select("ord", "path", "dir", F.col("name").alias("target_name")).limit(0)
     placed, left = empty, wanted.select("ord", "path", "dir", "name", F.lit(0).alias("base"))
     for _ in range(rounds):
@@ -49,8 +56,8 @@ def unique_targets(wanted: DataFrame, existing: DataFrame | None = None, rounds:
             left = left.join(taken.withColumn("__hit", F.lit(1)), (left["dir"] == taken["dir"]) & (left["name"] == taken["target_name"]), "left").select(left["*"], F.col("__hit").isNotNull().alias("__held"))
         else:
             left = left.withColumn("__held", F.lit(False))
-        nth = F.row_number().over(W.partitionBy("dir", "name").orderBy("ord")) - 1 + F.col("base")
-        number = nth + F.when(F.col("__held") & (F.col("base") == 0), 1).otherwise(0)
+        left = group_rank(left, "__nth", ["dir", "name"], F.asc("ord"), first=0)
+        number = F.col("__nth") + F.col("base") + F.when(F.col("__held") & (F.col("base") == 0), 1).otherwise(0)
         head, tail = stem(F.col("name")), suffix(F.col("name"))
         target = F.when(number == 0, F.col("name")).otherwise(F.concat(head, F.lit("_"), number.cast("string"), tail))
         tried = left.withColumn("number", number).withColumn("target_name", target)
@@ -81,11 +88,23 @@ def move_plan(members: DataFrame, directory: str, group: str = "group_id", exist
     return unique_targets(wanted, existing)
 
 
-def rename_plan(members: DataFrame, prefix: str, start: int = 1, group: str = "group_id") -> DataFrame:
-    """``(group_id, ord, path, target)``: sequential names within each group, in input order, same directory."""
-    index = F.row_number().over(W.partitionBy(group).orderBy("ord")) + (start - 1)
-    name = renamed(F.concat(F.lit(prefix), F.col(group).cast("string")), index, F.col("path"))
-    return members.select(group, "ord", "path", F.concat_ws("/", parent(F.col("path")), name).alias("target"))
+def rename_plan(members: DataFrame, prefix: str, start: int = 1, group: str = "group_id", existing: DataFrame | None = None) -> DataFrame:
+    """``(group_id, ord, path, target)``: sequential names within each group, in input order, same directory.
+
+    A name that ``existing`` (``dir, name``, repeated or not) holds already gets _1, _2,
+    and so on; a file that bears its new name already keeps it.
+    """
+    named = group_rank(members.select(group, "ord", "path"), "index", [group], F.asc("ord"), first=start)
+    name = renamed(F.concat(F.lit(prefix), F.col(group).cast("string")), F.col("index"), F.col("path"))
+    wanted = named.withColumn("dir", parent(F.col("path"))).withColumn("name", name)
+    if existing is None:
+        return wanted.select(group, "ord", "path", F.concat_ws("/", "dir", "name").alias("target"))
+    wanted = materialise(wanted, "renames")
+    own = F.concat_ws("/", "dir", "name") == F.col("path")
+    held = existing.select("dir", "name").unionByName(wanted.filter(own).select("dir", "name"))
+    moved = unique_targets(wanted.filter(~own), held).select(F.col("ord").alias("__o"), "target")
+    moved = wanted.filter(~own).join(moved, F.col("ord") == F.col("__o")).select(group, "ord", "path", "target")
+    return moved.unionByName(wanted.filter(own).select(group, "ord", "path", F.col("path").alias("target")))
 
 
 def remove_files(members: DataFrame, gone: DataFrame, group: str = "group_id", key: str = "path") -> DataFrame:

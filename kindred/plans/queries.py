@@ -138,21 +138,20 @@ _MATCH = """SELECT a, b, kp_a, kp_b, good, CASE WHEN least(kp_a, kp_b) < 2 THEN
       SELECT a, b, ka, min(d) AS d1, max(d) AS d2, count(*) AS k FROM (
         SELECT x.file AS a, y.file AS b, x.kp AS ka, bit_count(xor(x.w0, y.w0)) + bit_count(xor(x.w1, y.w1)) + bit_count(xor(x.w2, y.w2)) + bit_count(xor(x.w3, y.w3)) AS d,
           row_number() OVER (PARTITION BY x.file, y.file, x.kp ORDER BY bit_count(xor(x.w0, y.w0)) + bit_count(xor(x.w1, y.w1)) + bit_count(xor(x.w2, y.w2)) + bit_count(xor(x.w3, y.w3)), y.kp) AS r
-        FROM descriptors x JOIN descriptors y ON x.file < y.file) WHERE r <= 2 GROUP BY a, b, ka) GROUP BY a, b)"""
+        FROM descriptors x JOIN candidates c ON c.a = x.file JOIN descriptors y ON y.file = c.b) WHERE r <= 2 GROUP BY a, b, ka) GROUP BY a, b)"""
 
 
 def _matches(spark, d) -> DataFrame:
     words = T.descriptors(spark, d)
-    pairs = J.all_pairs(words.select(F.lit(None).cast("string").alias("scope"), F.col("file").alias("ord")).distinct())
-    return J.descriptor_matches(words, pairs)
+    return J.descriptor_matches(words, materialise(J.candidate_pairs(words, 64), "pairs"))
 
 
-@query(sql(_MATCH, "words", "descriptors"))
+@query(sql(_MATCH, "words", "descriptors", "candidates"))
 def descriptor_matches(spark, d):
     return _matches(spark, d)
 
 
-@query(sql("SELECT c.first_ord, count(DISTINCT c.ord) AS n_files, round(avg(e.score), 3) AS similarity FROM comp c JOIN (SELECT a, b, score FROM edges) e ON e.a = c.ord OR e.b = c.ord GROUP BY 1", "words", "descriptors", "edges", "linked", "reach", "comp", recursive=True, edges=f"SELECT * FROM ({_MATCH}) WHERE score >= 0.15"))
+@query(sql("SELECT c.first_ord, count(DISTINCT c.ord) AS n_files, round(avg(e.score), 3) AS similarity FROM comp c JOIN (SELECT a, b, score FROM edges) e ON e.a = c.ord OR e.b = c.ord GROUP BY 1", "words", "descriptors", "candidates", "edges", "linked", "reach", "comp", recursive=True, edges=f"SELECT * FROM ({_MATCH}) WHERE score >= 0.15"))
 def feature_groups(spark, d):
     edges = materialise(_matches(spark, d).filter("score >= 0.15"), "features")
     return G.feature_groups(edges, G.components_of(edges))
@@ -204,11 +203,99 @@ def move_plan(spark, d):
     return V.move_plan(_own(spark, d), "/moved")
 
 
-@query(sql("SELECT group_id, ord, path, regexp_replace(path, '[^/]*$', '') || 'copy' || group_id || '_' || right('000' || row_number() OVER (PARTITION BY group_id ORDER BY ord), 3) || '.txt' AS target FROM own", "files", "pool", "own"))
+@query(sql("SELECT group_id, ord, path, regexp_replace(path, '[^/]*$', '') || 'copy' || group_id || '_' || printf('%03d', row_number() OVER (PARTITION BY group_id ORDER BY ord)) || '.txt' AS target FROM own", "files", "pool", "own"))
 def rename_plan(spark, d):
     return V.rename_plan(_own(spark, d), "copy")
 
 
+@query(sql("SELECT group_id, ord, path, regexp_replace(path, '[^/]*$', '') || 'copy' || group_id || '_' || printf('%03d', row_number() OVER (PARTITION BY group_id ORDER BY ord)) || CASE WHEN ord % 2 = 0 THEN '_1' ELSE '' END || '.txt' AS target FROM own", "files", "pool", "own"))
+def rename_collisions(spark, d):
+    """Half of the names are taken already, and listed twice."""
+    own = _own(spark, d)
+    taken = V.rename_plan(own, "copy").filter("ord % 2 = 0").select(S.parent(F.col("target")).alias("dir"), S.file_name(F.col("target")).alias("name"))
+    return V.rename_plan(own, "copy", existing=taken.unionByName(taken))
+
+
+@query(sql("SELECT group_id, ord, rank FROM ranked", *_OWN))
+def ranked_members(spark, d):
+    return V.ranked(_own(spark, d)).select("group_id", "ord", "rank")
+
+
+@query(sql("SELECT group_id, ord, regexp_replace(path, '[^/]*$', '') || 'copy' || group_id || '_' || printf('%03d', row_number() OVER (PARTITION BY group_id ORDER BY ord)) || '.txt' AS path FROM own", "files", "pool", "own"))
+def renamed_members(spark, d):
+    own = _own(spark, d)
+    return V.apply_renames(own, V.rename_plan(own, "copy")).select("group_id", "ord", "path")
+
+
+@query(sql("SELECT path FROM own ORDER BY ord LIMIT 10", "files", "pool", "own"))
+def preview_rows(spark, d):
+    return V.preview(_own(spark, d), 10)[0]
+
+
+@query(sql("SELECT x.first_ord, x.ord AS a, y.ord AS b FROM own x JOIN own y ON x.group_id = y.group_id AND x.ord < y.ord", "files", "pool", "own"))
+def group_pairs(spark, d):
+    return G.pairs_in_groups(G.exact_members(_pool(spark, d)).select("first_ord", "ord"))
+
+
+@query(sql("SELECT 'hash' AS stage, error_type, count(*) AS n FROM (SELECT CASE WHEN length = 0 THEN 'EmptyFile' WHEN length > 3000 THEN 'FileTooLarge' END AS error_type FROM (SELECT CASE WHEN ord % 50 = 7 THEN 0 ELSE length END AS length FROM files)) WHERE error_type IS NOT NULL GROUP BY ALL", "files"))
+def error_counts(spark, d):
+    files = T.files(spark, d).withColumn("length", F.expr("IF(ord % 50 = 7, 0, length)"))
+    return R.error_counts(C.split_errors(M.size_guards(files, most=3000))[1])
+
+
+@query(sql("SELECT ord, 'length ' || length AS message FROM (SELECT ord, CASE WHEN ord % 50 = 7 THEN 0 ELSE length END AS length FROM files) WHERE length = 0 OR length > 3000", "files"))
+def guarded_files(spark, d):
+    files = T.files(spark, d).withColumn("length", F.expr("IF(ord % 50 = 7, 0, length)"))
+    return M.size_guards(files, most=3000).filter("error_type is not null").select("ord", F.col("error_message").alias("message"))
+
+
+@query("SELECT doc_id AS ord, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
+def content_digests(spark, d):
+    return T.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), *S.content_digests(F.col("text").cast("binary")))
+
+
+@query("SELECT doc_id AS ord, left(text, 200) AS text, CAST(DATE '1970-01-01' + CAST(doc_id AS INTEGER) AS VARCHAR) AS day FROM documents")
+def short_texts(spark, d):
+    """Texts cut for display, and dates of epoch seconds."""
+    day = S.date_of_epoch(F.col("doc_id") * 86400 + 3600).cast("string")
+    return T.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), S.truncate_text(F.col("text")).alias("text"), day.alias("day"))
+
+
+@query(sql("SELECT ord, right(repeat('0', 16) || lower(hex(h)), 16) AS hex, h FROM hashes", "base", "hashes"))
+def parsed_hashes(spark, d):
+    return T.hashes(spark, d).select("ord", S.long_to_hex(F.col("h")).alias("hex")).withColumn("h", S.hex_to_long(F.col("hex")))
+
+
+@query(sql("SELECT 2 AS scan_id, path, length FROM files UNION ALL SELECT 1, path, length FROM files WHERE ord % 3 = 0", "files"))
+def session_files(spark, d):
+    """Two sessions' files, the second recorded twice."""
+    files = T.files(spark, d)
+    first = C.record_files(files.limit(0).selectExpr("0L AS scan_id", "path", "length", "mtime"), 1, files.filter("ord % 3 = 0"))
+    twice = C.record_files(C.record_files(first, 2, files.filter("ord % 2 = 0")), 2, files)
+    return twice.select(F.col("scan_id").cast("int").alias("scan_id"), "path", "length")
+
+
+@query(sql("SELECT regexp_extract(path, '^/data/[^/]*') AS path, CAST(sum(CASE WHEN kind = 'image' THEN 1 ELSE 0 END) AS BIGINT) AS n_images FROM kinds GROUP BY 1", "tree", "kinds"))
+def earlier_folders(spark, d):
+    return C.earlier_folders(T.tree(spark, d), "/data")
+
+
+@query(sql("SELECT archive, group_id, string_agg(path, ',' ORDER BY ord) AS files FROM (SELECT e.scope AS archive, f.path, f.ord, dense_rank() OVER (ORDER BY e.first_ord) AS group_id FROM exact e JOIN files f ON f.scope = e.scope AND f.md5 = e.md5) GROUP BY ALL", "files", "exact"))
+def archive_file_lists(spark, d):
+    files = T.files(spark, d)
+    groups = G.number_groups(G.exact_groups(files), F.asc("first_ord"))
+    members = G.exact_members(files).join(groups.select("scope", "md5", "group_id"), ["scope", "md5"]).join(files.select("ord", "path"), "ord")
+    found = R.archive_groups(groups.withColumnRenamed("scope", "archive"), members)
+    return found.select("archive", "group_id", F.array_join("files", ",").alias("files"))
+
+
+@query(sql("""SELECT scope AS archive_path, count(*) AS total_files, CAST(coalesce(max(g), 0) AS BIGINT) AS duplicate_groups FROM files LEFT JOIN (SELECT scope, count(*) AS g FROM exact GROUP BY 1) USING (scope) GROUP BY 1""", "files", "exact"))
+def archive_log(spark, d):
+    files = T.files(spark, d).withColumnRenamed("scope", "archive")
+    report = R.archive_report(G.exact_groups(T.files(spark, d)).withColumnRenamed("scope", "archive"), files)
+    return R.archive_log(report).select("archive_path", "total_files", "duplicate_groups")
+
+
 @query(sql("SELECT group_id, ord FROM own o WHERE ord % 3 <> 0 AND (SELECT count(*) FROM own q WHERE q.group_id = o.group_id AND q.ord % 3 <> 0) >= 2", "files", "pool", "own"))
 def remove_from_results(spark, d):
     own = _own(spark, d)

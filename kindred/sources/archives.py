@@ -62,28 +62,30 @@ def explode_archives(archives: DataFrame, options: ScanOptions = ScanOptions(),
 
     Members over the limit and unreadable ones come back with ``error_type``; after the
     first member that brings an archive's total over its budget nothing more is taken
-    from it. With ``media_only`` only images are kept, in xlsx files those under
+    from it. Each member leaves the task before the next is read. With ``media_only`` only images are kept, in xlsx files those under
     ``xl/media``, once for each place that a drawing refers to them.
     """
     most, budget = options.max_member_bytes, options.max_archive_bytes
 
+    def one(*row) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], _NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, cell in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data, rows, total = cell.as_py() or b"", [], 0
+                data, total = cell.as_py() or b"", 0
                 group = path if path.lower().endswith(".xlsx") else None
                 kind = "document" if group else "archive"
                 try:
                     uses = _placements(data) if group and media_only else {}
                     for i, (member, n, content, error, message) in enumerate(_members(path, data, most)):
                         if error is None and (total := total + n) > budget:
-                            rows.append((path, member, i, n, None, kind, group, "scan", "BudgetExceeded", f"over {budget}"))
+                            yield one(path, member, i, n, None, kind, group, "scan", "BudgetExceeded", f"over {budget}")
                             break
-                        rows += [(path, member, i, n, content, kind, group, "scan", error, message)] * (uses.get(member, 1) if group else 1)
+                        for _ in range(uses.get(member, 1) if group else 1):
+                            yield one(path, member, i, n, content, kind, group, "scan", error, message)
                 except Exception as e:  # the archive itself becomes an error row
-                    rows.append((path, None, 0, 0, None, kind, group, "scan", type(e).__name__, str(e)))
-                for lo in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 64], strict=True), kinds, strict=True)], _NAMES)
+                    yield one(path, None, 0, 0, None, kind, group, "scan", type(e).__name__, str(e))
 
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
     out = archives.select("path", "content").mapInArrow(run, SCHEMA)
@@ -110,12 +112,21 @@ def _placements(data: bytes) -> dict[str, int]:
     return found
 
 
-def expand_nested(archives: DataFrame, options: ScanOptions = ScanOptions(), max_depth: int = 5) -> DataFrame:
-    """Members of archives within archives too, each level read from the one before, until none is left."""
+def expand_nested(archives: DataFrame, options: ScanOptions = ScanOptions(), max_depth: int = 50) -> DataFrame:
+    """Members of archives within archives too, each level read from the one before, until none is left.
+
+    Archives below ``max_depth`` levels (there is no end to some that hold themselves)
+    come back unread, with the error ``TooDeep``.
+    """
     level, out = archives.select("path", "content"), None
-    for _ in range(max_depth):
+    for depth in range(1, max_depth + 1):
         rows = materialise(explode_archives(level, options), "members")
         inner = (S.kind(F.col("member")) == "archive") & F.col("content").isNotNull()
+        if depth == max_depth:
+            deep = lambda name, value: F.when(F.coalesce(inner, F.lit(False)), value).otherwise(F.col(name)).alias(name)
+            last = {"error_type": F.lit("TooDeep"), "error_message": F.lit(f"below {max_depth} levels"), "content": F.lit(None).cast("binary")}
+            rest = rows.select(*[deep(c, last[c]) if c in last else c for c in rows.columns])
+            return rest if out is None else out.unionByName(rest)
         leaves = rows.filter(~F.coalesce(inner, F.lit(False)))
         out = leaves if out is None else out.unionByName(leaves)
         level = rows.filter(inner).select(F.concat_ws("/", "archive", "member").alias("path"), "content")

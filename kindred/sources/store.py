@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from kindred.functions import scalars as S
 from kindred.functions.scalars import source_key
 from kindred.plans.storage import materialise
 
@@ -40,6 +41,12 @@ def open_session(spark: SparkSession, scan_id: int, sources: list[str], started_
     return row.select("scan_id", source_key(F.col("sources")).alias("source_key"), "started_at", F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("long").alias("total_files"), F.lit(None).cast("long").alias("total_groups"))
 
 
+def record_files(recorded: DataFrame, scan_id: int, files: DataFrame) -> DataFrame:
+    """The recorded ``scan_id, path, length, mtime`` rows with a session's files; a path recorded again replaces its row."""
+    new = files.select(F.lit(scan_id).cast("long").alias("scan_id"), "path", "length", "mtime").dropDuplicates(["path"])
+    return recorded.join(new.select("scan_id", "path"), ["scan_id", "path"], "left_anti").select(new.columns).unionByName(new)
+
+
 def close_session(history: DataFrame, scan_id: int, groups: DataFrame, finished_at: dt.datetime) -> DataFrame:
     """The log with the session's totals: groups, and files counted once for every group they are in."""
     totals = groups.agg(F.coalesce(F.sum("n_files"), F.lit(0)).alias("f"), F.count("*").alias("g"))
@@ -74,6 +81,14 @@ def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("error_type is null").drop("stage", "error_type", "error_message"), bad
 
 
+def earlier_folders(files: DataFrame, base: str) -> DataFrame:
+    """``(path, n_images)``: the folders directly under ``base``, where archives were extracted before, with the images below each."""
+    inside = files.filter(F.col("path").startswith(base.rstrip("/") + "/"))
+    rest = F.substring_index(F.substring(F.col("path"), len(base.rstrip("/")) + 2, 1 << 30), "/", 1)
+    folder = F.concat(F.lit(base.rstrip("/") + "/"), rest)
+    return inside.filter(folder != F.col("path")).groupBy(folder.alias("path")).agg(F.sum((S.kind(F.col("path")) == "image").cast("long")).alias("n_images"))
+
+
 def pending(queue: DataFrame, done: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """Queued paths, each once, that are neither done nor removed."""
     out = queue.dropDuplicates(["path"]).join(done.select("path"), "path", "left_anti")
