@@ -8,26 +8,32 @@ vector met, how much nearer the two orders are than strangers: with places from
 place))`` for each shared pivot. The best share of a block by footrule is reranked by
 the exact cosine of the original vectors.
 
-The pivots are a bounded sample; every row is indexed. Queries and rows are dealt in
-blocks, each pair of blocks is one task's group of bounded size, and only each query's
-best few from every block are shuffled.
+The pivots are a bounded sample of the block itself; every row is indexed. Vectors are
+dealt into blocks of bounded size by a hash and move once. A block's index is built once,
+then the queries stream past it, and only each query's best few from every block move on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from kindred.llm.common import table
+from kindred.llm.common import partitions, table
+from kindred.plans.joins import join_counted
+from kindred.plans.storage import materialise
 
+#: Distinct vectors of a block that are its pivots, those with the smallest hashes.
 PIVOTS = 128
 PREFIX = 48
 #: Share of a block that is reranked for a query, and the fewest vectors that are.
 SHARE, LEAST = 0.35, 256
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
+BLOCK_ROWS = 16_384
 
 
 def usable(vector: Column) -> Column:
@@ -44,18 +50,21 @@ def orders(unit: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 class BlockIndex:
     """The pivot inverted files of one block. Equal vectors are posted once, with all their ids."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: int = PIVOTS, prefix: int = PREFIX) -> None:
         self.vectors, group = np.unique(vectors, axis=0, return_inverse=True)
         by_group = np.lexsort((ids, group))
-        self.ids, self.pivots, self.prefix = ids[by_group], pivots, min(prefix, len(pivots))
+        self.ids = ids[by_group]
         self.starts = np.searchsorted(group[by_group], np.arange(len(self.vectors) + 1))
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
-        own = orders(self.vectors / self.norms[:, None], pivots, self.prefix)
-        flat = own.ravel()
+        unit = self.vectors / self.norms[:, None]
+        hashes = [xxhash.xxh3_64_intdigest(v.tobytes()) for v in self.vectors]
+        self.pivots = unit[np.argsort(np.array(hashes, np.uint64), kind="stable")[:pivots]]
+        self.prefix = min(prefix, len(self.pivots))
+        flat = orders(unit, self.pivots, self.prefix).ravel()
         at = np.argsort(flat, kind="stable")
         self.rows = at // self.prefix
         self.places = (at % self.prefix).astype(np.int32)
-        self.first = np.searchsorted(flat[at], np.arange(len(pivots) + 1))
+        self.first = np.searchsorted(flat[at], np.arange(len(self.pivots) + 1))
 
     def search(self, own: int, vector: np.ndarray, k: int, share: float = SHARE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the best ``k`` rows with another id, nearest first, ties to the smaller id."""
@@ -84,45 +93,53 @@ class BlockIndex:
         return k + int(np.searchsorted(ids, own, side="right") - np.searchsorted(ids, own))
 
 
-def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row where ``is_query``, its ``k`` nearest other rows found.
 
-    Vectors of another length than most, and those that ``usable`` excludes, take no
-    part; rows with a null id neither. Rows with the query's own id aren't its
-    neighbours; rows repeated under another id are, each on its own. Repeats of one query are
-    answered once. Fewer candidates than ``k`` give fewer rows; an empty table none.
+    Vectors that ``usable`` excludes and rows with a null id take no part; vectors of
+    different lengths aren't neighbours, so each length is searched on its own. Rows with
+    the query's own id aren't its neighbours; rows repeated under another id are, each on
+    its own. Repeats of one query are answered once. Fewer candidates than ``k`` give
+    fewer rows; an empty table none.
     """
     spark = rows.sparkSession
     valid = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("vector"), is_query.alias("is_query"))
-    valid = valid.filter(usable(F.col("vector"))).filter("vec_id is not null")
-    counts = valid.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not counts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, n, q = counts[0]["d"], counts[0]["n"], counts[0]["q"] or 0
-    valid = valid.filter(F.size("vector") == size)
-    # One vector for each hash, so that copies don't crowd the pivots.
-    sample = valid.groupBy(F.xxhash64("vector").alias("h")).agg(F.min("vector").alias("vector")).orderBy("h").limit(pivots).collect()
-    at = np.array([r["vector"] for r in sample])
-    shared = spark.sparkContext.broadcast(at / np.sqrt((at * at).sum(axis=1))[:, None])
-    blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-q // BLOCK_QUERIES))
-    dealt = valid.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
-    queries = valid.filter("is_query").select("vec_id", "vector").distinct()
-    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.xxhash64("vector").alias("query_hash"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
-
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, float]] = []
-        if left.num_rows and right.num_rows:
-            index = BlockIndex(left.column("vec_id").to_numpy(), matrix(left.column("vector")), shared.value, prefix)
-            for own, h, v in zip(right.column("query_id").to_pylist(), right.column("query_hash").to_pylist(), matrix(right.column("query")), strict=True):
-                ids, scores = index.search(own, v, k, share, least)
-                out += [(own, h, int(i), float(s)) for i, s in zip(ids, scores, strict=True)]
-        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "query_hash", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
-
-    found = dealt.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(run, "query_id long, query_hash long, vec_id long, score double")
+    valid = valid.filter(usable(F.col("vector"))).filter("vec_id is not null").withColumn("size", F.size("vector"))
+    lengths = materialise(valid.groupBy("size").agg(F.count("*").alias("n")), "lengths")
+    total = lengths.agg(F.sum("n")).first()[0] or 0
+    blocks = lengths.select("size", "n", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    sized = join_counted(valid, blocks, ["size"], total)
+    h = F.xxhash64("vector")
+    dealt = sized.select("size", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", "vector", F.lit(0).cast("long").alias("h"))
+    queries = sized.filter("is_query").select("size", "blocks", "vec_id", "vector").distinct()
+    queries = queries.select("size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "vec_id", "vector", h.alias("h"))
+    both = dealt.unionByName(queries).repartition(partitions(spark), "size", "block").sortWithinPartitions("size", "block", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids, vectors, index = None, [], [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("size", "block", "side")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
+            for lo, hi in pairwise(cuts):
+                if lo == hi:
+                    continue
+                size, block, side = key[lo].tolist()
+                part = batch.slice(lo, hi - lo)
+                mine, matrix = part.column("vec_id").to_numpy(), part.column("vector").flatten().to_numpy().reshape(-1, size)
+                if (size, block) != own:
+                    own, ids, vectors, index = (size, block), [], [], None
+                if side == 0:
+                    ids.append(mine)
+                    vectors.append(matrix)
+                    continue
+                if index is None:  # the block's rows came first
+                    index = BlockIndex(np.concatenate(ids), np.concatenate(vectors), pivots, prefix)
+                    ids, vectors = [], []
+                out = [(q, x, int(i), float(s)) for q, x, v in zip(mine.tolist(), part.column("h").to_pylist(), matrix, strict=True) for i, s in zip(*index.search(q, v, k, share, least), strict=True)]
+                columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "query_hash", "vec_id", "score"])
+
+    found = both.mapInArrow(run, "query_id long, query_hash long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
