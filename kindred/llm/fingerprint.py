@@ -12,13 +12,16 @@ the cosine of two such sections estimates that of the two multisets of shingles.
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.common import partitions, slices, table
 
@@ -111,39 +114,41 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string, n_paragraphs long")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds below ``key``, as a balanced tree of comparisons."""
-
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= bounds[mid], pick(lo, mid)).otherwise(pick(mid + 1, hi))
-
-    return pick(0, len(bounds))
-
-
 def with_following(docs: DataFrame, id_col: str, text_col: str, kernel, schema: str) -> DataFrame:
     """Run ``kernel(id, text, following)`` for every row in descending id order; after the last row comes the first.
 
     Texts move once: rows are dealt into ranges of ids, and the largest row of each
-    range goes to the next range too, as what follows its last row. Only the ranges'
-    bounds and largest ids, one number for each partition, pass the driver.
+    range goes to the next range too, as what follows its last row. An id so frequent
+    that it would fill several ranges is dealt over them by the hash of its texts. Only
+    the ranges' bounds and largest rows' keys, one for each partition, pass the driver.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(_SMALLEST)))
-    cuts = rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0]
-    bounds = sorted(set(cuts or []))
-    rows = rows.withColumn("range", _bucket(F.col("k"), bounds))
-    tops = sorted((r["range"], r["k"]) for r in rows.groupBy("range").agg(F.max("k").alias("k")).collect())
-    sent = [(k, tops[(i + 1) % len(tops)][0]) for i, (_, k) in enumerate(tops)]
-    also = spark.createDataFrame(sent, "k long, also int")
+    cuts = Counter(map(float, rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []))
+    # A frequent id has a bucket of its own, which its share of the cuts divides again.
+    splits, shares = [-math.inf], [1]
+    for value, times in sorted(cuts.items()):
+        splits.append(value)
+        shares.append(times)
+        if times > 1:
+            splits.append(math.nextafter(value, math.inf))
+            shares.append(1)
+    bucketed = Bucketizer(splits=[*splits, math.inf] if len(splits) > 1 else [-math.inf, 0.0, math.inf], inputCol="kd", outputCol="bucket").transform(rows.withColumn("kd", F.col("k").cast("double")))
+    hot = max(shares) > 1
+    shares = shares if len(splits) > 1 else [1, 1]
+    tie = F.xxhash64("text")
+    of = lambda values: F.array(*map(F.lit, values))[F.col("bucket").cast("int")]
+    part = F.floor((tie.cast("double") / 2.0**64 + 0.5) * of(shares)).cast("int") if hot else F.lit(0)
+    ranged = bucketed.select("doc_id", "k", "text", (tie if hot else F.lit(0).cast("long")).alias("tie"), (of([0, *accumulate(shares)][:-1]) + F.least(part, of(shares) - 1)).alias("range"))
+    tops = sorted((r["range"], *r["top"]) for r in ranged.groupBy("range").agg(F.max(F.struct("k", "tie")).alias("top")).collect())
+    sent = [(k, t, tops[(i + 1) % len(tops)][0]) for i, (_, k, t) in enumerate(tops)]
+    also = spark.createDataFrame(sent, "k long, tie long, also int")
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
     both = F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("also").alias("range"), F.lit(True).alias("guest"))))
-    dealt = rows.join(F.broadcast(also), "k", "left").select("doc_id", "k", "text", F.explode(both).alias("to"))
+    dealt = ranged.join(F.broadcast(also), ["k", "tie"], "left").select("doc_id", "k", "text", F.explode(both).alias("to"))
     dealt = dealt.select("doc_id", "k", "text", F.xxhash64("text").alias("tie"), "to.range", "to.guest")
-    dealt = dealt.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("guest", F.desc("k"), F.desc("tie"))
+    dealt = dealt.repartitionById(sum(shares), "range").sortWithinPartitions("guest", F.desc("k"), F.desc("tie"))
     return dealt.select("doc_id", "text", "guest").mapInArrow(kernel, schema)
 
 
