@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from kindred.llm.common import map_rows, partitions, table
 from kindred.llm.likeness import near_copies, text_hash as _text_hash
 from kindred.operators.components import connected_components
+from kindred.plans.joins import join_counted
 from kindred.plans.storage import materialise
 
 THRESHOLD = 3
@@ -126,13 +127,15 @@ def _forest(fps: np.ndarray, homes: np.ndarray, threshold: int) -> tuple[np.ndar
     """Links that join what is within ``threshold`` in one group: fewer than it has members."""
     label = np.arange(len(fps))
     bits = fps.view(np.uint64)
+    left, right = [], []
     for i in np.flatnonzero(homes):
-        near = np.bitwise_count(bits ^ bits[i]) <= threshold
-        roots = np.unique(label[near])
-        if len(roots) > 1:
-            label[np.isin(label, roots[1:])] = roots[0]
-    moved = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[moved], fps[label[moved]]
+        near = np.flatnonzero((np.bitwise_count(bits ^ bits[i]) <= threshold) & (label != label[i]))
+        if len(near):
+            roots, first = np.unique(label[near], return_index=True)
+            left += [i] * len(first)
+            right += near[first].tolist()
+            label[np.isin(label, roots)] = label[i]
+    return fps[np.array(left, np.int64)], fps[np.array(right, np.int64)]
 
 
 def compare(fps: np.ndarray, homes: np.ndarray, starts: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +222,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless all its ids are null; an empty table gives no rows.
     """
     docs_fp = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialise(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = materialise(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     labels = connected_components(near_links(distinct.repartition(partitions(docs.sparkSession), "fp"), threshold))
+    labels = materialise(labels, "labels")
     labelled = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = materialise(labelled.join(smallest, "component").select("fp", "component", "component_id"), "classes")
-    return docs_fp.join(classes, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+    classes = materialise(labelled.join(smallest, "component").select("fp", "n", "component", "component_id"), "classes")
+    return join_counted(docs_fp, classes, ["fp"], docs_fp.count()).select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, width: int = 5, similarity: float | None = None) -> DataFrame:
