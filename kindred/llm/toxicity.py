@@ -5,9 +5,12 @@ an informative Dirichlet prior (the words' shares in both together). Words whose
 stands out by several standard deviations make the lexicon, with prefixes as a back-off
 for compounds; every other word counts slightly against. One pass over a text finds all
 maximal segments of positive total, each of which is longer or better than any way to
-cut it. The best total S of a text with n words is set against what chance gives, whose
-upper tail is exp(-K n exp(-lambda S)): lambda is the root of the moment equation over
-clean words, and labelled documents fit the constant and the slope of the probability.
+cut it. By chance alone the number of segments of total S in n words is about
+K n exp(-lambda S): lambda is the root of the moment equation over clean words, K the
+most likely one given the best segments of clean labelled documents. That gives every
+passage a p-value; significant ones are reported, and a document's passages are taken
+together by the law of the sum of the r best, whose smallest p-value over r is what a
+logistic curve, fitted on labelled documents, turns into the probability.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ LEAST_Z = 3.0
 #: Largest lexicon; the entries that stand out most stay.
 MAX_LEXICON = 100_000
 PREFIXES = (5, 6, 7)
+#: Passages with a larger p-value are put down to chance.
+ALPHA = 0.05
 #: Weight of a word outside the lexicon.
 OTHER = -0.2
 _WORD = re.compile(r"[^\W\d_]+")
@@ -75,6 +80,7 @@ def maximal_segments(weights: list[tuple[int, float]]) -> list[tuple[int, int, f
 class Model:
     lexicon: dict[str, float]
     rate: float  # lambda of the extreme-value law
+    k: float  # and its K
     intercept: float
     slope: float
 
@@ -105,10 +111,31 @@ class Scorer:
                 sparse.append((i, v))
         return len(words), maximal_segments(sparse)
 
+    def normalised(self, n: int, total: float) -> float:
+        """``lambda S - log(K n)``: minus the log of how many segments like it are expected by chance."""
+        return self.model.rate * total - math.log(self.model.k * max(n, 1))
+
+    def p_value(self, n: int, total: float) -> float:
+        """The chance of a best segment of ``total`` or more in ``n`` words."""
+        return -math.expm1(-math.exp(-self.normalised(n, total)))
+
     def statistic(self, n: int, segments: list[tuple[int, int, float]]) -> float:
-        """``lambda S - log n``: minus the log of the expected number of such segments by chance, but for K."""
-        best = max((s for _, _, s in segments), default=0.0)
-        return self.model.rate * best - math.log(n + 1)
+        """Minus the log of the smallest p-value of the r best segments together, over all r.
+
+        The sum t of r normalised totals exceeds t by chance with probability about
+        ``exp(-t) t^(r-1) / (r! (r-1)!)`` (Karlin and Altschul, 1993), for t well over r.
+        """
+        values = sorted((self.normalised(n, s) for _, _, s in segments), reverse=True)
+        best = -math.log(max(self.p_value(n, max((s for _, _, s in segments), default=0.0)), 1e-300))
+        t, parts = 0.0, 0.0
+        for r, x in enumerate(values, 1):
+            if x <= 0:
+                break
+            t += x
+            parts += math.log(r) + math.log(max(r - 1, 1))  # log r! + log (r-1)!
+            if t > r * r:
+                best = max(best, t - (r - 1) * math.log(t) + parts - math.log(r * (r + 1) / 2))
+        return best
 
     def score(self, n: int, segments: list[tuple[int, int, float]]) -> float:
         z = self.model.intercept + self.model.slope * self.statistic(n, segments)
@@ -122,13 +149,11 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, most: int =
     return {r["i"]: r["y"] for r in rows}
 
 
-def _word_counts(docs: DataFrame, labels: dict[int, int], id_col: str, text_col: str) -> DataFrame:
-    """``(entry, toxic, clean)``: in how many labelled documents of either class each entry occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(labels)
+def _word_counts(labelled: DataFrame) -> DataFrame:
+    """``(entry, toxic, clean)``: in how many of the ``doc_id, text, y`` rows of either class each entry occurs."""
 
     def run(batches):
         mine: dict[str, list[int]] = {}
-        known = shared.value
 
         def flush():
             keys = list(mine)
@@ -137,20 +162,15 @@ def _word_counts(docs: DataFrame, labels: dict[int, int], id_col: str, text_col:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts[:, 1]), pa.array(counts[:, 0])], ["entry", "toxic", "clean"])
 
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for k, d in enumerate(ids):
-                if (y := known.get(d)) is None:
-                    continue
-                text = batch.column("text")[k].as_py() or ""
-                for e in {e for w in set(_WORD.findall(text.lower())) for e in entries(w)}:
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                for e in {e for w in set(_WORD.findall((text.as_py() or "").lower())) for e in entries(w)}:
                     mine.setdefault(e, [0, 0])[1 if y else 0] += 1
                 if len(mine) > 200_000:
                     yield flush()
         if mine:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return labelled.select("text", "y").mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _root(weights: np.ndarray, shares: np.ndarray) -> float:
@@ -180,18 +200,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 def fit(docs: DataFrame, labels: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the documents whose ids are in ``labels`` (a bounded sample).
 
-    The lexicon and at most one statistic for each labelled document come to the
+    The lexicon and at most one row of figures for each labelled document come to the
     driver. Without both classes nothing can be learnt: every score is then the share
     of toxic labels (0 if there are none).
     """
     toxic = sum(1 for y in labels.values() if y)
     if not toxic or toxic == len(labels):
         share = min(max((toxic + 1e-9) / (len(labels) + 1), 1e-6), 1 - 1e-6)
-        return Model({}, 1.0, math.log(share / (1 - share)), 0.0)
-    counts = materialise(_word_counts(docs, labels, id_col, text_col), "words")
+        return Model({}, 1.0, 1.0, math.log(share / (1 - share)), 0.0)
+    known = docs.sparkSession.createDataFrame(list(labels.items()), "doc_id long, y int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    labelled = materialise(rows.join(F.broadcast(known), "doc_id"), "labelled")  # the labels are a bounded sample
+    counts = materialise(_word_counts(labelled), "words")
     n1, n0 = (float(v or 0) for v in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     if not n1 or not n0:
-        return Model({}, 1.0, math.log(toxic / (len(labels) - toxic)), 0.0)
+        return Model({}, 1.0, 1.0, math.log(toxic / (len(labels) - toxic)), 0.0)
     prior = PRIOR_SHARE * (n1 + n0)
     a = (F.col("toxic") + F.col("clean")) * PRIOR_SHARE
     odds = lambda y, n: F.log((y + a) / (n + prior - y - a))
@@ -203,39 +226,45 @@ def fit(docs: DataFrame, labels: dict[int, int], id_col: str = "doc_id", text_co
     plain = [(r["weight"], r["clean"] + 0.5) for r in rows if not r["entry"].startswith("^")]
     weights = np.array([w for w, _ in plain] + [OTHER])
     mass = np.array([c for _, c in plain] + [max(n0 - sum(c for _, c in plain), 1.0)])
-    rough = Model(lexicon, _root(weights, mass / mass.sum()), 0.0, 1.0)
-    seen = score(docs, rough, id_col, text_col, only=labels).groupBy("doc_id").agg(F.max("statistic").alias("statistic")).collect()
-    x, y = np.array([r["statistic"] for r in seen]), np.array([labels[r["doc_id"]] for r in seen], float)
-    return Model(lexicon, rough.rate, *_logistic(x, (y > 0).astype(float)))
+    rough = Model(lexicon, _root(weights, mass / mass.sum()), 1.0, 0.0, 1.0)
+    best = score(labelled, rough).groupBy("doc_id").agg(F.max(F.struct("best", "n_words")).alias("b")).collect()
+    k = _most_likely_k(rough.rate, [(r["b"]["n_words"], r["b"]["best"]) for r in best if not labels[r["doc_id"]]])
+    found = score(labelled, Model(lexicon, rough.rate, k, 0.0, 1.0)).groupBy("doc_id").agg(F.max("statistic").alias("statistic")).collect()
+    x, y = np.array([r["statistic"] for r in found]), np.array([labels[r["doc_id"]] for r in found], float)
+    return Model(lexicon, rough.rate, k, *_logistic(x, (y > 0).astype(float)))
+
+
+def _most_likely_k(rate: float, clean: list[tuple[int, float]]) -> float:
+    """K of the law ``P(best < S) = exp(-K n exp(-rate S))``, given the lengths and best totals of clean documents."""
+    return len(clean) / max(math.fsum(max(n, 1) * math.exp(-rate * s) for n, s in clean), 1e-300) if clean else 1.0
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", only: dict[int, int] | None = None) -> DataFrame:
-    """``(doc_id, statistic, score, passages)`` for every row (or those in ``only``), without a shuffle.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_words, best, statistic, score, passages)`` for every row, without a shuffle.
 
-    ``passages`` are the maximal segments ``(first, last, total)`` in word positions.
+    ``passages`` are the maximal segments ``(first, last, total, p_value)`` in word
+    positions whose p-value is ``ALPHA`` or less, ``best`` the largest total of any.
     Null and empty texts have no words: they get the score of a text in which nothing
     stands out. Every row keeps its own result; an empty table gives no rows.
     """
-    context = docs.sparkSession.sparkContext
-    shared, wanted = context.broadcast(model), context.broadcast(only)
-    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("total", pa.float64())]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("total", pa.float64()), ("p_value", pa.float64())]))
 
     def make():
-        scorer, keep = Scorer(shared.value), wanted.value
+        scorer = Scorer(shared.value)
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if keep is not None:
-                batch = batch.filter(pa.array([d in keep for d in batch.column("doc_id").to_pylist()]))
             found = [scorer.segments(t or "") for t in batch.column("text").to_pylist()]
             return pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([scorer.statistic(*f) for f in found], pa.float64()), pa.array([scorer.score(*f) for f in found], pa.float64()),
-                pa.array([[{"first": a, "last": b, "total": s} for a, b, s in segments] for _, segments in found], kind),
-            ], ["doc_id", "statistic", "score", "passages"])
+                batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([max((s for _, _, s in x), default=0.0) for _, x in found], pa.float64()),
+                pa.array([scorer.statistic(*f) for f in found], pa.float64()), pa.array([scorer.score(*f) for f in found], pa.float64()),
+                pa.array([[{"first": a, "last": b, "total": s, "p_value": p} for a, b, s in segments if (p := scorer.p_value(n, s)) <= ALPHA] for n, segments in found], kind),
+            ], ["doc_id", "n_words", "best", "statistic", "score", "passages"])
 
         return kernel
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, "doc_id long, statistic double, score double, passages array<struct<first:long,last:long,total:double>>")
+    return map_rows(rows, make, "doc_id long, n_words long, best double, statistic double, score double, passages array<struct<first:long,last:long,total:double,p_value:double>>")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
