@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kindred.llm.common import map_rows, partitions, table
 from kindred.llm.tokens import ROWS, crc32, encoder, with_end
-from kindred.plans.storage import fresh_path, materialise
+from kindred.plans.storage import discard, fresh_path, materialise
 
 MAGIC = b"KTF1"
 BLOCK_IDS = 4096
@@ -129,7 +129,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     vocabulary = encoder(tokenizer, by_word).vocabulary
     bits = bits_for(max(vocabulary, end_id + 1))
-    rows = materialise(encoded(docs, id_col, text_col, end_id, tokenizer, by_word), "ids").withColumn("nth", F.monotonically_increasing_id())
+    ids = materialise(encoded(docs, id_col, text_col, end_id, tokenizer, by_word), "ids", "zstd")
+    rows = ids.withColumn("nth", F.monotonically_increasing_id())
     order = ["doc_id", "tie", "nth"]
     dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
@@ -156,7 +157,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield segment()
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
-    dealt.select("doc_id", "n", "ids").mapInArrow(run, "part int, seq long, first_id long, last_id long, n_docs long, n_ids long, data binary").write.parquet(path)
+    dealt.select("doc_id", "n", "ids").mapInArrow(run, "part int, seq long, first_id long, last_id long, n_docs long, n_ids long, data binary").write.option("compression", "zstd").parquet(path)
+    discard(ids)
 
 
 def read_documents(spark, path: str, doc_ids: list[int]) -> DataFrame:
