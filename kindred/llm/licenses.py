@@ -16,6 +16,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kindred.llm import signatures
 from kindred.llm.common import map_rows, table
 
 #: Fixed values of the contract: phrases whose places are counted, and their labels.
@@ -91,21 +92,20 @@ SETTINGS = (
 #: Settings that end with the word license, which a name written out has itself.
 _TAILED = tuple(i for i, (_, setting) in enumerate(SETTINGS) if setting.endswith("{} licen[cs]e"))
 
-#: Texts of licenses: label, keyword, and the words by which it is known.
-BODIES = (
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("boost", "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
-    ("isc", "with or without fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted provided that"),
-    ("bsd-3", "neither the name", "neither the names? of (?:[^ ]+ ){1,12}may be used to endorse or promote products derived from this software"),
-    ("bsd-4", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
-    ("zlib", "express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("unlicense", "free and unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "public license", "do what the fuck you want to public license"),
+#: Tables of signatures, how sure each is, and what may stand before a match.
+SIGNATURES = (
+    (0.99, signatures.WHOLE, ""),
+    (0.98, signatures.LATER, "(?:(?:licensed|released|distributed|published|available) )?(?:under )?(?:the )?(?:terms of )?(?:the )?"),
+    (0.96, signatures.BODIES, ""),
+    (0.92, signatures.NOTICES, ""),
 )
-
-#: Without any of these no rule and no phrase can match.
-_GATE = ("licen", "spdx", "cc by", "leased under", "distributed under", "published under", "available under", "governed by", "covered by", "modify it under", "modified under", "subject to", *(keyword for _, keyword, _ in BODIES))
+_SPDX_ID = "|".join(sorted(signatures.SPDX, key=len, reverse=True))
+#: An expression of identifiers; each of them is a finding.
+SPDX = re.compile(f"(?<= )spdx license identifier (?:{_SPDX_ID})(?: (?:and|or|with) (?:{_SPDX_ID}))*(?= )")
+_SPDX_PART = re.compile(f"(?<= )(?:spdx license identifier |and |or |with )?(?P<id>{_SPDX_ID})(?= )")
+SPDX_SURE = 0.995
+#: Without any of these none of the settings can match.
+_STEMS = ("licen", "spdx", "cc by", "leased under", "distributed under", "published under", "available under", "governed by", "covered by", "modify it under", "modified under", "subject to")
 #: Characters in a block of the index of findings already taken.
 _BLOCK = 256
 _WORDS = bytes(c if chr(c).isdigit() or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -134,9 +134,23 @@ def _written(name: str) -> str | None:
     return out if "licen" in out and out != "unlicense" else None
 
 
+_GAP = re.compile(r"~(\d+) ")
+
+
+def _gap(m: re.Match[str]) -> str:
+    return f"(?:[^ ]+ ){{0,{m[1]}}}?"
+
+
+@cache
+def gate() -> tuple[str, ...]:
+    """Without any of these no rule and no phrase can match; keywords that hold another one are left out."""
+    keys = {*_STEMS, *(k for _, text, _ in SIGNATURES for _, k, _ in signatures.read(text))}
+    return tuple(sorted(k for k in keys if not any(x != k and x in k for x in keys)))
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
-    """Every license in every setting, most certain setting first, and within one the names as listed; then texts of licenses."""
+    """Every license's name in every setting, most certain setting first, and the signatures written by hand, in their order."""
     made = []
     for i, (sure, setting) in enumerate(SETTINGS):
         for label, (keys, name) in NAMES.items():
@@ -144,7 +158,8 @@ def rules() -> tuple[Rule, ...]:
             if i in _TAILED and (written := _written(name)):
                 said += "|" + setting.removesuffix(" licen[cs]e").format(_versioned(written))
             made.append((sure, label, keys, f"(?<= )(?:{said})(?= )"))
-    made += [(0.98, label, key, f"(?<= ){words}(?= )") for label, key, words in BODIES]
+    for sure, text, before in SIGNATURES:
+        made += [(sure, label, key, f"(?<= ){before}(?:{_GAP.sub(_gap, words)})(?= )") for label, key, words in signatures.read(text)]
     return tuple(Rule(i, label, sure, tuple(keys.split("|")), re.compile(p)) for i, (sure, label, keys, p) in enumerate(made))
 
 
@@ -172,6 +187,9 @@ def scan(line: str) -> list[Finding]:
                 present[k] = k in line
         if any(present[k] for k in rule.keywords):
             found += [(rule.order, m.start(), m.end(), rule) for m in rule.pattern.finditer(line)]
+    if "spdx license identifier" in line:
+        for m in SPDX.finditer(line):
+            found += [(-1, x.start(), x.end(), _spdx(x["id"])) for x in _SPDX_PART.finditer(line, m.start(), m.end() + 1)]
     # Between rules of one setting the longest finding goes first.
     found.sort(key=lambda x: (-x[3].sure, x[1] - x[2], x[0], x[1]))
     taken: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -186,6 +204,11 @@ def scan(line: str) -> list[Finding]:
     return [Finding(r.label, r.sure, n, n + line.count(" ", a, b) + 1, r.order) for n, (a, b, r) in zip(starts, kept, strict=True)]
 
 
+@cache
+def _spdx(words: str) -> Rule:
+    return Rule(-1, signatures.SPDX[words], SPDX_SURE, (), SPDX)
+
+
 def _word_positions(line: str, spaces: list[int]) -> list[int]:
     """Which word follows the space at each of these ascending places."""
     out, at, n = [], 0, 0
@@ -220,7 +243,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def make():
         def one(text: str) -> tuple[int, list, list]:
             line, n = words_of(text)
-            if not any(g in line for g in _GATE):
+            if not any(g in line for g in gate()):
                 return n, [], []
             return n, [{"word": w, "label": x} for w, x in places(line)], [{"label": f.label, "sure": f.sure, "start": f.start, "end": f.end} for f in scan(line)]
 
