@@ -11,8 +11,9 @@ that has both an identifier or endpoint and a secret.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -86,14 +87,21 @@ def _weak(text: str, sure: list[Span]) -> list[Span]:
     return [w for w in out if (i := bisect_left(starts, w.start + 1)) == 0 or ends[i - 1] < w.end]
 
 
-def _near(part: Span, others: list[Span], starts: list[int], longest: int, window: int) -> bool:
-    """Whether one of ``others`` (by start) lies within ``window`` of ``part``; itself doesn't count."""
-    i = bisect_left(starts, part.start - window - longest)
-    while i < len(others) and others[i].start <= part.end + window:
-        if others[i] is not part and others[i].end >= part.start - window:
-            return True
-        i += 1
-    return False
+@dataclass(frozen=True)
+class Side:
+    """The spans of one side of a credential, by start; ``tops`` is the largest end up to each."""
+
+    starts: list[int]
+    tops: list[int]
+
+    @classmethod
+    def of(cls, spans: list[Span]) -> Side:
+        return cls([s.start for s in spans], list(accumulate((s.end for s in spans), max)))
+
+    def meets(self, part: Span, window: int) -> bool:
+        """Whether one of the spans lies within ``window`` of ``part``: of those that start early enough, the one that ends last."""
+        i = bisect_right(self.starts, part.end + window)
+        return i > 0 and self.tops[i - 1] >= part.start - window
 
 
 def linked(text: str, sure: list[Span], window: int | None = WINDOW) -> list[Span]:
@@ -113,10 +121,8 @@ def linked(text: str, sure: list[Span], window: int | None = WINDOW) -> list[Spa
         ends = [s for s in parts if s.kind == "endpoint"]
         if not secrets or not (names or ends):
             continue
-        sides = {k: (v, [s.start for s in v], max((s.end - s.start for s in v), default=0)) for k, v in (("names", names), ("secrets", secrets), ("ends", ends))}
-        for s in parts:
-            if s.kind in WEAK and (any(_near(s, *sides[k], window) for k in ("names", "ends")) if s.kind == "key" else _near(s, *sides["secrets"], window)):
-                out.append(s)
+        whose, what = Side.of(sorted(names + ends)), Side.of(secrets)
+        out += [s for s in parts if s.kind in WEAK and (whose if s.kind == "key" else what).meets(s, window)]
     return out
 
 
