@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage and the SQL for those that SQL can express."""
+"""The registered queries of this subpackage and the SQL for those that SQL can express.
+
+What an operator's method adds is beyond SQL, so the parts of four results that SQL can
+state have queries of their own beside the full ones, through the same operators.
+"""
 
 from __future__ import annotations
 
@@ -17,11 +21,51 @@ from kindred.llm.simhash import op7_simhash
 from kindred.llm.tokenfile import op3_token_file
 from kindred.llm.toxicity import op9_toxicity
 
+Query = Callable[..., DataFrame]
+
+
+def edited_texts(spark, sf_dir: str) -> DataFrame:
+    """Lengths of all texts and digests of their edited texts, from ``op1_fingerprints``."""
+    return op1_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def license_phrases(spark, sf_dir: str) -> DataFrame:
+    """Words and places of the fixed phrases, from ``op2_licenses``."""
+    return op2_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_counts(spark, sf_dir: str) -> DataFrame:
+    """How many secrets of each strong kind every text holds, from ``op6_secrets``."""
+    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mixing_sizes(spark, sf_dir: str) -> DataFrame:
+    """Every document's size and its source's size, from ``op10_mixing``."""
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = {
+    "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS following FROM d)
+        SELECT doc_id, length(text) AS n_chars, sha256(left(text, length(text) - length(text) // 3) || left(following, length(text) // 3)) AS edited_sha256 FROM f""",
+    "license_phrases": f"""WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents), p AS (SELECT * FROM (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')) t(phrase, label)),
+        i AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE list_has_any(words, ['mit', 'apache', 'cc'])), h AS (SELECT doc_id, label, i - 1 AS place FROM i JOIN p ON words[i] = phrase[1] WHERE words[i : i + len(phrase) - 1] = phrase)
+        SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id) USING (doc_id)""",
+    "secret_counts": f"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+        len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "mixing_sizes": r"""SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents)""",
+}
+
 
-def queries() -> dict[str, Callable[..., DataFrame]]:
+def queries() -> dict[str, Query]:
     found = [op1_fingerprints, op2_licenses, op3_token_file, op4_packing, op5_quality, op6_secrets, op7_simhash, op8_neighbours, op9_toxicity, op10_mixing]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in [*found, edited_texts, license_phrases, secret_counts, mixing_sizes]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
