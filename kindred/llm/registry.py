@@ -15,6 +15,7 @@ from kindred.llm.licenses import op2_licenses
 from kindred.llm.mixing import op10_mixing
 from kindred.llm.neighbours import op8_neighbours
 from kindred.llm.packing import op4_packing
+from kindred.llm.periods import op11_periods
 from kindred.llm.quality import op5_quality
 from kindred.llm.secrets import op6_secrets
 from kindred.llm.simhash import op7_simhash
@@ -58,12 +59,22 @@ SQL = {
         SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id) USING (doc_id)""",
     "secret_counts": f"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
         len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "op11_periods": r"""WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda k: CAST(ascii(k) AS BIGINT))), lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) AS h FROM documents),
+        b AS (SELECT doc_id, ws, h % 10 = 0 AND len(ws) > 0 AS planted, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) ELSE 0 END AS a, (h // 10) % 8 AS t FROM c),
+        d AS (SELECT doc_id, CASE WHEN planted THEN list_transform(range(len(ws)), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(ws) - a) // (3 + t)) END]) ELSE ws END AS ws FROM b),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i, len(ws) AS n FROM d),
+        m AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        g AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+        r AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g o WHERE o.doc_id = g.doc_id AND o.q < g.q AND o.s <= g.s AND o.s + o.l >= g.s + g.l)),
+        f AS (SELECT doc_id, count(*) AS n_runs, first(s ORDER BY l DESC, s, q) AS s, max(l) AS l, first(q ORDER BY l DESC, s, q) AS q, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY doc_id),
+        k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = w.doc_id AND w.i >= r.s + r.q AND w.i < r.s + r.l) GROUP BY w.doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "mixing_sizes": r"""SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents)""",
 }
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_fingerprints, op2_licenses, op3_token_file, op4_packing, op5_quality, op6_secrets, op7_simhash, op8_neighbours, op9_toxicity, op10_mixing]
+    found = [op1_fingerprints, op2_licenses, op3_token_file, op4_packing, op5_quality, op6_secrets, op7_simhash, op8_neighbours, op9_toxicity, op10_mixing, op11_periods]
     return {f.__name__: f for f in [*found, edited_texts, license_phrases, secret_counts, mixing_sizes]}
 
 
