@@ -1,7 +1,8 @@
 """The registered queries of this subpackage and the SQL for those that SQL can express.
 
-What an operator's method adds is beyond SQL, so the parts of four results that SQL can
-state have queries of their own beside the full ones, through the same operators.
+The results of 11 and 13 are SQL's; what the other operators' methods add is beyond
+SQL, so the parts of four results that SQL can state have queries of their own beside
+the full ones, through the same operators.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from kindred.llm.fingerprint import op1_fingerprints
+from kindred.llm.languages import op12_languages
+from kindred.llm.lexical import op13_lexical_search
 from kindred.llm.licenses import op2_licenses
 from kindred.llm.mixing import op10_mixing
 from kindred.llm.neighbours import op8_neighbours
@@ -59,6 +62,12 @@ SQL = {
         SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id) USING (doc_id)""",
     "secret_counts": f"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
         len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "op13_lexical_search": r"""WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents) GROUP BY ALL),
+        d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY 1), s AS (SELECT count(*) AS c, CAST(sum(n) AS BIGINT) AS l FROM d),
+        m AS (SELECT doc_id, 75 + (25 * n * c) // l AS m FROM d, s), f AS (SELECT term, CAST(floor(1000 * ln((2 * c + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY 1), s),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        r AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 20""",
     "op11_periods": r"""WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda k: CAST(ascii(k) AS BIGINT))), lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) AS h FROM documents),
         b AS (SELECT doc_id, ws, h % 10 = 0 AND len(ws) > 0 AS planted, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) ELSE 0 END AS a, (h // 10) % 8 AS t FROM c),
         d AS (SELECT doc_id, CASE WHEN planted THEN list_transform(range(len(ws)), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(ws) - a) // (3 + t)) END]) ELSE ws END AS ws FROM b),
@@ -74,7 +83,7 @@ SQL = {
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_fingerprints, op2_licenses, op3_token_file, op4_packing, op5_quality, op6_secrets, op7_simhash, op8_neighbours, op9_toxicity, op10_mixing, op11_periods]
+    found = [op1_fingerprints, op2_licenses, op3_token_file, op4_packing, op5_quality, op6_secrets, op7_simhash, op8_neighbours, op9_toxicity, op10_mixing, op11_periods, op12_languages, op13_lexical_search]
     return {f.__name__: f for f in [*found, edited_texts, license_phrases, secret_counts, mixing_sizes]}
 
 
