@@ -15,6 +15,8 @@ from kindred.plans.storage import materialise
 #: Order of the methods in numbering and reports.
 METHOD_ORDER = ("exact", "perceptual", "feature", "video", "semantic")
 BITS = 64
+#: The columns of ``all_groups``.
+GROUPS = "method string, first_ord long, n_files long, similarity double, multi_account boolean, group_id long"
 
 
 def assign_scope(files: DataFrame, cross_doc: bool = False, source_group: str = "source_group") -> DataFrame:

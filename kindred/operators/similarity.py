@@ -2,82 +2,126 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from dataclasses import dataclass
+from itertools import combinations, groupby
+from math import comb, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kindred.functions.scalars import hamming, l2_normalise
+from kindred.operators import tiles
+from kindred.plans.joins import join_tiled
 from kindred.plans.storage import materialise
 
-BANDS, BAND_BITS = 4, 16
-#: Above so many flips in a band, probing costs more than comparing blocks of hashes.
-MAX_FLIPS = 2
-BLOCK_ROWS = 4096
-
-
-def _masks(flips: int) -> list[int]:
-    return [sum(1 << b for b in at) for n in range(flips + 1) for at in combinations(range(BAND_BITS), n)]
-
-
-def _bands(h: Column) -> list[Column]:
-    return [F.shiftrightunsigned(h, BAND_BITS * b).bitwiseAND((1 << BAND_BITS) - 1).cast("int") for b in range(BANDS)]
-
-
-def hamming_pairs(hashes: DataFrame, threshold: int, scope: str = "scope", column: str = "h", method: str | None = None, fresh: DataFrame | None = None) -> DataFrame:
+BITS = 64
+#: What a shuffled probe and a comparison of two hashes cost, relative to each other.
+PROBE_COST, COMPARE_COST = 1.0, 0.02
+#: Probes of one hash, at most.
+MAX_PROBES = 20_000
+BLOCK_ROWS = tiles.BLOCK_ROWS
+#: Pivots by which blocks of vectors are told apart.
+PIVOTS = 16
+
+
+@dataclass(frozen=True)
+class Band:
+    """Some bits of a hash, and in how many of them two near hashes may differ."""
+
+    bits: tuple[int, ...]
+    flips: int
+
+    @property
+    def mask(self) -> int:
+        """The band's bits as a signed 64-bit number."""
+        m = sum(1 << b for b in self.bits)
+        return m - (1 << 64) if m >> 63 else m
+
+    def value(self, h: Column) -> Column:
+        """The band's bits next to each other; bits in a row move together."""
+        out, at = F.lit(0).cast("long"), 0
+        for _, run in groupby(enumerate(self.bits), lambda x: x[1] - x[0]):
+            own = [b for _, b in run]
+            part = F.shiftrightunsigned(h, own[0])
+            if len(own) < BITS:
+                part = part.bitwiseAND((1 << len(own)) - 1)
+            out, at = out.bitwiseOR(F.shiftleft(part, at)), at + len(own)
+        return out
+
+    def masks(self) -> list[int]:
+        w = len(self.bits)
+        found = [sum(1 << b for b in at) for n in range(self.flips + 1) for at in combinations(range(w), n)]
+        return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
+def plan_bands(threshold: int, n: int, ones: list[int] | None = None) -> list[Band]:
+    """Bands for ``n`` hashes: two hashes within ``threshold`` bits agree, up to a band's flips, in one of them.
+
+    If the flips of m bands and one for each band come to more than the threshold, not
+    all bands can differ more. Bits are dealt so that bands hold equally much
+    information (``ones``: how often each bit is set), so a bit that hardly varies makes
+    no band coarse; the number of bands is the one for which probing and comparing cost
+    least.
+    """
+    share = [min(max((k + 0.5) / (n + 1), 1e-9), 1 - 1e-9) for k in (ones or [n // 2] * BITS)]
+    told = [-p * log2(p) - (1 - p) * log2(1 - p) for p in share]
+    even = min(told) > 0.5
+    best: tuple[float, list[Band]] | None = None
+    for m in range(1, min(threshold + 1, BITS) + 1):
+        if even:
+            ends = [BITS * k // m for k in range(m + 1)]
+            groups = [list(range(a, b)) for a, b in zip(ends, ends[1:], strict=False)]
+        else:
+            groups = [[] for _ in range(m)]
+            for b in sorted(range(BITS), key=lambda b: -told[b]):
+                min(groups, key=lambda g: (sum(told[x] for x in g), len(g))).append(b)
+        base, more = divmod(threshold + 1, m)
+        groups.sort(key=lambda g: -sum(told[b] for b in g))
+        bands = [Band(tuple(sorted(g)), base - 1 + (k < more)) for k, g in enumerate(groups)]
+        probes = [sum(comb(len(b.bits), f) for f in range(b.flips + 1)) for b in bands]
+        if sum(probes) > MAX_PROBES and best is not None:
+            continue
+        cost = sum(p * (PROBE_COST + COMPARE_COST * n / 2 ** sum(told[x] for x in b.bits)) for p, b in zip(probes, bands, strict=True))
+        if best is None or cost < best[0] or sum(len(x.masks()) for x in best[1]) > MAX_PROBES:
+            best = cost, bands
+    return best[1]
+
+
+def _bits_of(threshold: int) -> int:
+    return max(0, min(threshold, BITS))
+
+
+def hamming_pairs(hashes: DataFrame, threshold: int, scope: str = "scope", column: str = "h", fresh: DataFrame | None = None, bands: list[Band] | None = None) -> DataFrame:
     """``(scope, x, y, dist)``: distinct hashes x < y of one scope within ``threshold`` bits.
 
-    Multi-index hashing: two hashes within t bits agree up to t // 4 bits in one of four
-    bands, so one side probes every value that near and both meet by an equi-join. From
-    ``method="blocks"`` (the default for thresholds of 12 and more) blocks of hashes are
-    compared instead, each pair of blocks in one task. With ``fresh`` (rows with the
-    same columns) only pairs with a hash of those are looked for, and only they probe.
+    Multi-index hashing: one side probes every value near enough of every band, and both
+    meet by an equi-join in which values that very many hashes share are dealt into
+    tiles (``join_tiled``). A pair comes out of its first fitting band only. With
+    ``fresh`` (rows with the same columns) only pairs with a hash of those are looked
+    for, and only they probe. ``bands`` replaces the planned ones.
     """
-    distinct = hashes.filter(F.col(column).isNotNull()).select(F.col(scope).cast("string").alias("scope"), F.col(column).alias("h")).distinct()
-    flips = threshold // BANDS
-    if method == "blocks" or (method is None and flips > MAX_FLIPS):
-        return _blocked_hamming(distinct, threshold)
-    band = F.posexplode(F.array(*_bands(F.col("h")))).alias("band", "value")
-    stored = distinct.select("scope", F.col("h").alias("y"), band)
-    new = distinct if fresh is None else fresh.filter(F.col(column).isNotNull()).select(F.col(scope).cast("string").alias("scope"), F.col(column).alias("h")).distinct()
-    probes = new.select("scope", F.col("h").alias("x"), band)
-    if flips:
-        probes = probes.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in _masks(flips)]))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-    found = probes.join(stored, probes["scope"].eqNullSafe(stored["scope"]) & (probes["band"] == stored["band"]) & (probes["value"] == stored["value"]) & ((F.col("x") < F.col("y")) if fresh is None else (F.col("x") != F.col("y"))) & (hamming(F.col("x"), F.col("y")) <= threshold))
-    return found.select(probes["scope"], F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), hamming(F.col("x"), F.col("y")).alias("dist")).distinct()
-
-
-def _tiles(rows: DataFrame, keys: list[str], kernel, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Deal rows into blocks and run ``kernel(left, right)`` on every pair of blocks; a side may be empty."""
-    blocks = max(1, -(-rows.count() // block_rows))
-    own = rows.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    left = own.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i", F.least("block", "tile")).withColumn("j", F.greatest("block", "tile"))
-    again = [F.col(c).alias(c) for c in left.columns]  # the two sides must not share attributes
-    first, second = left.filter("block = i"), left.filter("block = j").select(*again)
-
-    return first.groupBy("i", "j").cogroup(second.groupBy("i", "j")).applyInArrow(kernel, schema)
-
-
-def _blocked_hamming(distinct: DataFrame, threshold: int) -> DataFrame:
-    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
-        scopes: list = []
-        if a.num_rows and b.num_rows:
-            x, y = (t.column("h").to_numpy() for t in (a, b))
-            s, t = (np.array(v.column("scope").to_pylist(), object) for v in (a, b))
-            for lo in range(0, len(x), 512):
-                d = np.bitwise_count(x[lo : lo + 512, None].view(np.uint64) ^ y[None, :].view(np.uint64))
-                i, j = np.nonzero((d <= threshold) & (s[lo : lo + 512, None] == t[None, :]) & (x[lo : lo + 512, None] != y[None, :]))
-                found.append((np.minimum(x[lo + i], y[j]), np.maximum(x[lo + i], y[j]), d[i, j].astype(np.int64)))
-                scopes += list(s[lo + i])
-        low, high, d = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table({"scope": pa.array(scopes, pa.string()), "x": low, "y": high, "dist": pa.array(d.astype(np.int32))})
-
-    return _tiles(distinct, ["scope", "h"], kernel, "scope string, x long, y long, dist int").distinct()
-
-
-def hamming_edges(hashes: DataFrame, threshold: int = 10, column: str = "h", exclude_exact: bool = True, method: str | None = None, fresh: DataFrame | None = None) -> DataFrame:
+    of = lambda t: t.filter(F.col(column).isNotNull()).select(scope_key(F.col(scope)).alias("s"), F.col(column).alias("h")).distinct()
+    distinct, threshold = of(hashes), _bits_of(threshold)
+    if bands is None:
+        size = distinct.agg(F.count("*"), _ones(F.col("h"))).first()
+        bands = plan_bands(threshold, size[0], size[1] if size[0] else None)
+    band = F.posexplode(F.array(*[b.value(F.col("h")) for b in bands])).alias("band", "value")
+    masks = hashes.sparkSession.createDataFrame([(k, m) for k, b in enumerate(bands) for m in b.masks()], "band int, mask long")  # MAX_PROBES rows at most
+    probes = (distinct if fresh is None else of(fresh)).select("s", F.col("h").alias("x"), band)
+    probes = probes.join(F.broadcast(masks), "band").select("s", "x", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    met = join_tiled(probes, distinct.select("s", F.col("h").alias("y"), band), ["s", "band", "value"])
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    first = F.lit(True)
+    for k, b in enumerate(bands[:-1]):
+        first = first & ((F.col("band") <= k) | (F.bit_count(differ.bitwiseAND(F.lit(b.mask))) > b.flips))
+    dist = hamming(F.col("x"), F.col("y"))
+    found = met.filter(((F.col("x") < F.col("y")) if fresh is None else (F.col("x") != F.col("y"))) & (dist <= threshold) & first)
+    found = found.select(F.when(F.col("s") != "", F.substring("s", 2, 1 << 30)).alias("scope"), F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), dist.alias("dist"))
+    return found if fresh is None else found.distinct()
+
+
+def hamming_edges(hashes: DataFrame, threshold: int = 10, column: str = "h", exclude_exact: bool = True, fresh: DataFrame | None = None) -> DataFrame:
     """``(a, b, dist)``, a < b by ``ord``: rows of one scope within ``threshold`` bits, copies by md5 left out.
 
     ``hashes``: ``scope, ord, md5`` and the hash column. Equal hashes join by equality;
@@ -88,7 +132,7 @@ def hamming_edges(hashes: DataFrame, threshold: int = 10, column: str = "h", exc
     a = rows.select("scope", F.col("ord").alias("a"), F.col("md5").alias("ma"), F.col("h").alias("x"))
     b = rows.select(F.col("scope").alias("sb"), F.col("ord").alias("b"), F.col("md5").alias("mb"), F.col("h").alias("y"))
     same = a.join(b, a["scope"].eqNullSafe(b["sb"]) & (F.col("x") == F.col("y")) & (F.col("a") < F.col("b"))).select("a", "b", "ma", "mb", F.lit(0).alias("dist"))
-    pairs = hamming_pairs(hashes, threshold, column=column, method=method, fresh=fresh)
+    pairs = hamming_pairs(hashes, threshold, column=column, fresh=fresh)
     p = pairs.select(F.col("scope").alias("ps"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("dist"))
     near = a.join(p, a["scope"].eqNullSafe(p["ps"]) & (F.col("x") == F.col("px"))).select("a", "ma", "ps", "py", "dist")
     near = near.join(b, near["ps"].eqNullSafe(b["sb"]) & (F.col("py") == F.col("y"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ma", "mb", "dist")
@@ -136,14 +180,14 @@ def hash_nodes(hashes: DataFrame, exclude_exact: bool = True) -> tuple[DataFrame
     return classes, materialise(nodes, "nodes")
 
 
-def edge_sums(classes: DataFrame, nodes: DataFrame, threshold: int = 10, exclude_exact: bool = True, method: str | None = None) -> DataFrame:
+def edge_sums(classes: DataFrame, nodes: DataFrame, threshold: int = 10, exclude_exact: bool = True) -> DataFrame:
     """``(a, b, dist, dist_top, n)``: the edges of ``hamming_edges`` added up for each pair of distinct hashes.
 
     ``a`` and ``b`` are the first files with the two hashes (or one hash: a = b). The
     number of edges between two hashes and the sum of their top distances follow from
     counts of files and of bits, so a hash that very many files share costs one row.
     """
-    pairs = materialise(hamming_pairs(nodes.select(F.col("s").alias("scope"), "h"), threshold, method=method).select(F.col("scope").alias("s"), "x", "y", "dist"), "near")
+    pairs = materialise(hamming_pairs(nodes.select(F.col("s").alias("scope"), "h"), threshold).select(F.col("scope").alias("s"), "x", "y", "dist"), "near")
     n, ones = F.col("n"), F.col("ones")
     same = nodes.select(F.col("first").alias("a"), F.col("first").alias("b"), F.lit(0).cast("long").alias("dist"), (_within(n, ones) - F.col("own_top")).alias("dist_top"), ((n * (n - 1) / 2).cast("long") - F.col("own_n")).alias("n"))
     side = lambda t, x, own, *more: t.select("s", F.col("h").alias(x), *[F.col(c).alias(f"{c}_{own}") for c in ("first", "n", "ones")], *more)
@@ -157,25 +201,49 @@ def edge_sums(classes: DataFrame, nodes: DataFrame, threshold: int = 10, exclude
     return same.unionByName(near).filter("n > 0")
 
 
+def cosine_blocks(vectors: DataFrame, threshold: float, column: str = "v", block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, float]:
+    """Unit vectors in blocks (``ord, u, block``), the pairs of blocks that can hold a cosine of ``threshold``, and the share of pairs that can't.
+
+    Angles are a metric: vectors within an angle of each other are within it in their
+    angles to every pivot, too. Blocks are rings around the nearest of the pivots, which
+    are vectors of the table.
+    """
+    unit = vectors.select("ord", l2_normalise(F.col(column)).alias("u")).filter(F.exists("u", lambda x: x != 0))
+    chosen = np.array(tiles.sample(unit, "u", pivots), float)
+    shared = vectors.sparkSession.sparkContext.broadcast(chosen)
+
+    def angles(batches):
+        for batch in batches:
+            u = batch.column("u")
+            x = u.flatten().to_numpy().reshape(len(u), -1)
+            d = np.arccos(np.clip(x @ shared.value.T, -1, 1)) if len(u) else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), u, pa.array(list(d), pa.list_(pa.float64()))], ["ord", "u", "d"])
+
+    rows = unit.mapInArrow(angles, "ord long, u array<double>, d array<double>")
+    rows = tiles.in_rings(rows, F.col("d"), F.asc("ord"), block_rows=block_rows)
+    pairs, skipped = tiles.block_pairs(rows, F.col("d"), float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6)
+    return rows.drop("d"), pairs, skipped
+
+
 def cosine_edges(vectors: DataFrame, threshold: float = 0.85, column: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(a, b, cosine)``, a < b by ``ord``: all pairs of vectors with a cosine of ``threshold`` or more, exactly.
 
-    Blocks against blocks, one matrix product each. Zero vectors have no edges.
+    Blocks against blocks, one matrix product each, without the pairs of blocks that the
+    triangle inequality rules out. Zero vectors have no edges.
     """
-    unit = vectors.select("ord", l2_normalise(F.col(column)).alias("u"))
+    rows, pairs, _ = cosine_blocks(vectors, threshold, column, block_rows)
 
-    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+    def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if a.num_rows and b.num_rows:
-            (p, x), (q, y) = ((t.column("ord").to_numpy(), np.stack(t.column("u").to_numpy())) for t in (a, b))
-            for lo in range(0, len(p), 512):
-                i, j = np.nonzero(x[lo : lo + 512] @ y.T >= threshold - 1e-9)
-                exact = (x[lo + i] * y[j]).sum(axis=1)
-                keep = (p[lo + i] != q[j]) & (exact >= threshold)
-                found.append((np.minimum(p[lo + i], q[j])[keep], np.maximum(p[lo + i], q[j])[keep], exact[keep]))
+        (p, x), (q, y) = ((t.column("ord").to_numpy(), np.stack(t.column("u").to_numpy())) for t in (a, b))
+        for lo in range(0, len(p), 512):
+            i, j = np.nonzero(x[lo : lo + 512] @ y.T >= threshold - 1e-9)
+            exact = (x[lo + i] * y[j]).sum(axis=1)
+            keep = (p[lo + i] < q[j] if same else p[lo + i] != q[j]) & (exact >= threshold)
+            found.append((np.minimum(p[lo + i], q[j])[keep], np.maximum(p[lo + i], q[j])[keep], exact[keep]))
         return pa.table(dict(zip(("a", "b", "cosine"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
 
-    return _tiles(unit, ["ord"], kernel, "a long, b long, cosine double", block_rows).dropDuplicates(["a", "b"])
+    return tiles.compare(rows, pairs, kernel, "a long, b long, cosine double").dropDuplicates(["a", "b"])
 
 
 def cosine_candidates(vectors: DataFrame, threshold: float = 0.85, column: str = "v", width: float = 0.5, tables: int = 8, seed: int = 11) -> DataFrame:
@@ -219,23 +287,91 @@ def video_edges(keyframes: DataFrame, threshold: int = 10, least: float = 0.5) -
     return met.join(sizes, "a").withColumn("share", F.col("met") / F.col("n")).filter(F.col("share") > least).select("a", "b", "share")
 
 
-def all_pairs(files: DataFrame) -> DataFrame:
-    """``(a, b)`` for every two files of a scope, a < b; for scopes small enough that all pairs are wanted."""
-    a, b = files.select("scope", F.col("ord").alias("a")), files.select(F.col("scope").alias("sb"), F.col("ord").alias("b"))
-    return a.join(b, a["scope"].eqNullSafe(b["sb"]) & (F.col("a") < F.col("b"))).select("a", "b")
-
-
-def candidate_pairs(descriptors: DataFrame, band_bits: int = BAND_BITS) -> DataFrame:
+def candidate_pairs(descriptors: DataFrame, band_bits: int = 16, tile_rows: int = 8192) -> DataFrame:
     """``(a, b)``, a < b, for files with two keypoints that agree in some band of ``band_bits`` bits.
 
-    Sixteen bands of 16 bits find every pair of keypoints within 15 of 256 bits. A band
-    value that very many files share makes as many pairs; wider bands are rarer.
+    Sixteen bands of 16 bits find every pair of keypoints within 15 of 256 bits; others
+    may be missed. It is an inverted file of bands: the posting list of a value that very
+    many files share is dealt into square tiles, so its pairs are made by many tasks.
     """
     low = (1 << band_bits) - 1 if band_bits < 64 else -1
     bands = [F.shiftrightunsigned(F.col(f"w{i}"), bit).bitwiseAND(low) for i in range(4) for bit in range(0, 64, band_bits)]
     rows = descriptors.select("file", F.posexplode(F.array(*bands)).alias("band", "value")).distinct()
-    other = rows.select(F.col("file").alias("b"), "band", "value")
-    return rows.withColumnRenamed("file", "a").join(other, ["band", "value"]).filter("a < b").select("a", "b").distinct()
+    met = join_tiled(rows.withColumnRenamed("file", "a"), rows.withColumnRenamed("file", "b"), ["band", "value"], tile_rows)
+    return met.filter("a < b").select("a", "b").distinct()
+
+
+def _score(good: Column, kp_a: Column, kp_b: Column) -> Column:
+    """The good share of the smaller file's keypoints; 0 with under two."""
+    least = F.least(kp_a, kp_b)
+    return F.when(least < 2, 0.0).otherwise(F.round(F.least(F.lit(1.0), good / least), 3))
+
+
+def _signs(table: pa.Table) -> np.ndarray:
+    """256 signs, 1 or -1, for every descriptor: distances follow from their products."""
+    words = np.stack([table.column(f"w{i}").to_numpy() for i in range(4)], axis=1)
+    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
+def good_matches(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, ratio: float) -> np.ndarray:
+    """How many keypoints of every file of a (row) have a good match in every file of b (column).
+
+    ``a`` and ``b`` are signs, keypoints of a file next to each other, from ``a_first``
+    and ``b_first`` on. A good match is nearer than ``ratio`` times the second nearest.
+    """
+    sizes = np.diff(np.append(b_first, len(b)))
+    out = np.zeros((len(a), len(b_first)), np.int64)
+    for lo in range(0, len(a), 512):
+        d = (a.shape[1] - a[lo : lo + 512] @ b.T) / 2  # whole numbers, exact
+        nearest = np.minimum.reduceat(d, b_first, axis=1)
+        hit = d == np.repeat(nearest, sizes, axis=1)
+        twice = np.add.reduceat(hit, b_first, axis=1, dtype=np.int32) > 1
+        d[hit] = np.inf
+        second = np.where(twice, nearest, np.minimum.reduceat(d, b_first, axis=1))
+        out[lo : lo + 512] = (nearest < ratio * second) & (sizes > 1)
+    return np.add.reduceat(out, a_first, axis=0)
+
+
+def descriptor_scores(descriptors: DataFrame, ratio: float = 0.75, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(a, b, kp_a, kp_b, good, score)`` of all pairs of files a < b that have a good match, exactly.
+
+    ``descriptors``: ``file, kp, w0, w1, w2, w3``, four 64-bit words. Every keypoint of a
+    takes its two nearest of b by the Hamming distance; it is a good match if the nearer
+    is closer than ``ratio`` times the other. The score is the good share of the file
+    with fewer keypoints, 0 if that has under two; pairs without a good match score 0,
+    too, and have no row. All pairs count, since a keypoint's nearest may be good
+    however far it is; so files are dealt into blocks of about ``block_rows`` keypoints
+    in their order, and blocks are compared by matrix products. Keypoints of a file
+    stay together; an extractor bounds their number.
+    """
+    words = [f"w{i}" for i in range(4)]
+    whole = descriptors.select("file", "kp", *words).dropna()
+    ranked = tiles.in_blocks(whole, F.asc("file"), F.asc("kp"), block_rows=block_rows)
+    own = ranked.groupBy("file").agg(F.min("block").alias("block"), F.count("*").alias("kp_n"))
+    rows = materialise(ranked.drop("block").join(own, "file").select("block", "file", *words), "descriptors")
+    last = own.agg(F.max("block")).first()[0]
+    blocks = descriptors.sparkSession.range(0 if last is None else last + 1)
+    pairs = blocks.select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id"), F.lit(last or 0).cast("long"))).alias("j"))
+    for side in "ij":  # a file's keypoints may leave a block without any
+        pairs = pairs.join(own.select(F.col("block").alias(side)).distinct(), side, "left_semi")
+    kind = rows.schema["file"].dataType.simpleString()
+
+    def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+        sides = []
+        for t in (a,) if same else (a, b):
+            t = t.sort_by("file")
+            names = np.array(t.column("file").to_pylist(), object)
+            sides.append((names, np.flatnonzero(np.append(True, names[1:] != names[:-1])), _signs(t)))
+        (x, xf, xs), (y, yf, ys) = sides[0], sides[-1]
+        good = good_matches(xs, xf, ys, yf, ratio)
+        if same:
+            good = np.triu(good, 1)
+        i, j = np.nonzero(good)
+        return pa.table([pa.array(x[xf][i].tolist(), a.schema.field("file").type), pa.array(y[yf][j].tolist(), a.schema.field("file").type), pa.array(good[i, j])], ["a", "b", "good"])
+
+    found = tiles.compare(rows, pairs, kernel, f"a {kind}, b {kind}, good long")
+    sized = found.join(own.select(F.col("file").alias("a"), F.col("kp_n").alias("kp_a")), "a").join(own.select(F.col("file").alias("b"), F.col("kp_n").alias("kp_b")), "b")
+    return sized.select("a", "b", "kp_a", "kp_b", "good", _score(F.col("good"), F.col("kp_a"), F.col("kp_b")).alias("score"))
 
 
 def descriptor_matches(descriptors: DataFrame, pairs: DataFrame, ratio: float = 0.75) -> DataFrame:
@@ -256,11 +392,10 @@ def descriptor_matches(descriptors: DataFrame, pairs: DataFrame, ratio: float =
     good = best.groupBy("a", "b").agg(F.sum(((F.col("k") == 2) & (F.col("d1") < ratio * F.col("d2"))).cast("long")).alias("good"))
     sized = pairs.select("a", "b").join(counts.select(F.col("file").alias("a"), F.col("n").alias("kp_a")), "a", "left").join(counts.select(F.col("file").alias("b"), F.col("n").alias("kp_b")), "b", "left").na.fill(0, ["kp_a", "kp_b"])
     out = sized.join(good, ["a", "b"], "left").na.fill(0, ["good"])
-    least = F.least("kp_a", "kp_b")
-    score = F.when(least < 2, 0.0).otherwise(F.round(F.least(F.lit(1.0), F.col("good") / least), 3))
-    return out.select("a", "b", "kp_a", "kp_b", "good", score.alias("score"))
+    return out.select("a", "b", "kp_a", "kp_b", "good", _score(F.col("good"), F.col("kp_a"), F.col("kp_b")).alias("score"))
 
 
-def feature_edges(descriptors: DataFrame, pairs: DataFrame, least: float = 0.15, ratio: float = 0.75) -> DataFrame:
-    """Matches that score ``least`` or more."""
-    return descriptor_matches(descriptors, pairs, ratio).filter(F.col("score") >= least)
+def feature_edges(descriptors: DataFrame, least: float = 0.15, ratio: float = 0.75, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs of files that score ``least`` or more: of all pairs, or of the given candidates ``(a, b)``."""
+    found = descriptor_scores(descriptors, ratio) if pairs is None else descriptor_matches(descriptors, pairs, ratio)
+    return found.filter(F.col("score") >= least)

@@ -107,7 +107,6 @@ SQL = {
     "frames": "SELECT user_id AS video, event_id AS frame_no, CASE user_id % 3 WHEN 0 THEN 24.0::DOUBLE WHEN 1 THEN 25.0::DOUBLE ELSE 0.3::DOUBLE END AS fps FROM events",
     "words": f"SELECT vec_id, {', '.join(f'{_bits(16 * q, 16)} AS w{q}' for q in range(4))} FROM embeddings",
     "descriptors": "SELECT (vec_id // 8) * 2 + k AS file, vec_id % 8 AS kp, CASE WHEN k = 1 THEN xor(w0, CAST(1 AS BIGINT) << CAST(vec_id % 16 AS INTEGER)) ELSE w0 END AS w0, w1, w2, w3 FROM words, (SELECT unnest([0, 1]) AS k)",
-    "candidates": "SELECT DISTINCT x.file AS a, y.file AS b FROM (SELECT file, unnest([0, 1, 2, 3]) AS q, unnest([w0, w1, w2, w3]) AS w FROM descriptors) x JOIN (SELECT file, unnest([0, 1, 2, 3]) AS q, unnest([w0, w1, w2, w3]) AS w FROM descriptors) y ON x.q = y.q AND x.w = y.w AND x.file < y.file",
     "cached": "SELECT path, length, CASE WHEN ord % 7 = 0 THEN mtime + INTERVAL 1 DAY ELSE mtime END AS mtime, md5, CASE WHEN ord % 10 = 0 THEN '' ELSE substr(md5, 1, 16) END AS phash_top, CAST(ord AS DOUBLE) AS computed_at FROM files WHERE ord % 3 <> 0",
     "previous": "SELECT CAST(o_orderkey AS VARCHAR) AS path, CAST(o_totalprice AS DOUBLE) AS length, o_orderdate AS mtime FROM orders WHERE o_orderkey % 10 <> 0",
     "current_scan": "SELECT CAST(o_orderkey AS VARCHAR) AS path, CAST(o_totalprice AS DOUBLE) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS length, o_orderdate AS mtime FROM orders WHERE o_orderkey % 7 <> 0",

@@ -138,22 +138,18 @@ _MATCH = """SELECT a, b, kp_a, kp_b, good, CASE WHEN least(kp_a, kp_b) < 2 THEN
       SELECT a, b, ka, min(d) AS d1, max(d) AS d2, count(*) AS k FROM (
         SELECT x.file AS a, y.file AS b, x.kp AS ka, bit_count(xor(x.w0, y.w0)) + bit_count(xor(x.w1, y.w1)) + bit_count(xor(x.w2, y.w2)) + bit_count(xor(x.w3, y.w3)) AS d,
           row_number() OVER (PARTITION BY x.file, y.file, x.kp ORDER BY bit_count(xor(x.w0, y.w0)) + bit_count(xor(x.w1, y.w1)) + bit_count(xor(x.w2, y.w2)) + bit_count(xor(x.w3, y.w3)), y.kp) AS r
-        FROM descriptors x JOIN candidates c ON c.a = x.file JOIN descriptors y ON y.file = c.b) WHERE r <= 2 GROUP BY a, b, ka) GROUP BY a, b)"""
+        FROM descriptors x JOIN descriptors y ON x.file < y.file) WHERE r <= 2 GROUP BY a, b, ka) GROUP BY a, b) WHERE good > 0"""
 
 
-def _matches(spark, d) -> DataFrame:
-    words = T.descriptors(spark, d)
-    return J.descriptor_matches(words, materialise(J.candidate_pairs(words, 64), "pairs"))
-
-
-@query(sql(_MATCH, "words", "descriptors", "candidates"))
+@query(sql(_MATCH, "words", "descriptors"))
 def descriptor_matches(spark, d):
-    return _matches(spark, d)
+    """All pairs of files that have a good match."""
+    return J.descriptor_scores(T.descriptors(spark, d))
 
 
-@query(sql("SELECT c.first_ord, count(DISTINCT c.ord) AS n_files, round(avg(e.score), 3) AS similarity FROM comp c JOIN (SELECT a, b, score FROM edges) e ON e.a = c.ord OR e.b = c.ord GROUP BY 1", "words", "descriptors", "candidates", "edges", "linked", "reach", "comp", recursive=True, edges=f"SELECT * FROM ({_MATCH}) WHERE score >= 0.15"))
+@query(sql("SELECT c.first_ord, count(DISTINCT c.ord) AS n_files, round(avg(e.score), 3) AS similarity FROM comp c JOIN (SELECT a, b, score FROM edges) e ON e.a = c.ord OR e.b = c.ord GROUP BY 1", "words", "descriptors", "edges", "linked", "reach", "comp", recursive=True, edges=f"SELECT * FROM ({_MATCH}) WHERE score >= 0.15"))
 def feature_groups(spark, d):
-    edges = materialise(_matches(spark, d).filter("score >= 0.15"), "features")
+    edges = materialise(J.feature_edges(T.descriptors(spark, d)), "features")
     return G.feature_groups(edges, G.components_of(edges))
 
 

@@ -22,7 +22,8 @@ def find_groups(hashes: DataFrame, options: ScanOptions = ScanOptions(), keyfram
     """``(groups, members)`` of all methods switched on, under one numbering.
 
     ``hashes``: ``scope, ord, md5, h, tp``. Videos, vectors and descriptors bring their
-    own tables and ignore scopes. Members carry ``method, first_ord, ord, group_id``.
+    own tables and ignore scopes; of descriptors all pairs of files are compared, or the
+    ``candidates`` (``a, b``) if given. Without a method there are no groups. Members carry ``method, first_ord, ord, group_id``.
     """
     tables: list[tuple[str, DataFrame]] = []
     members: list[DataFrame] = []
@@ -35,8 +36,8 @@ def find_groups(hashes: DataFrame, options: ScanOptions = ScanOptions(), keyfram
         add("exact", G.exact_groups(hashes), G.exact_members(hashes))
     if options.perceptual:
         add("perceptual", *perceptual(hashes, options))
-    if options.feature and descriptors is not None and candidates is not None:
-        edges = materialise(feature_edges(descriptors, candidates, options.feature_min_score, options.feature_ratio), "features")
+    if options.feature and descriptors is not None:
+        edges = materialise(feature_edges(descriptors, options.feature_min_score, options.feature_ratio, candidates), "features")
         own = materialise(G.components_of(edges), "members")
         add("feature", G.feature_groups(edges, own), own)
     if options.video and keyframes is not None:
@@ -47,6 +48,9 @@ def find_groups(hashes: DataFrame, options: ScanOptions = ScanOptions(), keyfram
         from kindred.functions.scalars import l2_normalise
 
         add("semantic", G.semantic_groups(vectors.select("ord", l2_normalise(F.col("v")).alias("unit")), own), own)
+    if not tables:
+        spark = hashes.sparkSession
+        return spark.createDataFrame([], G.GROUPS), spark.createDataFrame([], "method string, first_ord long, ord long, group_id long")
     groups = G.all_groups(*tables)
     every = members[0]
     for m in members[1:]:

@@ -85,13 +85,88 @@ def test_hamming_methods_agree(spark):
     for t in (0, 3, 7, 11, 20):
         want = {(a[1], b[1], (a[3] ^ b[3]).bit_count()) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and (a[3] ^ b[3]).bit_count() <= t}
         assert {tuple(r) for r in J.hamming_edges(df, t).collect()} == want
-        assert {tuple(r) for r in J.hamming_edges(df, t, method="blocks").collect()} == want
         fresh = {(a, b, d) for a, b, d in want if a >= 200 or b >= 200}
         assert {tuple(r) for r in J.hamming_edges(df, t, fresh=df.filter("ord >= 200")).collect()} == fresh
     everything = J.hamming_edges(df, 0, exclude_exact=False).count()
     assert everything == sum(a[1] < b[1] and a[0] == b[0] and a[3] == b[3] for a in rows for b in rows)
 
 
+def test_planned_bands_miss_no_pair():
+    """Whatever bits two hashes differ in, some band has no more of them than its flips; bits that never vary spread over bands."""
+    rng = random.Random(11)
+    for t in (0, 1, 3, 10, 12, 20, 31, 63, 64):
+        for n, ones in ((10, None), (10**6, None), (1000, [0] * 30 + [500] * 34)):
+            bands = J.plan_bands(t, n, ones)
+            assert sorted(b for x in bands for b in x.bits) == list(range(64)) and sum(b.flips + 1 for b in bands) >= t + 1
+            for _ in range(200):
+                differ = rng.sample(range(64), t)
+                assert any(sum(d in b.bits for d in differ) <= b.flips for b in bands)
+    spread = J.plan_bands(3, 10**6, [0] * 32 + [500_000] * 32)
+    assert max(sum(b >= 32 for b in x.bits) for x in spread) <= 32 // len(spread) + 1
+
+
+def test_hamming_pairs_of_crowded_bands(spark, monkeypatch):
+    """Most hashes share the value of one band; its pairs come from tiles, each once."""
+    from kindred.plans import joins
+
+    rng = random.Random(12)
+    low = [rng.getrandbits(16) for _ in range(120)] + [rng.getrandbits(63) for _ in range(30)]
+    df = spark.createDataFrame([(None, h) for h in low], "scope string, h long")
+    bands = [J.Band(tuple(range(16 * k, 16 * k + 16)), f) for k, f in enumerate((2, 1, 1, 1))]
+    hashes = sorted(set(low))
+    want = {(x, y, (x ^ y).bit_count()) for x in hashes for y in hashes if x < y and (x ^ y).bit_count() <= 8}
+    join = joins.join_tiled
+    monkeypatch.setattr(J, "join_tiled", lambda a, b, on: join(a, b, on, tile_rows=10))
+    found = [(r["x"], r["y"], r["dist"]) for r in J.hamming_pairs(df, 8, bands=bands).collect()]
+    assert len(found) == len(want) and set(found) == want
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", 0)
+    assert {(r["x"], r["y"], r["dist"]) for r in J.hamming_pairs(df, 8).collect()} == want
+
+
+def test_tiled_join_splits_a_hot_key(spark):
+    from kindred.plans.joins import join_tiled
+
+    a = spark.createDataFrame([(i % 7 if i < 30 else 0, i) for i in range(300)], "k int, x long")
+    b = spark.createDataFrame([(i % 9 if i < 20 else 0, i) for i in range(200)], "k int, y long")
+    met = join_tiled(a, b, ["k"], tile_rows=50)
+    assert sorted(map(tuple, met.select("x", "y").collect())) == sorted(map(tuple, a.join(b, "k").select("x", "y").collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = join_tiled(a, b, ["k"], tile_rows=20).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 0.6 * sum(r["count"] for r in tasks)
+
+
+def test_blocks_too_far_apart_are_left_out(spark):
+    """Clustered vectors: most pairs of blocks are never made, and no edge is lost."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 32))
+    v = centres[rng.integers(0, 12, 600)] + 0.1 * rng.normal(size=(600, 32))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ord long, v array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.9), strict=True) if i < j}
+    rows, pairs, skipped = J.cosine_blocks(df, 0.9, block_rows=25)
+    n = rows.select("block").distinct().count()
+    assert 24 <= n <= 40 and pairs.count() == round((1 - skipped) * n * (n + 1) / 2) and skipped > 0.6
+    assert {(r["a"], r["b"]) for r in J.cosine_edges(df, 0.9, block_rows=25).collect()} == want
+    assert J.cosine_edges(df.limit(0)).count() == 0
+
+
+def test_ranges_of_many_blocks_are_looked_at_together(spark, monkeypatch):
+    from kindred.operators import tiles
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(rng.normal(size=200) * 100)], "ord long, x double")
+    rows = tiles.in_blocks(df, F.asc("x"), block_rows=5)
+    d = F.array(F.col("x"))
+    fine, _ = tiles.block_pairs(rows, d, 3.0)
+    monkeypatch.setattr(tiles, "MAX_RANGES", 7)
+    coarse, _ = tiles.block_pairs(rows, d, 3.0)
+    fine, coarse = ({tuple(r) for r in t.collect()} for t in (fine, coarse))
+    assert fine < coarse and len(coarse) < 40 * 41 / 2 and all(i <= j for i, j in coarse)
+
+
 def test_cosine_blocks(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(120, 8))
@@ -203,6 +278,65 @@ def test_descriptors_need_two_keypoints(spark):
     assert {(r["b"], r["score"], r["good"]) for r in J.descriptor_matches(words, pairs).collect()} == {("b", 0.0, 1), ("none", 0.0, 0)}
 
 
+def plain_scores(files, ratio=0.75):
+    """Every pair of files, every keypoint's two nearest by sorting."""
+    out = {}
+    for a in files:
+        for b in files:
+            if a < b:
+                good = 0
+                for x in files[a]:
+                    d = sorted(sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True)) for y in files[b])
+                    good += len(d) > 1 and d[0] < ratio * d[1]
+                least = min(len(files[a]), len(files[b]))
+                if good:
+                    out[a, b] = (len(files[a]), len(files[b]), good, 0.0 if least < 2 else round(min(1.0, good / least), 3))
+    return out
+
+
+def test_descriptor_scores_equal_all_pairs(spark):
+    """Files of one to nine keypoints, ties, repeats within a file, near and far files; blocks of a few keypoints."""
+    rng = random.Random(13)
+    word = lambda: rng.getrandbits(64) - (1 << 63)
+    files = {f"f{i:02d}": [tuple(word() for _ in range(4)) for _ in range(rng.randrange(1, 10))] for i in range(24)}
+    for i in range(8):
+        files[f"g{i}"] = [tuple(w ^ (1 << rng.randrange(63)) for w in x) for x in files[f"f{i:02d}"]][: rng.randrange(1, 9)] + [(0, 0, 0, 0)] * (i % 3)
+    rows = [(f, k, *x) for f, kps in files.items() for k, x in enumerate(kps)] + [("null", 0, None, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "file string, kp long, w0 long, w1 long, w2 long, w3 long").repartition(3)
+    signed = {f: [tuple(w & (1 << 64) - 1 for w in x) for x in kps] for f, kps in files.items()}
+    want = plain_scores(signed)
+    for size in (7, 4096):
+        found = {(r["a"], r["b"]): tuple(r)[2:] for r in J.descriptor_scores(df, block_rows=size).collect()}
+        assert found == want
+    assert J.descriptor_scores(df.limit(0)).count() == 0
+    near = {k for k, v in want.items() if v[3] >= 0.15}
+    assert {(r["a"], r["b"]) for r in J.feature_edges(df).collect()} == near
+    candidates = J.candidate_pairs(df, tile_rows=4)
+    met = {(r["a"], r["b"]) for r in J.feature_edges(df, pairs=candidates).collect()}
+    assert met <= near and {(f"f{i:02d}", f"g{i}") for i in range(8) if (f"f{i:02d}", f"g{i}") in near} <= met
+
+
+def test_candidates_of_the_given_table(spark):
+    """The inverted file of 16-bit bands finds at least nine in ten of the edges that all pairs have."""
+    from kindred.plans import fixtures as T
+
+    words = T.descriptors(spark, "/root/testdata/sf0.001")
+    want = {(r["a"], r["b"]) for r in J.feature_edges(words).collect()}
+    met = {(r["a"], r["b"]) for r in J.feature_edges(words, pairs=J.candidate_pairs(words)).collect()}
+    assert met <= want and len(met) >= 0.9 * len(want) > 100
+
+
+def test_a_scan_without_methods_finds_nothing(spark):
+    from kindred.plans.options import ScanOptions
+    from kindred.plans.scan import find_groups
+
+    hashes = spark.createDataFrame([(None, 1, "a", 1, 1)], "scope string, ord long, md5 string, h long, tp long")
+    groups, members = find_groups(hashes, ScanOptions(exact=False, perceptual=False))
+    full, own = find_groups(hashes)
+    assert groups.count() == members.count() == 0
+    assert set(groups.columns) == set(full.columns) and set(members.columns) == set(own.columns)
+
+
 def test_candidate_pairs(spark):
     rng = random.Random(8)
     rows = [(f"f{i // 5}", i % 5, *(rng.getrandbits(63) for _ in range(4))) for i in range(60)]
