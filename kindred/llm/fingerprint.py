@@ -12,7 +12,6 @@ the cosine of two such sections estimates that of the two multisets of shingles.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, pairwise
@@ -20,7 +19,6 @@ from itertools import accumulate, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.common import partitions, slices, table
@@ -29,7 +27,7 @@ LANES, SKETCH = 32, 256
 _SCALE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Paragraph vectors that a task remembers.
 REMEMBERED = 1024
-_SMALLEST = -(1 << 63)
+_SMALLEST, _LARGEST = -(1 << 63), (1 << 63) - 1
 
 
 def paragraphs(text: str) -> list[str]:
@@ -125,20 +123,29 @@ def with_following(docs: DataFrame, id_col: str, text_col: str, kernel, schema:
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(_SMALLEST)))
-    cuts = Counter(map(float, rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []))
-    # A frequent id has a bucket of its own, which its share of the cuts divides again.
-    splits, shares = [-math.inf], [1]
+    # Ranges are told by whole numbers. Quantiles, which Spark computes in doubles, are taken from the smallest id on; that they are rounded moves bounds a little.
+    base = rows.agg(F.min("doc_id")).first()[0] or 0
+    far = F.when(F.col("doc_id").isNull(), -1.0).otherwise((F.col("doc_id").cast("decimal(20,0)") - F.lit(base).cast("decimal(20,0)")).cast("double"))
+    cuts = Counter(_SMALLEST if c < 0 else min(base + int(c), _LARGEST) for c in rows.agg(F.percentile_approx(far, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or [])
+    # A frequent id has a range of its own, which its share of the cuts divides again.
+    lows, shares = [], [1]
     for value, times in sorted(cuts.items()):
-        splits.append(value)
-        shares.append(times)
-        if times > 1:
-            splits.append(math.nextafter(value, math.inf))
+        if not lows or lows[-1] < value:
+            lows.append(value)
+            shares.append(times)
+        else:  # the range after the last frequent id begins here
+            shares[-1] = times
+        if times > 1 and value < _LARGEST:
+            lows.append(value + 1)
             shares.append(1)
-    bucketed = Bucketizer(splits=[*splits, math.inf] if len(splits) > 1 else [-math.inf, 0.0, math.inf], inputCol="kd", outputCol="bucket").transform(rows.withColumn("kd", F.col("k").cast("double")))
+    steps = [1 << b for b in range(len(lows).bit_length() - 1, -1, -1)] if lows else [1]
+    bounds = F.array(*map(F.lit, lows or [_LARGEST])).cast("array<long>")
+    bucket = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= F.col("k"), F.lit(False)), at + step).otherwise(at))
+    shares += [1] * (2 - len(shares))
+    bucketed = rows.withColumn("bucket", bucket)
     hot = max(shares) > 1
-    shares = shares if len(splits) > 1 else [1, 1]
     tie = F.xxhash64("text")
-    of = lambda values: F.array(*map(F.lit, values))[F.col("bucket").cast("int")]
+    of = lambda values: F.array(*map(F.lit, values))[F.col("bucket")]
     part = F.floor((tie.cast("double") / 2.0**64 + 0.5) * of(shares)).cast("int") if hot else F.lit(0)
     ranged = bucketed.select("doc_id", "k", "text", (tie if hot else F.lit(0).cast("long")).alias("tie"), (of([0, *accumulate(shares)][:-1]) + F.least(part, of(shares) - 1)).alias("range"))
     tops = sorted((r["range"], *r["top"]) for r in ranged.groupBy("range").agg(F.max(F.struct("k", "tie")).alias("top")).collect())
