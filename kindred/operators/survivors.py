@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from kindred.functions.scalars import file_name, parent, renamed, stem, suffix
+from kindred.functions.scalars import file_name, parent, renamed
 from kindred.plans.order import group_rank
 from kindred.plans.storage import materialise
 
@@ -40,46 +40,41 @@ def delete_plan(members: DataFrame, group: str = "group_id") -> DataFrame:
     return sizes.filter("n > 1").select(group, (F.col("n") - 1).alias("n_delete"), (F.col("bytes") - F.coalesce("best", F.lit(0))).alias("bytes_reclaimed"))
 
 
-def unique_targets(wanted: DataFrame, existing: DataFrame | None = None, rounds: int = 20) -> DataFrame:
-    """``(ord, path, target)`` from ``(ord, path, dir, name)``: names that clash get _1, _2, and so on.
+def _parts(name: Column) -> tuple[Column, Column]:
+    """A name before its last suffix, and that suffix with its dot; a leading or trailing dot begins none."""
+    tail = F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
+    return name.substr(F.lit(1), F.length(name) - F.length(tail)), tail
 
-    ``existing`` holds names already there as ``dir, name``, repeated or not. Each round
-    numbers the rows that want one name by ``ord``, places those whose numbered name is free, and
-    sends the rest, which meet a name that someone else holds, round again. A name as it
-    was wanted goes before one with a number.
+
+def unique_targets(wanted: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``(ord, path, target)`` from ``(ord, path, dir, name)``: names that clash get _1, _2, and so on, the smallest number that is free.
+
+    ``existing`` holds names already there as ``dir, name``, repeated or not. A name as
+    it is wanted goes to the first row by ``ord``, before any with a number; numbered
+    names of different stems can't meet. So the k-th row that waits for a name takes the
+    k-th gap between the numbers that are taken, which is its place among waiting rows
+    and taken numbers together. Places come from ``group_rank``: a name that very many
+    rows want, or that has very many numbers, is spread over tasks.
     """
-    taken = None if existing is None else existing.select("dir", F.col("name").alias("target_name")).distinct()
-    empty = wanted.select("ord", "path", "dir", F.col("name").alias("target_name")).limit(0)
-    placed, left = empty, wanted.select("ord", "path", "dir", "name", F.lit(0).alias("base"))
-    for _ in range(rounds):
-        if taken is not None:
-            left = left.join(taken.withColumn("__hit", F.lit(1)), (left["dir"] == taken["dir"]) & (left["name"] == taken["target_name"]), "left").select(left["*"], F.col("__hit").isNotNull().alias("__held"))
-        else:
-            left = left.withColumn("__held", F.lit(False))
-        left = group_rank(left, "__nth", ["dir", "name"], F.asc("ord"), first=0)
-        number = F.col("__nth") + F.col("base") + F.when(F.col("__held") & (F.col("base") == 0), 1).otherwise(0)
-        head, tail = stem(F.col("name")), suffix(F.col("name"))
-        target = F.when(number == 0, F.col("name")).otherwise(F.concat(head, F.lit("_"), number.cast("string"), tail))
-        tried = left.withColumn("number", number).withColumn("target_name", target)
-        rivals = W.partitionBy("dir", "target_name").orderBy(F.col("number"), F.col("ord"))
-        tried = tried.withColumn("__first", F.row_number().over(rivals) == 1)
-        if taken is not None:
-            busy = taken.select(F.col("dir").alias("__d"), F.col("target_name").alias("__t")).distinct()
-            tried = tried.join(busy, (F.col("dir") == F.col("__d")) & (F.col("target_name") == F.col("__t")), "left").withColumn("__free", F.col("__d").isNull()).drop("__d", "__t")
-        else:
-            tried = tried.withColumn("__free", F.lit(True))
-        tried = materialise(tried, "names")
-        fits = tried.filter("__first and __free").select("ord", "path", "dir", "target_name")
-        placed = placed.unionByName(fits)
-        left = tried.filter("not (__first and __free)")
-        if left.isEmpty():
-            break
-        held = placed.select("dir", "target_name")
-        taken = held if taken is None else taken.unionByName(held)
-        left = left.select("ord", "path", "dir", "name", (F.col("number") + 1).alias("base"))
-    else:
-        raise RuntimeError("targets still clash")
-    return placed.select("ord", "path", F.concat_ws("/", "dir", "target_name").alias("target"))
+    key = ["dir", "head", "tail"]
+    rows = wanted.select("ord", "path", "dir", "name", *[c.alias(a) for c, a in zip(_parts(F.col("name")), key[1:], strict=True)])
+    taken = rows.select("dir", "name").limit(0) if existing is None else existing.select("dir", "name").distinct()
+    first = materialise(rows.groupBy("dir", "name").agg(F.min("ord").alias("__o")).join(taken, ["dir", "name"], "left_anti"), "names")
+    own = F.col("ord") == F.col("__o")
+    placed = rows.join(first.select("__o"), own, "left_semi")
+    waiting = materialise(rows.join(first.select("__o"), own, "left_anti"), "waiting")
+    head, tail = _parts(F.col("name"))
+    numbered = taken.unionByName(first.select("dir", "name")).select("dir", head.alias("__h"), tail.alias("tail"))
+    number = F.regexp_extract("__h", r"(?s)^.*_([1-9][0-9]{0,17})$", 1)
+    numbered = numbered.filter(number != "").select("dir", F.col("__h").substr(F.lit(1), F.length("__h") - F.length(number) - 1).alias("head"), "tail", number.cast("long").alias("__k")).distinct()
+    numbered = group_rank(numbered.join(waiting.select(*key).distinct(), key, "left_semi"), "__i", key, F.asc("__k"))
+    queue = group_rank(waiting, "__j", key, F.asc("ord"))
+    # A number k that is the i-th taken has k - i gaps before it; it comes before the next gap's row.
+    gap = numbered.select(*key, (2 * (F.col("__k") - F.col("__i")) + 1).alias("__at"), F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"), F.lit(None).cast("string").alias("path"))
+    events = gap.unionByName(queue.select(*key, (2 * F.col("__j")).alias("__at"), "ord", "path"))
+    given = group_rank(events, "__n", key, F.asc("__at")).filter("ord is not null")
+    named = given.select("ord", "path", "dir", F.concat("head", F.lit("_"), F.col("__n").cast("string"), "tail").alias("name"))
+    return placed.select("ord", "path", "dir", "name").unionByName(named).select("ord", "path", F.concat_ws("/", "dir", "name").alias("target"))
 
 
 def move_plan(members: DataFrame, directory: str, group: str = "group_id", existing: DataFrame | None = None) -> DataFrame:

@@ -212,6 +212,19 @@ def rename_collisions(spark, d):
     return V.rename_plan(own, "copy", existing=taken.unionByName(taken))
 
 
+_FREE = "SELECT k, row_number() OVER (ORDER BY k) AS j FROM (SELECT unnest(range(1, 1001 + (SELECT count(*) FROM own))) AS k) WHERE k > 1000 OR k % 3 <> 1"
+
+
+@query(sql(f"SELECT ord, path, '/moved/' || replace(name, '.txt', '_' || k || '.txt') AS target FROM (SELECT ord, path, regexp_extract(path, '[^/]*$') AS name, row_number() OVER (PARTITION BY regexp_extract(path, '[^/]*$') ORDER BY ord) AS j FROM ranked WHERE rank > 1) JOIN ({_FREE}) USING (j)", *_OWN))
+def move_collisions(spark, d):
+    """Every name is taken there, and a third of its numbers up to a thousand."""
+    own = _own(spark, d)
+    names = V.duplicates(own).select(S.file_name(F.col("path")).alias("name")).distinct()
+    numbers = F.filter(F.sequence(F.lit(1), F.lit(1000)), lambda k: k % 3 == 1)
+    numbered = names.select(F.explode(F.transform(numbers, lambda k: F.concat(F.regexp_replace("name", r"\.txt$", "_"), k.cast("string"), F.lit(".txt")))).alias("name"))
+    return V.move_plan(own, "/moved", existing=names.unionByName(numbered).withColumn("dir", F.lit("/moved")))
+
+
 @query(sql("SELECT group_id, ord, rank FROM ranked", *_OWN))
 def ranked_members(spark, d):
     return V.ranked(_own(spark, d)).select("group_id", "ord", "rank")
@@ -511,13 +524,28 @@ def pruned_archives(spark, d):
     return A.explode_archives(kept).filter("error_type is null").select("archive", "member")
 
 
-@query(sql("SELECT a, b, dist FROM edges", "base", "hashes", "edges"))
-def stream_incremental(spark, d):
-    """The hashes arrive as a stream of files; each batch is compared with all before it."""
+def _streamed(spark, d) -> str:
+    """The hashes arrive as a stream of files; each batch is compared with all before it. The folder of what is known then."""
     from kindred.streaming.incremental import incremental_groups, run_now
 
     at, schema = fresh_path(spark, "stream"), "scope string, ord long, md5 string, h long"
     T.hashes(spark, d).select("scope", "ord", "md5", "h").repartition(3).write.parquet(f"{at}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     run_now(incremental_groups(stream, f"{at}/state", f"{at}/checkpoint"))
-    return spark.read.schema("a long, b long, dist int, batch long").parquet(f"{at}/state/edges").select("a", "b", "dist")
+    return f"{at}/state"
+
+
+@query(sql("SELECT DISTINCT least(p.h, q.h) AS x, greatest(p.h, q.h) AS y, dist FROM edges JOIN hashes p ON p.ord = a JOIN hashes q ON q.ord = b WHERE p.h <> q.h", "base", "hashes", "edges"))
+def stream_incremental(spark, d):
+    """The links of different hashes after the stream."""
+    from kindred.streaming.incremental import current_edges
+
+    return current_edges(spark, _streamed(spark, d)).select("x", "y", "dist")
+
+
+@query(sql("SELECT ord, first_ord FROM comp", "base", "hashes", "edges", "linked", "reach", "comp", recursive=True))
+def stream_groups(spark, d):
+    """The groups after the stream."""
+    from kindred.streaming.incremental import current_members
+
+    return current_members(spark, _streamed(spark, d))

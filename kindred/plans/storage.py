@@ -41,7 +41,7 @@ def _made(spark: SparkSession) -> list[str]:
 
 
 def sweep(spark: SparkSession, first: int = 0) -> None:
-    """Remove the tables that ``materialise`` has written in this session, from the ``first`` on, once no result needs them."""
+    """Remove what this session has written under paths of ``fresh_path``, from the ``first`` on, once no result needs them."""
     made = _made(spark)
     _remove(spark, made[first:])
     del made[first:]
@@ -50,10 +50,14 @@ def sweep(spark: SparkSession, first: int = 0) -> None:
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``materialise`` returned, once what was made of them is written."""
     for table in tables:
-        path = getattr(table, "_kindred_path", None)
-        if path in _made(table.sparkSession):
-            _made(table.sparkSession).remove(path)
-            _remove(table.sparkSession, [path])
+        discard_path(table.sparkSession, getattr(table, "_kindred_path", None))
+
+
+def discard_path(spark: SparkSession, path: str | None) -> None:
+    """Remove what was written under a path of ``fresh_path``; others stay."""
+    if path in _made(spark):
+        _made(spark).remove(path)
+        _remove(spark, [path])
 
 
 def _remove(spark: SparkSession, paths: list[str]) -> None:
@@ -73,15 +77,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path under the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/kindred/{tag}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other call gets, and that ``sweep`` removes."""
+    path = f"{shared_dir(spark)}/kindred/{tag}-{uuid.uuid4().hex}"
+    _made(spark).append(path)
+    return path
 
 
 def materialise(df: DataFrame, tag: str = "table", compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    _made(spark).append(path)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     object.__setattr__(out, "_kindred_path", path)

@@ -490,6 +490,32 @@ def test_tables_are_removed(spark):
     assert not os.path.isdir(at)
 
 
+def test_free_names_take_the_smallest_numbers(spark):
+    """Against trying one number after the other: thousands taken, gaps, names that look numbered, many rows for one name."""
+    rng = random.Random(21)
+    wanted = [(i, f"/s/{i}", "/t", rng.choice(["a.jpg", "a_1.jpg", "a_7.jpg", "b", ".hidden", "x.tar.gz", "c_01.png", "A.JPG"])) for i in range(400)]
+    taken = [("/t", f"a_{k}.jpg") for k in range(1, 3000) if rng.random() < 0.9] + [("/t", n) for n in ("a.jpg", "b_2", "b", "c_01_1.png", "x.tar_1.gz", "a_03.jpg", "a_99999999999999999999.jpg", ".hidden_1")] + [("/u", "A.JPG")]
+    held, want, late = set(taken), {}, []
+    for i, _, d, n in wanted:
+        if (d, n) in held:
+            late.append((i, d, n))
+        else:
+            held.add((d, n))
+            want[i] = f"{d}/{n}"
+    for i, d, n in late:
+        dot = n.rfind(".")
+        head, tail = (n[:dot], n[dot:]) if dot > 0 else (n, "")
+        k = next(k for k in range(1, 10_000) if (d, f"{head}_{k}{tail}") not in held)
+        held.add((d, f"{head}_{k}{tail}"))
+        want[i] = f"{d}/{head}_{k}{tail}"
+    rows = spark.createDataFrame(wanted, "ord long, path string, dir string, name string")
+    existing = spark.createDataFrame(taken * 2, "dir string, name string")
+    assert {r["ord"]: r["target"] for r in V.unique_targets(rows, existing).collect()} == want
+    assert V.unique_targets(rows.limit(0), existing).count() == 0
+    alone = {r["ord"]: r["target"] for r in V.unique_targets(rows).collect()}
+    assert len(set(alone.values())) == 400
+
+
 def test_metadata(spark):
     tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHI4s", 271, 2, 3, b"ab\0\0") + struct.pack("<I", 0)
     df = spark.createDataFrame([("a", tiff), ("b", b""), ("c", None)], "path string, content binary")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
-from pyspark.sql import functions as F
+import pytest
 
 from kindred.operators.groups import components_of
 from kindred.operators.similarity import hamming_edges
@@ -45,5 +46,87 @@ def test_batches_equal_one_run(spark, tmp_path):
         known = spark.createDataFrame(sum((rows[:4], rows[4:6], rows[6:])[: i + 1], []), schema).dropDuplicates(["ord"])
         want = {tuple(r) for r in components_of(hamming_edges(known, 11)).collect()}
         assert {tuple(r) for r in T.current_members(spark, f"file://{tmp_path}/state").collect()} == want
-    edges = spark.read.parquet(f"{tmp_path}/state/edges")
-    assert edges.select("a", "b").distinct().count() == edges.filter(F.col("a") < F.col("b")).count()
+
+
+def _state_rows(seed: int, n: int) -> list[tuple]:
+    """Hashes of a few families: near ones, equal ones of one digest or several, copies under two hashes, two scopes."""
+    rng = random.Random(seed)
+    base = [rng.getrandbits(40) for _ in range(8)]
+    rows = []
+    for i in range(n):
+        h = rng.choice(base)
+        for _ in range(rng.randrange(4)):
+            h ^= 1 << rng.randrange(40)
+        rows.append((rng.choice([None, "a"]), i, f"m{rng.randrange(n // 2)}", h))
+    rng.shuffle(rows)
+    return rows
+
+
+def _expected(spark, rows):
+    return {tuple(r) for r in components_of(hamming_edges(spark.createDataFrame(rows, T.ROWS), 4)).collect()}
+
+
+def test_every_batch_equals_a_full_run_and_writes_what_it_touched(spark, tmp_path):
+    rows = _state_rows(3, 120)
+    state = T.State(spark, f"file://{tmp_path}/state")
+    batches = [rows[:50], rows[50:90], rows[90:], [(None, 900, "far", 1 << 60)], [(None, 901, "far2", 1 << 60)], [(None, 901, "far2", 1 << 60)]]
+    for number, part in enumerate(batches):
+        T.add_batch(state, spark.createDataFrame(part, T.ROWS), number, 4)
+        known = list({r[1]: r for b in batches[: number + 1] for r in b}.values())
+        assert {tuple(r) for r in T.current_members(spark, state.directory).collect()} == _expected(spark, known)
+    written = [spark.read.parquet(f"{state.directory}/labels/batch={n}").count() for n in range(6)]
+    assert written[3:] == [0, 1, 0] and state.committed() == list(range(6))
+    T.add_batch(state, spark.createDataFrame(rows, T.ROWS), 2, 4)  # finished: nothing happens
+    assert state.committed() == list(range(6))
+
+
+def test_a_file_with_a_smaller_number_renames_its_group(spark, tmp_path):
+    state = T.State(spark, f"file://{tmp_path}/state")
+    T.add_batch(state, spark.createDataFrame([(None, 10, "a", 0), (None, 11, "b", 1), (None, 20, "c", 255 << 20), (None, 21, "d", 254 << 20)], T.ROWS), 0, 2)
+    T.add_batch(state, spark.createDataFrame([(None, 1, "e", 0)], T.ROWS), 1, 2)
+    assert {tuple(r) for r in T.current_members(spark, state.directory).collect()} == {(1, 1), (10, 1), (11, 1), (20, 20), (21, 20)}
+    assert spark.read.parquet(f"{state.directory}/labels/batch=1").count() == 2
+
+
+@pytest.mark.parametrize("fails_at", ["hashes", "labels", "commit"])
+def test_an_interrupted_batch_has_not_happened(spark, tmp_path, monkeypatch, fails_at):
+    """A stream fails between two writes of its second batch; readers see the first only, and the next run goes on."""
+    rows = _state_rows(4, 60)
+    for k, part in enumerate((rows[:30], rows[30:])):
+        spark.createDataFrame(part, T.ROWS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    at, check = f"file://{tmp_path}/state", f"{tmp_path}/check"
+    stream = spark.readStream.schema(T.ROWS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    write, commit = T.State.write, T.State.commit
+
+    def failing_write(self, df, table, batch):
+        if batch == 1 and table == fails_at:
+            raise RuntimeError("lost")
+        write(self, df, table, batch)
+
+    def failing_commit(self, batch, **counts):
+        if batch == 1 and fails_at == "commit":
+            raise RuntimeError("lost")
+        commit(self, batch, **counts)
+
+    monkeypatch.setattr(T.State, "write", failing_write)
+    monkeypatch.setattr(T.State, "commit", failing_commit)
+    with pytest.raises(Exception, match="lost"):
+        T.run_now(T.incremental_groups(stream, at, check, threshold=4))
+    state = T.State(spark, at)
+    assert state.committed() == [0]
+    first = [tuple(r) for r in state.read("hashes", T.ROWS).collect()]
+    assert len(first) == 30 and {tuple(r) for r in T.current_members(spark, at).collect()} == _expected(spark, first)
+    monkeypatch.undo()
+    T.run_now(T.incremental_groups(stream, at, check, threshold=4))
+    assert state.committed() == [0, 1] and state.read("hashes", T.ROWS).count() == 60
+    assert {tuple(r) for r in T.current_members(spark, at).collect()} == _expected(spark, rows)
+
+
+def test_a_blank_picture_of_many_files_costs_a_row_each(spark, tmp_path):
+    """Files of one hash are no pairs: the batch's links hold different hashes only."""
+    state = T.State(spark, f"file://{tmp_path}/state")
+    rows = [(None, i, f"m{i}", 0) for i in range(3000)] + [(None, 5000, "x", 1)]
+    T.add_batch(state, spark.createDataFrame(rows, T.ROWS), 0)
+    assert state.read("edges", T.EDGES).count() == 1 and state.read("labels", T.LABELS).count() == 2
+    members = T.current_members(spark, state.directory)
+    assert members.count() == 3001 and members.filter("first_ord <> 0").count() == 0
