@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.operators.images import cap, resize, to_grey
 from kindred.plans.options import ScanOptions
+from kindred.plans.order import group_rank
+from kindred.plans.storage import materialise
 
 #: The luminance quantisation table of baseline JPEG at quality 50, row by row.
 JPEG_LUMINANCE = (
@@ -80,8 +83,8 @@ def noise_level(grey: np.ndarray, sigma: float = 3.0) -> float:
     return round(float((grey - out).std()), 2)
 
 
-def error_level(grey: np.ndarray, quality: int = 90, gain: float = 20.0) -> tuple[float, float, float]:
-    """Mean, largest and bright share of the amplified loss of one JPEG quantisation of 8 by 8 blocks."""
+def error_levels(grey: np.ndarray, quality: int = 90, gain: float = 20.0) -> np.ndarray:
+    """The amplified loss of one JPEG quantisation of 8 by 8 blocks, pixel by pixel."""
     scale = 5000 / quality if quality < 50 else 200 - 2 * quality
     table = np.clip(np.floor((np.array(JPEG_LUMINANCE) * scale + 50) / 100), 1, 255)
     h, w = grey.shape
@@ -90,7 +93,12 @@ def error_level(grey: np.ndarray, quality: int = 90, gain: float = 20.0) -> tupl
     blocks = padded.reshape(padded.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
     back = c.T @ (np.round(c @ blocks @ c.T / table) * table) @ c
     again = np.clip(np.round(back.swapaxes(1, 2).reshape(padded.shape) + 128), 0, 255)[:h, :w]
-    e = np.clip(np.abs(again - grey) * gain, 0, 255)
+    return np.clip(np.abs(again - grey) * gain, 0, 255)
+
+
+def error_level(grey: np.ndarray, quality: int = 90, gain: float = 20.0) -> tuple[float, float, float]:
+    """Mean, largest and bright share of the error levels."""
+    e = error_levels(grey, quality, gain)
     return round(float(e.mean()), 2), float(e.max()), round(float((e > 128).mean()), 4)
 
 
@@ -182,6 +190,89 @@ def pair_figures(pairs: DataFrame, images: DataFrame, options: ScanOptions = Sca
     return both.mapInArrow(run, f"a {key}, b {key}, diff_mean double, diff_max double, diff_percent double, edge_agreement double, histogram_correlation double, noise_a double, noise_b double")
 
 
+#: Pictures on one side of a tile: each is decoded once for the pairs with as many others.
+TILE_PICTURES = 32
+_OF_ONE = ("noise", "ela_mean", "ela_max", "ela_bright", "edge_share")
+_OF_PAIR = ("diff_mean", "diff_max", "diff_percent", "edge_agreement", "histogram_correlation", "ela_diff_mean", "ela_diff_max")
+
+
+@dataclass(frozen=True)
+class Picture:
+    """What all pairs of a picture need, worked out once."""
+
+    grey: np.ndarray
+    shares: np.ndarray
+    levels: np.ndarray
+    figures: tuple[float, ...]  # _OF_ONE
+
+    @classmethod
+    def of(cls, height: int, width: int, channels: int, data: bytes | None, options: ScanOptions) -> Picture | None:
+        if not data or height <= 0 or width <= 0:
+            return None
+        g = cap(to_grey(height, width, channels, data), longest=2048)
+        e = error_levels(g, options.ela_quality, options.ela_gain)
+        own = (noise_level(g, options.noise_sigma), *error_level(g, options.ela_quality, options.ela_gain), edge_share(g, options.edge_low, options.edge_high))
+        return cls(g, _shares(g), e, own)
+
+    def against(self, other: Picture, options: ScanOptions, threshold: float) -> tuple[float, ...]:
+        """_OF_PAIR; the other is resized to this one."""
+        r = round(float(np.corrcoef(self.shares, other.shares)[0, 1]), 4) if self.shares.std() and other.shares.std() else 0.0
+        levels = other.levels if other.levels.shape == self.levels.shape else resize(other.levels, *self.levels.shape)
+        apart = np.abs(self.levels - levels)
+        return (*pixel_difference(self.grey, other.grey, threshold), edge_agreement(self.grey, other.grey, options.edge_low, options.edge_high), r, round(float(apart.mean()), 2), round(float(apart.max()), 2))
+
+
+def group_figures(members: DataFrame, images: DataFrame, metadata: DataFrame | None = None, options: ScanOptions = ScanOptions(), threshold: float = 30, tile: int = TILE_PICTURES) -> DataFrame:
+    """One row for every pair of pictures of every group: all figures of both, of the two together, and what their metadata differ in.
+
+    ``members``: ``group_id, path``; ``images`` as from ``read_images``, one row for each
+    path; ``metadata``: ``path, metadata``. Returns ``group_id, a, b`` with a < b, the
+    figures of ``single_figures`` for either (``noise_a`` and so on), of ``pair_figures``
+    and the mean and largest difference of error levels, null where one didn't decode,
+    and ``differing``, the metadata keys whose values differ.
+
+    A group's pictures are dealt into slices of ``tile``, and each pair of slices is a
+    task's: a picture is decoded once for its pairs with a whole slice, so the bytes that
+    move are those of the members times their group's slices, not of its pairs.
+    """
+    key = images.schema["path"].dataType.simpleString()
+    rows = members.select("group_id", F.col("path").cast(key).alias("path")).distinct()
+    ranked = group_rank(rows, "__r", ["group_id"], F.asc("path"), first=0)
+    sliced = materialise(ranked.withColumn("slice", F.floor(F.col("__r") / tile).cast("int")).drop("__r"), "slices")
+    last = sliced.groupBy("group_id").agg(F.max("slice").alias("last"))
+    every = sliced.join(last, "group_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    dealt = every.select("group_id", "path", "slice", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"))
+    tags = images.select("path").withColumn("metadata", F.lit(None).cast("map<string,string>")) if metadata is None else metadata.select("path", F.col("metadata").cast("map<string,string>").alias("metadata"))
+    pictures = images.select("path", "height", "width", "nChannels", "data").join(tags, "path", "left")
+    whole = dealt.join(pictures, "path", "left")
+    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(key, pa.string())
+    group = members.schema["group_id"].dataType.simpleString()
+    columns = [f"{c}_{side}" for side in "ab" for c in _OF_ONE] + list(_OF_PAIR)
+
+    def kernel(t: pa.Table) -> pa.Table:
+        t = t.sort_by("path")
+        names, slices = t.column("path").to_pylist(), t.column("slice").to_pylist()
+        found = [Picture.of(h or 0, w or 0, c or 0, d, options) for h, w, c, d in zip(*(t.column(c).to_pylist() for c in ("height", "width", "nChannels", "data")), strict=True)]
+        tags = [dict(m or []) for m in t.column("metadata").to_pylist()]
+        own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        out = []
+        for x in range(len(names)):
+            for y in range(x + 1, len(names)):
+                if own or slices[x] != slices[y]:
+                    p, q = found[x], found[y]
+                    one = [*(p.figures if p else [None] * len(_OF_ONE)), *(q.figures if q else [None] * len(_OF_ONE))]
+                    differ = sorted(k for k in {*tags[x], *tags[y]} if (tags[x].get(k) if k in tags[x] else ()) != (tags[y].get(k) if k in tags[y] else ()))
+                    out.append((names[x], names[y], *one, *(p.against(q, options, threshold) if p and q else [None] * len(_OF_PAIR)), differ))
+        parts = list(zip(*out, strict=True)) if out else [[]] * (3 + len(columns))
+        kinds = [arrow, arrow, *[pa.float64()] * len(columns), pa.list_(pa.string())]
+        made = [pa.array(list(c), k) for c, k in zip(parts, kinds, strict=True)]
+        ids = pa.array([t.column("group_id")[0].as_py()] * len(out), t.schema.field("group_id").type)
+        return pa.table([ids, *made], ["group_id", "a", "b", *columns, "differing"])
+
+    schema = f"group_id {group}, a {key}, b {key}, " + ", ".join(f"{c} double" for c in columns) + ", differing array<string>"
+    return whole.select("group_id", "path", "slice", "i", "j", "height", "width", "nChannels", "data", "metadata").groupBy("group_id", "i", "j").applyInArrow(kernel, schema)
+
+
 def ifd0_metadata(files: DataFrame) -> DataFrame:
     """``(path, metadata)``: the first directory of a TIFF or of a JPEG's EXIF block, by tag number, texts cut at 200."""
 

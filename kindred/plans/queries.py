@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -373,6 +374,19 @@ def cache_upsert(spark, d):
     return C.cache_upsert(T.cached(spark, d), new).select("path", "length", "phash_top")
 
 
+_BUCKETED = "SELECT f.ord, CASE WHEN f.ord % 3 = 0 THEN 'new' ELSE c.phash_top END AS phash_top FROM files f LEFT JOIN cached c USING (path, length, mtime) WHERE f.ord % 3 = 0 OR c.phash_top <> ''"
+
+
+@query(sql(_BUCKETED, "files", "cached"))
+def cache_table(spark, d):
+    """The cache in a bucketed table, put there in two goes, and all files looked up in it."""
+    name = "kindred_cache_" + uuid.uuid4().hex
+    table = C.CacheTable(spark, name, fresh_path(spark, "cache"), "path STRING, length BIGINT, mtime TIMESTAMP, md5 STRING, phash_top STRING, computed_at DOUBLE", 8, 8)
+    table.upsert(T.cached(spark, d))
+    table.upsert(T.files(spark, d).filter("ord % 3 = 0").select("path", "length", "mtime", "md5", F.lit("new").alias("phash_top"), F.lit(500.0).alias("computed_at")))
+    return table.lookup(T.files(spark, d).drop("md5"))[0].select("ord", "phash_top")
+
+
 _DELTA = "SELECT coalesce(p.path, c.path) AS path, CASE WHEN p.path IS NULL THEN 'new' WHEN c.path IS NULL THEN 'deleted' WHEN p.length = c.length AND p.mtime = c.mtime THEN 'same' ELSE 'modified' END AS status FROM previous p FULL JOIN current_scan c ON p.path = c.path"
 
 
@@ -474,6 +488,20 @@ def tile_pixel_diff(spark, d):
     return tile_pair_figures(spark, d).select("a", "diff_mean", "diff_max", "diff_percent")
 
 
+_GROUPED = """SELECT t.path // 40 AS group_id, t.path AS a, u.path AS b, round(list_sum(list_transform(range(1, 65), lambda i: abs(t.px[i] - u.px[i]))) / 64.0::DOUBLE, 6) AS diff_mean, CAST(list_max(list_transform(range(1, 65), lambda i: abs(t.px[i] - u.px[i]))) AS DOUBLE) AS diff_max,
+    CASE WHEN t.path % 3 = u.path % 3 THEN '' ELSE 'camera' END AS differing FROM tiles t JOIN tiles u ON t.path // 40 = u.path // 40 AND t.path < u.path"""
+
+
+@query(sql(_GROUPED, "tiles"))
+def group_figures(spark, d):
+    """Every pair of tiles of every group of forty, with metadata."""
+    tiles = T.tiles(spark, d)
+    images = tiles.select("path", *I.grey_tile(F.col("px"), 8))
+    tags = tiles.select("path", F.create_map(F.lit("camera"), (F.col("path") % 3).cast("string")).alias("metadata"))
+    members = tiles.select(F.expr("path div 40").alias("group_id"), "path")
+    return X.group_figures(members, images, tags).select("group_id", "a", "b", "diff_mean", "diff_max", F.array_join("differing", ",").alias("differing"))
+
+
 @query()
 def tile_figures(spark, d):
     """Noise, recompression error and edge share of every tile."""

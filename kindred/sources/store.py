@@ -11,6 +11,7 @@ from kindred.functions.scalars import source_key
 from kindred.plans.storage import materialise
 
 KEY = ["path", "length", "mtime"]
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 
 
 def cache_lookup(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,6 +27,45 @@ def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__new")
 
 
+class CacheTable:
+    """The fingerprint cache as a table of the catalog: dealt by path into parts and by key into buckets.
+
+    A lookup shuffles the files only, since the buckets are what a join on the key asks
+    for. An upsert reads and writes the parts that hold a new path; others stay as they
+    are. The files lie at ``location``; a session that doesn't know the table yet finds
+    them there.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, location: str, columns: str, parts: int = 32, buckets: int = 32) -> None:
+        self.spark, self.name, self.parts, self.buckets = spark, name, parts, buckets
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, part INT) USING parquet PARTITIONED BY (part) CLUSTERED BY ({', '.join(KEY)}) INTO {buckets} BUCKETS LOCATION '{location}'")
+        where = spark._jvm.org.apache.hadoop.fs.Path(location)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+        spark.catalog.recoverPartitions(name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def lookup(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``cache_lookup`` of files in the table."""
+        return cache_lookup(files, self.rows().drop("part"))
+
+    def upsert(self, new: DataFrame) -> list[int]:
+        """The newest row for each key, a tie to the new one; the parts that were written. A path of several keys keeps a row for each."""
+        own = materialise(new.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(self.parts)).cast("int")), "new-entries")
+        touched = sorted(r["part"] for r in own.select("part").distinct().collect())  # as many as there are parts, at most
+        if touched:
+            both = cache_upsert(self.rows().filter(F.col("part").isin(touched)), own.select(self.rows().columns))
+            kept = materialise(both, "entries").repartition(self.buckets, *KEY)
+            before = self.spark.conf.get(_OVERWRITE)
+            self.spark.conf.set(_OVERWRITE, "dynamic")  # of tables in the catalog only the session says what an overwrite replaces
+            try:
+                kept.write.mode("overwrite").insertInto(self.name)
+            finally:
+                self.spark.conf.set(_OVERWRITE, before)
+        return touched
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Overwrite a table that ``df`` may read from: the new rows are written elsewhere first."""
     materialise(df, "swap").write.mode("overwrite").parquet(path)
@@ -43,7 +83,8 @@ def open_session(spark: SparkSession, scan_id: int, sources: list[str], started_
 
 def record_files(recorded: DataFrame, scan_id: int, files: DataFrame) -> DataFrame:
     """The recorded ``scan_id, path, length, mtime`` rows with a session's files; a path recorded again replaces its row."""
-    new = files.select(F.lit(scan_id).cast("long").alias("scan_id"), "path", "length", "mtime").dropDuplicates(["path"])
+    last = F.max(F.struct("mtime", "length")).alias("r")  # of a path listed twice the later row, so that reruns agree
+    new = files.groupBy("path").agg(last).select(F.lit(scan_id).cast("long").alias("scan_id"), "path", "r.length", "r.mtime")
     return recorded.join(new.select("scan_id", "path"), ["scan_id", "path"], "left_anti").select(new.columns).unionByName(new)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import random
 import struct
@@ -418,6 +419,60 @@ def test_forensic_figures(spark, pictures):
     assert X.edge_share(np.zeros((9, 9))) == 0 and X.edge_share(np.kron(np.eye(2), np.full((8, 8), 255.0))) > 0
 
 
+def test_group_figures_are_those_of_pictures_and_pairs(spark, pictures):
+    """Tiles of two pictures: each pair once, figures as from the single and the pair tables; a broken picture's are null."""
+    images = I.read_images(spark, str(pictures))
+    paths = sorted(r["path"] for r in images.collect())
+    members = spark.createDataFrame([(7, p) for p in paths * 2] + [(8, paths[0]), (9, paths[0]), (9, paths[1])], "group_id int, path string")
+    tags = spark.createDataFrame([(paths[0], {"x": "1", "y": "2"}), (paths[1], {"x": "1"})], "path string, metadata map<string,string>")
+    single = {r["path"]: r for r in X.single_figures(images).collect()}
+    pairs = [(a, b) for a in paths for b in paths if a < b]
+    both = {(r["a"], r["b"]): r for r in X.pair_figures(spark.createDataFrame(pairs, "a string, b string"), images).collect()}
+    found = X.group_figures(members, images, tags, tile=2).collect()
+    assert sorted((r["group_id"], r["a"], r["b"]) for r in found) == sorted([(7, *p) for p in pairs] + [(9, paths[0], paths[1])])
+    for r in found:
+        a, b, plain = single[r["a"]], single[r["b"]], both[r["a"], r["b"]]
+        for c in ("noise", "ela_mean", "ela_max", "ela_bright", "edge_share"):
+            assert (r[f"{c}_a"], r[f"{c}_b"]) == (a[c], b[c])
+        assert all(r[c] == plain[c] for c in ("diff_mean", "diff_max", "diff_percent", "edge_agreement", "histogram_correlation"))
+        assert (r["ela_diff_mean"] is None) == (plain["diff_mean"] is None)
+        assert r["differing"] == (["y"] if (r["a"], r["b"]) == (paths[0], paths[1]) else ["x", "y"] if r["a"] == paths[0] else ["x"] if r["a"] == paths[1] else [])
+    same = next(r for r in found if r["diff_mean"] == 0)
+    assert same["ela_diff_max"] == 0
+
+
+def test_cache_table(spark, tmp_path):
+    """Only touched parts are written, a lookup shuffles the files only, and another session's table finds the rows."""
+    from pathlib import Path
+
+    schema = "path string, length long, mtime timestamp, md5 string, phash_top string, computed_at double"
+    stamp = dt.datetime(2024, 1, 1)
+    rows = [(f"p{i}", i, stamp, f"m{i}", f"t{i}", 1.0) for i in range(200)]
+    table = C.CacheTable(spark, "cache_a", f"file://{tmp_path}/cache", schema, parts=4, buckets=4)
+    assert table.upsert(spark.createDataFrame(rows, schema)) == [0, 1, 2, 3]
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in Path(tmp_path, "cache").rglob("*.parquet")}
+    before = files()
+    written = table.upsert(spark.createDataFrame([("p5", 5, stamp, "m5", "again", 2.0), ("p5", 6, stamp, "m", "other", 1.0), ("p5", 5, stamp, "m5", "older", 0.5)], schema))
+    after = files()
+    assert len(written) == 1 and {p for p in before if f"part={written[0]}/" not in p} == {p for p in after if f"part={written[0]}/" not in p}
+    assert all(before[p] == after[p] for p in before if p in after) and not {p for p in before if f"part={written[0]}/" in p} & set(after)
+    want = {r[:2]: r[4] for r in rows} | {("p5", 5): "again", ("p5", 6): "other"}
+    assert {(r["path"], r["length"]): r["phash_top"] for r in table.rows().collect()} == want
+    wanted = spark.createDataFrame([("p5", 5, stamp), ("p7", 8, stamp), ("new", 1, stamp)], "path string, length long, mtime timestamp")
+    again = C.CacheTable(spark, "cache_b", f"file://{tmp_path}/cache", schema, parts=4, buckets=4)
+    hits, misses = again.lookup(wanted)
+    assert [r["phash_top"] for r in hits.collect()] == ["again"] and {r["path"] for r in misses.collect()} == {"p7", "new"}
+    assert again.upsert(spark.createDataFrame([], schema)) == []
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = again.lookup(wanted)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scan = plan.index("cache_b")
+    assert "Join" in plan and plan.count("Exchange") == 1 and plan.index("Exchange") < scan and "Bucketed: true" in plan
+
+
 def test_manifest_sources(spark, pictures):
     a, b = M.list_files(spark, str(pictures / "sub")), M.list_files(spark, str(pictures))
     both = M.union_sources(a, b).orderBy("ord").collect()
