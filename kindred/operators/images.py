@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kindred.functions import scalars as S
-from kindred.sources.store import cache_lookup, cache_upsert
+from kindred.sources.files import size_guards
+from kindred.sources.store import cache_lookup, cache_upsert, split_errors
 
 MAX_PIXELS = 178_000_000
 #: Shares of red, green and blue in grey.
@@ -140,8 +141,10 @@ def fingerprint(files: DataFrame, images: DataFrame, cache: DataFrame, require_d
 
     Hits come from the cache; misses are decoded, digested and hashed in the scan's own
     tasks, and only digests and hashes go on. A picture that can't be decoded drops out
-    of everything, exact matching too, unless ``require_decodable`` is false.
+    of everything, exact matching too, unless ``require_decodable`` is false. Empty and
+    too large files are errors before anything is read.
     """
+    files, refused = split_errors(size_guards(files))
     hits, misses = cache_lookup(files.drop("content"), cache)
     digests = files.select("path", *S.content_digests(F.col("content")))
     hashed = misses.join(image_hashes(images), "path").join(digests, "path").withColumn("computed_at", F.unix_timestamp().cast("double"))
@@ -149,7 +152,7 @@ def fingerprint(files: DataFrame, images: DataFrame, cache: DataFrame, require_d
     errors = hashed.filter("error_type is not null").select("path", "stage", "error_type", F.col("error_message").alias("message"))
     columns = ["path", "length", "mtime", "md5", "sha256", "phash", "dhash", "ahash", "phash_top", "width", "height", "computed_at"]
     fresh = good.select(columns)
-    return hits.select(columns).unionByName(fresh), errors, cache_upsert(cache.select(columns), fresh)
+    return hits.select(columns).unionByName(fresh), errors.unionByName(refused), cache_upsert(cache.select(columns), fresh)
 
 
 def embed(fn: Callable[[list[bytes]], np.ndarray], batch: int = 32):

@@ -9,18 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from kindred.functions import scalars as S
 from kindred.plans.options import ScanOptions
 from kindred.plans.order import global_rank
+from kindred.sources.listing import every_file
 
 
 def list_files(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("image",), content: bool = False) -> DataFrame:
     """Files of the given kinds under a folder (or one file): ``path, original_path, length, mtime, format, kind, source_type, source_group``.
 
-    Without ``content`` the bytes are never read. Sizes and times reach the reader as
-    filters; files without any bytes are left out by the reader. A folder without such
-    files gives no rows.
+    Empty files are listed too (``size_guards`` makes errors of them). Without
+    ``content`` no bytes are read. A folder without such files gives no rows.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = every_file(spark, path)
     plain = F.regexp_replace("path", "^file:/*", "/")
-    rows = found.select(plain.alias("path"), "length", F.col("modificationTime").alias("mtime"), *(["content"] if content else []))
+    if content:
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        whole = whole.select(plain.alias("path"), "length", F.col("modificationTime").alias("mtime"), "content")
+        rows = whole.unionByName(found.filter("length = 0").select(plain.alias("path"), "length", "mtime", F.lit(b"").alias("content")))
+    else:
+        rows = found.select(plain.alias("path"), "length", "mtime")
     rows = rows.withColumn("kind", S.kind(F.col("path"))).filter(F.col("kind").isin(*kinds))
     return rows.select("path", F.col("path").alias("original_path"), "length", "mtime", S.format_name(F.col("path")).alias("format"), "kind", F.lit("folder").alias("source_type"), F.lit(None).cast("string").alias("source_group"), *(["content"] if content else []))
 

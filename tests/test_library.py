@@ -388,15 +388,15 @@ def pictures(tmp_path):
 
 def test_fingerprint_job(spark, pictures):
     files = M.list_files(spark, str(pictures), content=True)
-    assert files.count() == 5  # the reader leaves out files without bytes
+    assert files.count() == 6
     good, bad = C.split_errors(M.size_guards(files, most=10**6))
-    assert bad.count() == 0
+    assert [(r["path"].rsplit("/", 1)[-1], r["error_type"]) for r in bad.collect()] == [("empty.png", "EmptyFile")]
     sized = spark.createDataFrame([("e", 0), ("n", None), ("b", 10**6 + 1), ("g", 5)], "path string, length long")
     assert {r["path"]: r["error_type"] for r in C.split_errors(M.size_guards(sized, most=10**6))[1].collect()} == {"e": "EmptyFile", "n": "EmptyFile", "b": "FileTooLarge"}
     cache = spark.createDataFrame([], "path string, length long, mtime timestamp, md5 string, sha256 string, phash string, dhash string, ahash string, phash_top string, width long, height long, computed_at double")
-    found, errors, new = I.fingerprint(good, I.read_images(spark, str(pictures)), cache)
+    found, errors, new = I.fingerprint(files, I.read_images(spark, str(pictures)), cache)
     rows = {r["path"].rsplit("/", 1)[-1]: r for r in found.collect()}
-    assert set(rows) == {"a.png", "copy.png", "b.png", "c.png"} and [r["error_type"] for r in errors.collect()] == ["UndecodableImage"]
+    assert set(rows) == {"a.png", "copy.png", "b.png", "c.png"} and sorted(r["error_type"] for r in errors.collect()) == ["EmptyFile", "UndecodableImage"]
     far = lambda a, b, k: (int(rows[a][k], 16) ^ int(rows[b][k], 16)).bit_count()
     for k in ("phash", "dhash", "ahash"):
         assert far("a.png", "copy.png", k) == 0 and far("a.png", "b.png", k) <= 6 < far("a.png", "c.png", k)
@@ -473,10 +473,29 @@ def test_cache_table(spark, tmp_path):
     assert "Join" in plan and plan.count("Exchange") == 1 and plan.index("Exchange") < scan and "Bucketed: true" in plan
 
 
+def test_empty_files_reach_the_error_table(spark, tmp_path):
+    for name, data in (("a.png", b"12"), ("empty.png", b""), ("sub/deep/none.jpg", b""), ("sub/b.png", b"1"), ("sub/x.txt", b"")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    for uri in (str(tmp_path), f"file://{tmp_path}"):
+        listed = M.list_files(spark, uri)
+        good, bad = C.split_errors(M.size_guards(listed))
+        assert {r["path"] for r in good.collect()} == {f"{tmp_path}/a.png", f"{tmp_path}/sub/b.png"}
+        assert {(r["path"], r["error_type"]) for r in bad.collect()} == {(f"{tmp_path}/empty.png", "EmptyFile"), (f"{tmp_path}/sub/deep/none.jpg", "EmptyFile")}
+    from kindred.sources.listing import every_file
+
+    for folders in (1, 2, 100):
+        assert every_file(spark, str(tmp_path), folders).count() == 5
+    assert {r["path"]: bytes(r["content"]) for r in M.list_files(spark, str(tmp_path), content=True).collect()}[f"{tmp_path}/empty.png"] == b""
+    assert M.list_files(spark, f"{tmp_path}/empty.png").first()["length"] == 0
+    seen = M.list_files(spark, str(tmp_path)).select("path", F.col("mtime").cast("double").alias("t")).collect()
+    assert all(abs(r["t"] - __import__("os").stat(r["path"]).st_mtime) < 1 for r in seen)
+
+
 def test_manifest_sources(spark, pictures):
     a, b = M.list_files(spark, str(pictures / "sub")), M.list_files(spark, str(pictures))
     both = M.union_sources(a, b).orderBy("ord").collect()
-    assert [r["ord"] for r in both] == list(range(5)) and both[0]["source_ord"] == 0
+    assert [r["ord"] for r in both] == list(range(6)) and both[0]["source_ord"] == 0
     assert M.list_files(spark, str(pictures / "a.png")).count() == 1
     assert M.list_files(spark, str(pictures), kinds=("video",)).count() == 0
     video = spark.createDataFrame([("/v.mp4",), ("/w.mp4",)], "path string")
