@@ -9,16 +9,20 @@ it replaces what it had left.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from kindred.functions import scalars as S
 from kindred.operators.components import connected_components
 from kindred.operators.similarity import hamming_pairs, scope_key
 from kindred.plans.joins import join_counted
 from kindred.plans.storage import materialise
+from kindred.sources.listing import every_file
 
 FILES_PER_TRIGGER = 10_000
 #: The tables of a state: files as they came, pairs of near hashes that a batch brought, and hashes with a new label.
@@ -28,7 +32,7 @@ LABELS = "s string, h long, label long"
 
 
 def watch_files(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("image",), recursive: bool = False) -> DataFrame:
-    """A stream of new files' ``path, length, mtime, content``; edits and deletions come from ``scan_delta``."""
+    """A stream of new files' ``path, length, mtime, content``; edits and deletions come from ``watch_changes``."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", str(recursive).lower()).option("maxFilesPerTrigger", FILES_PER_TRIGGER).load(path)
     return stream.filter(S.kind(F.col("path")).isin(*kinds)).select("path", "length", F.col("modificationTime").alias("mtime"), "content")
 
@@ -38,6 +42,49 @@ def once_each(stream: DataFrame, key: str = "path", time: str = "mtime", delay:
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def record_listing(spark: SparkSession, path: str, directory: str, seen_at: dt.datetime) -> None:
+    """Append a listing of all files under ``path``, empty ones too, to the folder that ``watch_changes`` follows."""
+    every_file(spark, path).withColumn("seen_at", F.lit(seen_at).cast("timestamp")).write.mode("append").parquet(directory)
+
+
+def watch_changes(listings: DataFrame, gone_after: str = "1 hour", late: str = "0 seconds") -> DataFrame:
+    """A stream ``path, status, length, mtime, at`` of new, modified and deleted files, from a stream of listings.
+
+    ``listings``: ``path, length, mtime, seen_at``, every file once in each listing. The
+    state holds a row for each file that is there. A file is modified if its size or time
+    is another one than when it was last seen, and deleted once the listings' time has
+    gone on for ``gone_after`` without it; then its state goes, and it is new if it comes
+    back. Rows that come later than newer ones of their file change nothing.
+    """
+    wait = int(pd.Timedelta(gone_after).total_seconds() * 1000)
+    names = ["path", "status", "length", "mtime", "at"]
+
+    def follow(key, parts, state):
+        path, out = key[0], []
+        size, mtime, seen = state.getOption or (None, None, None)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(path, "deleted", size, pd.Timestamp(mtime, unit="us"), pd.Timestamp(seen + wait, unit="ms"))], columns=names)
+            return
+        rows = pd.concat(list(parts)).sort_values("seen_at")
+        for new_size, when, at in zip(rows["length"], rows["mtime"], rows["seen_at"], strict=True):
+            ms, us = at.value // 1_000_000, when.value // 1000
+            if seen is not None and ms < seen:
+                continue
+            if seen is not None and ms - seen > wait:
+                out.append((path, "deleted", size, pd.Timestamp(mtime, unit="us"), pd.Timestamp(seen + wait, unit="ms")))
+                seen = None
+            if seen is None or (size, mtime) != (int(new_size), us):
+                out.append((path, "new" if seen is None else "modified", int(new_size), when, at))
+            size, mtime, seen = int(new_size), us, ms
+        state.update((size, mtime, seen))
+        state.setTimeoutTimestamp(max(seen + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    rows = listings.select("path", "length", "mtime", "seen_at").withWatermark("seen_at", late)
+    return rows.groupBy("path").applyInPandasWithState(follow, "path string, status string, length long, mtime timestamp, at timestamp", "length long, mtime long, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 class State:
     """The tables and manifests under a directory, which any store that Spark reaches can hold."""
 
