@@ -42,6 +42,14 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to between a half and one.
+
+    That is exact and changes no cosine, and squares neither overflow nor vanish.
+    """
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def orders(unit: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The ``prefix`` nearest pivots of each unit vector, nearest first, ties to the earlier pivot."""
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :prefix]
@@ -99,7 +107,9 @@ def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", ve
     Vectors that ``usable`` excludes and rows with a null id take no part; vectors of
     different lengths aren't neighbours, so each length is searched on its own. Rows with
     the query's own id aren't its neighbours; rows repeated under another id are, each on
-    its own. Repeats of one query are answered once. Fewer candidates than ``k`` give
+    its own. Repeats of one query are answered once; a query's id with several different
+    vectors gets the neighbours of each, told apart by their ranks only in that they start
+    anew. Fewer candidates than ``k`` give
     fewer rows; an empty table none.
     """
     spark = rows.sparkSession
@@ -125,7 +135,7 @@ def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", ve
                     continue
                 size, block, side = key[lo].tolist()
                 part = batch.slice(lo, hi - lo)
-                mine, matrix = part.column("vec_id").to_numpy(), part.column("vector").flatten().to_numpy().reshape(-1, size)
+                mine, matrix = part.column("vec_id").to_numpy(), scaled(part.column("vector").flatten().to_numpy().reshape(-1, size))
                 if (size, block) != own:
                     own, ids, vectors, index = (size, block), [], [], None
                 if side == 0:
