@@ -2,10 +2,16 @@
 
 Strong patterns (assignments, access key ids, long hexadecimal runs) are reported
 wherever they match. Weak candidates, an account name, a token-like run or an endpoint
-address, say nothing alone: within a scope, the lines between two blank lines, their
-spans are interval-joined with the complementary parts, over the whole scope or within
-a window if one is given, and a weak candidate is reported only as part of a credential
-that has both an identifier or endpoint and a secret.
+address, say nothing alone: their spans are interval-joined with the complementary
+parts of their scope, and a weak candidate is reported only as part of a credential that
+has both an identifier or endpoint and a secret.
+
+A scope is the innermost pair of braces around a part, or outside of braces the lines
+between two blank lines; a scope also sees what stands directly in the scope around it.
+An access key id and the 40 characters of its secret belong together anywhere in a
+section, that is between two headings. What code is full of is no part: names and paths
+that only look like tokens, calls, addresses within a sentence, and digests that are
+called so.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -36,7 +42,15 @@ IDENTIFIERS, SECRETS = {"access", "identifier"}, {"assign", "hex", "key"}
 WEAK = {"identifier", "key", "endpoint"}
 #: Code points between two parts of one credential, for callers of ``linked`` that want a window; the query and the pipeline link over whole scopes.
 WINDOW = 400
-_BLANK = re.compile(r"\n[^\S\n]*\n")
+_BRACE = re.compile(r"[{}]")
+_EDGE = re.compile(r"[{}]|\n(?=[^\S\n]*\n)")
+_HEADING = re.compile(r"^(?:\[[^\]\n]+\]|#{1,6} [^\n]*|-{3,}|={3,})[^\S\n]*$", re.MULTILINE)
+#: Addresses that are often only mentioned.
+WEB = re.compile(r"(?:https?|wss?)://(?![^/\s]*@)")
+#: What stands before a hexadecimal run that is no secret.
+DIGEST = re.compile(r"""(?:sha-?\d*|md5|hash|digest|checksum|commit|revision|etag|uuid)["']?\s*[:=-]\s*["']?$""", re.IGNORECASE)
+#: Characters of the secret that goes with an access key id.
+AWS_SECRET = 40
 _HEX_ONLY = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
 
 
@@ -68,14 +82,33 @@ def strong(text: str) -> list[Span]:
     return sorted(out)
 
 
+def _token_like(text: str, start: int, end: int) -> bool:
+    """Whether a run looks drawn at random: words, names and paths have many lower-case letters next to each other."""
+    run = text[start:end].rstrip("=")
+    if len(set(run)) < 10:
+        return False
+    if text[end : end + 1] == "(" or (text[end : end + 1] == "." and text[end + 1 : end + 2].isalpha()):
+        return False  # a call, or a file or member
+    pairs = sum(a.islower() and b.islower() for a, b in pairwise(run))
+    return pairs < 0.4 * (len(run) - 1)
+
+
+def _is_value(text: str, start: int, end: int) -> bool:
+    """Whether a span is assigned to something, or alone on its line."""
+    line = text.rfind("\n", 0, start) + 1
+    before = text[max(line, start - 8) : start].rstrip(" \"'")
+    after = text[end : end + 1]
+    return before.endswith(("=", ":")) or (not text[line:start].strip() and after in ("", "\n", "\r"))
+
+
 def _weak(text: str, sure: list[Span]) -> list[Span]:
     low, out = text.lower(), []
     if any(k in low for k in ("key", "client", "account", "user", "login", "tenant")) and ("=" in text or ":" in text):
-        out += [_span("identifier", m.start(), m.end()) for m in NAMED.finditer(text)]
+        out += [_span("identifier", m.start(), m.end()) for m in NAMED.finditer(text) if text[m.end() : m.end() + 1] != "("]
     if "://" in text:
-        out += [_span("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+        out += [_span("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text) if not WEB.match(m[0]) or _is_value(text, m.start(), m.end())]
     if out or any(s.kind == "access" for s in sure):
-        out += [_span("key", m.start(), m.end()) for m in KEYLIKE.finditer(text)]
+        out += [_span("key", m.start(), m.end()) for m in KEYLIKE.finditer(text) if _token_like(text, m.start(), m.end())]
     if not out:
         return []
     # A weak part within a strong one is that part itself.
@@ -87,6 +120,37 @@ def _weak(text: str, sure: list[Span]) -> list[Span]:
     return [w for w in out if (i := bisect_left(starts, w.start + 1)) == 0 or ends[i - 1] < w.end]
 
 
+def _scopes(text: str) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+    """``(places, numbers, around)``: from each place on, the number of the innermost scope, and each scope's number and that around it.
+
+    Scopes outside of braces are paragraphs, one for each blank line before; braces
+    that don't match are none.
+    """
+    pairs, open_ = {}, []
+    for m in _BRACE.finditer(text):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            pairs[open_.pop()] = m.start()
+    closing = set(pairs.values())
+    places, numbers, parents, stack = [0], [0], [(0, -1)], [0]
+    for m in _EDGE.finditer(text):
+        at = m.start()
+        if at in pairs:
+            parents.append((len(parents), stack[-1]))
+            stack.append(len(parents) - 1)
+        elif at in closing:
+            stack.pop()
+        elif m[0][0] == "\n" and len(stack) == 1:
+            parents.append((len(parents), -1))
+            stack[0] = len(parents) - 1
+        else:
+            continue
+        places.append(at)
+        numbers.append(stack[-1])
+    return places, numbers, parents
+
+
 @dataclass(frozen=True)
 class Side:
     """The spans of one side of a credential, by start; ``tops`` is the largest end up to each."""
@@ -105,24 +169,34 @@ class Side:
 
 
 def linked(text: str, sure: list[Span], window: int | None = WINDOW) -> list[Span]:
-    """The weak candidates that belong to a credential; without a window its parts may lie anywhere in the scope."""
+    """The weak candidates that belong to a credential; without a window its parts may lie anywhere in their scopes."""
     window = len(text) if window is None else window
     weak = _weak(text, sure)
     if not weak:
         return []
-    breaks = [m.start() for m in _BLANK.finditer(text)]
-    scopes: dict[int, list[Span]] = {}
+    places, numbers, around = _scopes(text)
+    here: dict[tuple[str, int], list[Span]] = {}
+    below: dict[tuple[str, int], list[Span]] = {}
+    where: dict[Span, int] = {}
     for s in sorted(sure + weak):
-        scopes.setdefault(bisect_left(breaks, s.start), []).append(s)
-    out = []
-    for parts in scopes.values():
-        names = [s for s in parts if s.kind in IDENTIFIERS]
-        secrets = [s for s in parts if s.kind in SECRETS]
-        ends = [s for s in parts if s.kind == "endpoint"]
-        if not secrets or not (names or ends):
+        scope = where[s] = numbers[bisect_right(places, s.start) - 1]
+        if s.kind == "hex" and DIGEST.search(text, max(0, s.start - 40), s.start):
             continue
-        whose, what = Side.of(sorted(names + ends)), Side.of(secrets)
-        out += [s for s in parts if s.kind in WEAK and (whose if s.kind == "key" else what).meets(s, window)]
+        side = "secret" if s.kind in SECRETS else "name"
+        here.setdefault((side, scope), []).append(s)
+        below.setdefault((side, around[scope][1]), []).append(s)
+    here, below = ({k: Side.of(v) for k, v in t.items()} for t in (here, below))
+    out = []
+    for s in weak:
+        other, scope = "name" if s.kind == "key" else "secret", where[s]
+        sides = [here.get((other, scope)), below.get((other, scope)), here.get((other, around[scope][1]))]
+        if any(x is not None and x.meets(s, window) for x in sides):
+            out.append(s)
+    # An access key id and its secret, anywhere in a section.
+    heads = [m.start() for m in _HEADING.finditer(text)] if any(s.kind == "access" for s in sure) else []
+    ids = {bisect_right(heads, s.start) for s in sure if s.kind == "access"}
+    given = set(out)
+    out += [s for s in weak if s.kind == "key" and s.end - s.start == AWS_SECRET and s not in given and bisect_right(heads, s.start) in ids]
     return out
 
 
