@@ -837,7 +837,8 @@ def test_pipeline_of_odd_rows(spark, odd, empty):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_with_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = con.execute(SQL[name])
     columns = [c[0] for c in want.description]
     found = queries()[name](spark, DATA)
