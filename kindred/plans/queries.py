@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from kindred.functions import scalars as S
 from kindred.operators import forensics as X, groups as G, images as I, similarity as J, survivors as V
 from kindred.plans import fixtures as T, report as R
 from kindred.plans.fixtures import sql
-from kindred.plans.scan import perceptual
+from kindred.plans.scan import perceptual, scan_archives
 from kindred.plans.storage import fresh_path, materialise
 from kindred.sources import archives as A, files as M, store as C
 
@@ -107,6 +108,37 @@ def multi_account_flag(spark, d):
     return perceptual(T.hashes(spark, d))[0].select("first_ord", "multi_account")
 
 
+_ARCHIVED = "SELECT * REPLACE ('z' || (ord // 4 % 5) AS scope) FROM (SELECT CAST(NULL AS VARCHAR) AS scope, * FROM hashes)"
+_ARCHIVE_EDGES = "SELECT x.ord AS a, y.ord AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS dist, CAST(bit_count(xor(x.tp, y.tp)) AS INTEGER) AS dist_top FROM hashes x JOIN hashes y ON x.ord < y.ord AND x.ord // 4 % 5 = y.ord // 4 % 5 AND x.md5 <> y.md5 AND bit_count(xor(x.h, y.h)) <= 10"
+_ARCHIVE_GROUPS = f"""SELECT archive, method, first_ord, n_files, similarity, row_number() OVER (ORDER BY archive, place, first_ord) AS group_id FROM (
+    SELECT scope AS archive, 0 AS place, 'exact' AS method, min(ord) AS first_ord, count(*) AS n_files, 1.0::DOUBLE AS similarity FROM ({_ARCHIVED}) GROUP BY scope, md5 HAVING count(*) >= 2
+    UNION ALL SELECT 'z' || (first_ord // 4 % 5), 1, 'perceptual', first_ord, n_files, similarity FROM perceptual)"""
+
+
+@query(sql(_ARCHIVE_GROUPS, "base", "hashes", "edges", "linked", "reach", "comp", "pairs", "perceptual", recursive=True, edges=_ARCHIVE_EDGES))
+def all_archive_scan(spark, d):
+    """Exact and perceptual groups of five archives at once."""
+    hashes = T.hashes(spark, d).withColumn("scope", F.concat(F.lit("z"), F.expr("ord div 4 % 5").cast("string")))
+    return scan_archives(hashes).select("archive", "method", "first_ord", "n_files", "similarity", "group_id")
+
+
+@query(sql("SELECT path, CASE WHEN m THEN 1.0::DOUBLE * length / fps ELSE 0.0::DOUBLE END AS duration, CASE WHEN m THEN CAST(floor(length / (fps * 2.0::DOUBLE)) AS BIGINT) ELSE 0 END AS keyframes FROM (SELECT path, length, length % 2 = 0 AS m, CASE length % 3 WHEN 0 THEN 24.0::DOUBLE ELSE 25.0::DOUBLE END AS fps FROM kinds WHERE kind = 'video')", "tree", "kinds"))
+def video_list(spark, d):
+    """Videos of a folder with what is known of half of them."""
+    tree = T.tree(spark, d)
+    meta = tree.filter("length % 2 = 0").select("path", F.col("length").alias("frames"), F.expr("IF(length % 3 = 0, 24.0D, 25.0D)").alias("fps"))
+    return M.video_manifest(tree, meta).select("path", "duration", F.col("keyframe_count").alias("keyframes"))
+
+
+@query(sql("SELECT 7 AS scan_id, '[\"a\",\"b\"]' AS source_key, TIMESTAMP '2024-01-02 03:00:00' AS finished_at, CAST(sum(n_files) AS BIGINT) AS total_files, count(*) AS total_groups FROM pool UNION ALL SELECT 8, '[\"c\"]', NULL, NULL, NULL", "files", "pool"))
+def session_log(spark, d):
+    """A session opened and closed with its totals, and one that is still open."""
+    at = dt.datetime(2024, 1, 2, tzinfo=dt.timezone.utc)
+    both = C.open_session(spark, 7, ["a", "b"], at).unionByName(C.open_session(spark, 8, ["c"], at))
+    closed = C.close_session(both, 7, G.exact_groups(_pool(spark, d)), dt.datetime(2024, 1, 2, 3, tzinfo=dt.timezone.utc))
+    return closed.select(F.col("scan_id").cast("int").alias("scan_id"), "source_key", "finished_at", "total_files", "total_groups")
+
+
 @query(sql("SELECT a, b, round(cosine, 6) AS cosine FROM near_vectors", "vectors", "near_vectors"))
 def cosine_edges(spark, d):
     return J.cosine_edges(T.vectors(spark, d)).withColumn("cosine", F.round("cosine", 6))
@@ -508,13 +540,14 @@ def tile_figures(spark, d):
     return X.single_figures(T.tiles(spark, d).select("path", *I.grey_tile(F.col("px"), 8))).drop("histogram")
 
 
-@query(sql("SELECT path, CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN 64 * px[i + 1] > s THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE CAST(0 AS BIGINT) END)) AS BIGINT) AS above, CAST(list_sum(list_transform(range(0, 62), lambda i: CASE WHEN px[i + 2] > px[i + 1] THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE CAST(0 AS BIGINT) END)) AS BIGINT) AS rising FROM (SELECT path, px, list_sum(px) AS s FROM tiles)", "tiles"))
+_NIBBLES = "array_to_string(list_transform(range(0, 16), lambda j: substr('0123456789abcdef', CAST(1 + list_sum(list_transform(range(0, 4), lambda b: CASE WHEN 64 * px[4 * j + b + 1] > list_sum(px) THEN 8 >> CAST(b AS INTEGER) ELSE 0 END)) AS INTEGER), 1)), '')"
+
+
+@query(sql(f"SELECT path, {_NIBBLES} AS ahash FROM tiles", "tiles"))
 def tile_hashes(spark, d):
-    """Bits of a tile above its mean, and rising to the right, from built-in functions alone."""
-    return T.tiles(spark, d).selectExpr(
-        "path", "aggregate(sequence(0, 62), 0L, (s, i) -> s + IF(64 * px[i] > aggregate(px, 0, (t, x) -> t + x), shiftleft(1L, i), 0L)) AS above",
-        "aggregate(sequence(0, 61), 0L, (s, i) -> s + IF(px[i + 1] > px[i], shiftleft(1L, i), 0L)) AS rising",
-    )
+    """The average hash of every tile; tiles have the hash's own size, so SQL can state it."""
+    images = T.tiles(spark, d).select(F.col("path").cast("string").alias("path"), *I.grey_tile(F.col("px"), 8))
+    return I.image_hashes(images).select(F.col("path").cast("long").alias("path"), "ahash")
 
 
 @query()
