@@ -208,7 +208,17 @@ def cosine_blocks(vectors: DataFrame, threshold: float, column: str = "v", block
     angles to every pivot, too. Blocks are rings around the nearest of the pivots, which
     are vectors of the table.
     """
-    unit = vectors.select("ord", l2_normalise(F.col(column)).alias("u")).filter(F.exists("u", lambda x: x != 0))
+    def units(batches):
+        for batch in batches:
+            v = batch.column("v")
+            if len(v):
+                x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+                size = np.sqrt((x * x).sum(axis=1))
+                kept = size > 0
+                yield pa.RecordBatch.from_arrays([batch.column("ord").filter(pa.array(kept)), pa.array(list(x[kept] / size[kept, None]), pa.list_(pa.float64()))], ["ord", "u"])
+
+    own = vectors.select("ord", F.col(column).cast("array<double>").alias("v")).filter("v is not null")
+    unit = materialise(own.mapInArrow(units, "ord long, u array<double>"), "units")
     chosen = np.array(tiles.sample(unit, "u", pivots), float)
     shared = vectors.sparkSession.sparkContext.broadcast(chosen)
 
