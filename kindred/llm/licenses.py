@@ -3,7 +3,8 @@
 Texts are lowered and reduced to their words, one space apart, so every rule is a
 regular expression over whole words. A rule runs only where its keyword occurs. What
 the rules find is taken in order of priority, longer first, and a finding that lies
-within the interval of one already taken is suppressed.
+within the interval of one already taken is suppressed. A declaration that the words
+before it deny suppresses like any other, but isn't reported.
 """
 
 from __future__ import annotations
@@ -89,6 +90,12 @@ SETTINGS = (
     (0.6, "(?:the )?{} licen[cs]e"),
 )
 
+#: A license in these words is no license of the text: a name followed by one of them, and a declaration after a denial.
+_NOT_A_LICENSE = "(?! (?:plates?|numbers?|keys?|servers?|fees?|holders?|office) )"
+_DENIAL = re.compile(r" (?:not|never|nor|neither|cannot|(?:is|are|was|were|can|could|may|must|should|will)n t)(?: be| been| yet| currently| longer| itself)? $")
+#: Characters before a declaration that may hold a denial.
+_DENIED_WITHIN = 40
+
 #: Settings that end with the word license, which a name written out has itself.
 _TAILED = tuple(i for i, (_, setting) in enumerate(SETTINGS) if setting.endswith("{} licen[cs]e"))
 
@@ -157,7 +164,7 @@ def rules() -> tuple[Rule, ...]:
             said = setting.format(_versioned(name))
             if i in _TAILED and (written := _written(name)):
                 said += "|" + setting.removesuffix(" licen[cs]e").format(_versioned(written))
-            made.append((sure, label, keys, f"(?<= )(?:{said})(?= )"))
+            made.append((sure, label, keys, f"(?<= )(?:{said})(?= ){_NOT_A_LICENSE}"))
     for sure, text, before in SIGNATURES:
         made += [(sure, label, key, f"(?<= ){before}(?:{_GAP.sub(_gap, words)})(?= )") for label, key, words in signatures.read(text)]
     return tuple(Rule(i, label, sure, tuple(keys.split("|")), re.compile(p)) for i, (sure, label, keys, p) in enumerate(made))
@@ -196,7 +203,8 @@ def scan(line: str) -> list[Finding]:
     kept = []
     for _, a, b, rule in found:
         if not any(x <= a and b <= y for x, y in taken[a // _BLOCK]):
-            kept.append((a, b, rule))
+            if not denied(line, a, rule):
+                kept.append((a, b, rule))
             for block in range(a // _BLOCK, b // _BLOCK + 1):
                 taken[block].append((a, b))
     kept.sort(key=lambda x: (x[0], x[2].order))
@@ -204,6 +212,11 @@ def scan(line: str) -> list[Finding]:
     return [Finding(r.label, r.sure, n, n + line.count(" ", a, b) + 1, r.order) for n, (a, b, r) in zip(starts, kept, strict=True)]
 
 
+def denied(line: str, start: int, rule: Rule) -> bool:
+    """Whether the words before a name in a setting say that it does not hold; signatures and identifiers can't be denied."""
+    return 0 <= rule.order < len(SETTINGS) * len(NAMES) and _DENIAL.search(line[max(0, start - _DENIED_WITHIN) : start]) is not None
+
+
 @cache
 def _spdx(words: str) -> Rule:
     return Rule(-1, signatures.SPDX[words], SPDX_SURE, (), SPDX)

@@ -225,7 +225,9 @@ polyform | polyform | polyform (?:non ?commercial|small business|shield|strict|i
 openrail | rail | (?:bigscience|creativeml|bigcode) ~2 (?:open )?rail(?: ?[ms])?(?: license)?
 gemma | gemma terms | gemma terms of use
 llama | llama | llama [0-9]+(?: [0-9]+)? community license
-gpl | dual licensed | dual licensed under ~10 gpl(?: licen[cs]es?)?
+gpl-2 | dual licensed | dual licensed under ~10 gpl ?(?:version |v ?)?2(?: 0)?(?: licen[cs]es?)?
+gpl-3 | dual licensed | dual licensed under ~10 gpl ?(?:version |v ?)?3(?: 0)?(?: licen[cs]es?)?
+gpl | dual licensed | dual licensed under ~10 gpl(?! ?(?:version |v ?)?[23] )(?: licen[cs]es?)?
 mit | dual licensed | dual licensed under ~10 mit(?: licen[cs]es?)?
 apache-2 | dual licensed | dual licensed under ~10 apache(?: licen[cs]es?)?(?: version)?(?: 2(?: 0)?)?
 """
