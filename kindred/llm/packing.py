@@ -122,9 +122,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, length`` (1 to ``capacity``)."""
+    """Add ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, length`` (1 to ``capacity``).
+
+    Pieces of a length are dealt by all their columns, so those of one id, or of none,
+    don't meet in one task. ``cut`` is read twice and must be a written table.
+    """
     spark = cut.sparkSession
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)))
+    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64(*cut.columns), F.lit(RANK_BUCKETS)))
     buckets = materialise(bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     # At most one row for each length up to the capacity comes to the driver, however many pieces there are.
     counts = {r["length"]: r["n"] for r in buckets.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -159,7 +163,9 @@ def pack_documents(docs: DataFrame, **how) -> DataFrame:
     keep their own rows; an empty table gives no rows. Only documents longer than the
     capacity are cut.
     """
-    return place(materialise(pieces(docs, **how), "pieces"), how.get("capacity", CAPACITY))
+    # The number of the writing task tells equal pieces of repeated rows apart.
+    cut = materialise(pieces(docs, **how).withColumn("part", F.spark_partition_id()), "pieces")
+    return place(cut, how.get("capacity", CAPACITY)).drop("part")
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
