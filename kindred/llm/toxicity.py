@@ -2,22 +2,24 @@
 
 A word's weight is the log-odds ratio of toxic against clean labelled documents under
 an informative Dirichlet prior (the words' shares in both together). Words whose ratio
-stands out by several standard deviations make the lexicon, with prefixes as a back-off
-for compounds; every other word counts slightly against. One pass over a text finds all
+stands out by several standard deviations, to either side, make the lexicon, with prefixes
+as a back-off for compounds; every other word counts slightly against. One pass over a text finds all
 maximal segments of positive total, each of which is longer or better than any way to
 cut it. By chance alone the number of segments of total S in n words is about
 K n exp(-lambda S): lambda is the root of the moment equation over clean words, K the
 most likely one given the best segments of clean labelled documents. That gives every
 passage a p-value; significant ones are reported, and a document's passages are taken
 together by the law of the sum of the r best, whose smallest p-value over r is what a
-logistic curve, fitted on labelled documents, turns into the probability.
+logistic curve turns into the probability. The curve is fitted on labelled documents in
+two folds, each scored by a model of the other, as a lexicon stands out most in the
+documents that made it.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,13 @@ from kindred.plans.storage import materialise
 MAX_LABELLED = 50_000
 #: The prior's weight as a share of all counted words.
 PRIOR_SHARE = 0.1
-#: Standard deviations by which a lexicon entry's log-odds exceed zero.
+#: Standard deviations by which a lexicon entry's log-odds are off zero.
 LEAST_Z = 3.0
 #: Largest lexicon; the entries that stand out most stay.
 MAX_LEXICON = 100_000
 PREFIXES = (5, 6, 7)
+#: Parts of the labelled documents; each is scored by a model of the others when the curve is fitted.
+FOLDS = 2
 #: Passages with a larger p-value are put down to chance.
 ALPHA = 0.05
 #: Weight of a word outside the lexicon.
@@ -150,27 +154,28 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, most: int =
 
 
 def _word_counts(labelled: DataFrame) -> DataFrame:
-    """``(entry, toxic, clean)``: in how many of the ``doc_id, text, y`` rows of either class each entry occurs."""
+    """``(entry, fold, toxic, clean)``: in how many of the ``text, y, fold`` rows of either class and each fold an entry occurs."""
 
     def run(batches):
-        mine: dict[str, list[int]] = {}
+        mine: dict[tuple[str, int], list[int]] = {}
 
         def flush():
             keys = list(mine)
             counts = np.array([mine[k] for k in keys], np.int64).reshape(-1, 2)
             mine.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts[:, 1]), pa.array(counts[:, 0])], ["entry", "toxic", "clean"])
+            return pa.RecordBatch.from_arrays([pa.array([e for e, _ in keys], pa.string()), pa.array([f for _, f in keys], pa.int64()), pa.array(counts[:, 1]), pa.array(counts[:, 0])], ["entry", "fold", "toxic", "clean"])
 
         for batch in batches:
-            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+            for text, y, fold in zip(batch.column("text"), batch.column("y").to_pylist(), batch.column("fold").to_pylist(), strict=True):
                 for e in {e for w in set(_WORD.findall((text.as_py() or "").lower())) for e in entries(w)}:
-                    mine.setdefault(e, [0, 0])[1 if y else 0] += 1
+                    mine.setdefault((e, fold), [0, 0])[1 if y else 0] += 1
                 if len(mine) > 200_000:
                     yield flush()
         if mine:
             yield flush()
 
-    return labelled.select("text", "y").mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = labelled.select("text", "y", "fold").mapInArrow(run, "entry string, fold long, toxic long, clean long")
+    return counted.groupBy("entry", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _root(weights: np.ndarray, shares: np.ndarray) -> float:
@@ -210,17 +215,37 @@ def fit(docs: DataFrame, labels: dict[int, int], id_col: str = "doc_id", text_co
         return Model({}, 1.0, 1.0, math.log(share / (1 - share)), 0.0)
     known = docs.sparkSession.createDataFrame(list(labels.items()), "doc_id long, y int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    labelled = materialise(rows.join(F.broadcast(known), "doc_id"), "labelled")  # the labels are a bounded sample
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(FOLDS)), F.lit(FOLDS)).cast("long").alias("fold")
+    labelled = materialise(rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y", fold), "labelled")  # the labels are a bounded sample
     counts = materialise(_word_counts(labelled), "words")
+    whole = _law(labelled, counts, labels)
+    if whole is None:
+        return Model({}, 1.0, 1.0, math.log(toxic / (len(labels) - toxic)), 0.0)
+    parts = [(f, _law(labelled.filter(F.col("fold") != f), counts.filter(F.col("fold") != f), labels)) for f in range(FOLDS)]
+    if any(law is None for _, law in parts):  # a fold without one of the classes
+        parts = [(None, whole)]
+    x, y = [], []
+    for f, law in parts:
+        of_fold = labelled if f is None else labelled.filter(F.col("fold") == f)
+        for r in score(of_fold, law).groupBy("doc_id").agg(F.max("statistic").alias("statistic")).collect():
+            x.append(r["statistic"])
+            y.append(float(labels[r["doc_id"]] > 0))
+    return replace(whole, **dict(zip(("intercept", "slope"), _logistic(np.array(x), np.array(y)), strict=True)))
+
+
+def _law(labelled: DataFrame, counts: DataFrame, labels: dict[int, int]) -> Model | None:
+    """Lexicon, lambda and K from labelled documents and the counts of their entries; None without words of both classes."""
+    counts = counts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n1, n0 = (float(v or 0) for v in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     if not n1 or not n0:
-        return Model({}, 1.0, 1.0, math.log(toxic / (len(labels) - toxic)), 0.0)
+        return None
     prior = PRIOR_SHARE * (n1 + n0)
     a = (F.col("toxic") + F.col("clean")) * PRIOR_SHARE
     odds = lambda y, n: F.log((y + a) / (n + prior - y - a))
     delta = odds(F.col("toxic"), n1) - odds(F.col("clean"), n0)
     z = delta / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    rows = counts.select("entry", "clean", delta.alias("weight"), z.alias("z")).filter(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "entry").limit(MAX_LEXICON).collect()
+    off = F.abs("z")
+    rows = counts.select("entry", "clean", delta.alias("weight"), z.alias("z")).filter(off > LEAST_Z).orderBy(off.desc(), "entry").limit(MAX_LEXICON).collect()
     lexicon = {r["entry"]: r["weight"] for r in rows}
     # Clean words by weight, a word standing for its own entry: the moment equation needs only their shares.
     plain = [(r["weight"], r["clean"] + 0.5) for r in rows if not r["entry"].startswith("^")]
@@ -228,10 +253,7 @@ def fit(docs: DataFrame, labels: dict[int, int], id_col: str = "doc_id", text_co
     mass = np.array([c for _, c in plain] + [max(n0 - sum(c for _, c in plain), 1.0)])
     rough = Model(lexicon, _root(weights, mass / mass.sum()), 1.0, 0.0, 1.0)
     best = score(labelled, rough).groupBy("doc_id").agg(F.max(F.struct("best", "n_words")).alias("b")).collect()
-    k = _most_likely_k(rough.rate, [(r["b"]["n_words"], r["b"]["best"]) for r in best if not labels[r["doc_id"]]])
-    found = score(labelled, Model(lexicon, rough.rate, k, 0.0, 1.0)).groupBy("doc_id").agg(F.max("statistic").alias("statistic")).collect()
-    x, y = np.array([r["statistic"] for r in found]), np.array([labels[r["doc_id"]] for r in found], float)
-    return Model(lexicon, rough.rate, k, *_logistic(x, (y > 0).astype(float)))
+    return replace(rough, k=_most_likely_k(rough.rate, [(r["b"]["n_words"], r["b"]["best"]) for r in best if not labels[r["doc_id"]]]))
 
 
 def _most_likely_k(rate: float, clean: list[tuple[int, float]]) -> float:
@@ -268,7 +290,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Every document's toxicity, learnt from the labels outside the held-out third."""
+    """Every document's toxicity, learnt from the labels outside the held-out third.
+
+    Null and empty texts get the score of a text in which nothing stands out; a null id
+    is never held out, nor learnt from; repeated rows keep their own results.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
     model = fit(docs, labelled_sample(labels.filter(~held_out), "doc_id", "toxic"))

@@ -203,6 +203,24 @@ def test_spdx_expressions():
     assert sorted(found("dual licensed under the MIT and GPL licenses")) == ["gpl", "mit"]
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Dual licensed under the MIT or GPL Version 2 licenses.", ["gpl-2", "mit"]),
+        ("Dual licensed under the MIT and GPL v2 licenses.", ["gpl-2", "mit"]),
+        ("Dual licensed under the MIT or GPLv3 licenses.", ["gpl-3", "mit"]),
+        ("This is not licensed under the MIT license.", []),
+        ("It isn't released under the GNU General Public License version 2, nor covered by the MPL 2.0.", []),
+        ("Not for sale. Licensed under the MIT license.", ["mit"]),
+        ("It is not only licensed under the MIT license.", ["mit"]),
+        ("The car has an MIT license plate.", []),
+        ("MIT license", ["mit"]),
+    ],
+)
+def test_license_names_versions_and_denials(text, labels):
+    assert sorted(f.label for f in L.scan(L.words_of(f"Before. {text} After.")[0])) == labels
+
+
 def test_gate_and_suppression_against_all_rules():
     """Every rule over the whole line, whatever its keywords; the sure ones first, longer before shorter, and what lies within one that is taken goes."""
     rng = random.Random(11)
@@ -326,6 +344,26 @@ def test_packing(spark, docs, ids):
     check_packing(queries()["op4_packing"](spark, DATA).collect(), docs, ids)
 
 
+def test_packing_deals_pieces_without_ids(spark):
+    """Rows without an id, and equal rows, are spread over tasks and still packed without a gap."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 4000, F.format_string("%05d", "id")).otherwise(F.lit("the same")).alias("text")).repartition(6)
+        rows = PK.pack_documents(docs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 6000 and max(Counter(r["task"] for r in rows).values()) < 3000
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for placed in bins.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= PK.CAPACITY
+
+
 def test_packing_odd(odd, odd_rows, empty, ids):
     check_packing(PK.pack_documents(odd).collect(), odd_rows, ids)
     check_packing(PK.pack_documents(odd, capacity=64).collect(), odd_rows, ids, 64)
@@ -673,40 +711,91 @@ def test_maximal_segments():
         assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 1e-6 for x, y in zip(got, want))
 
 
-def test_log_odds_root_and_calibration(spark):
-    """The lexicon, the law's constants and the curve, each against its definition."""
-    rng = random.Random(12)
-    bad, common = [f"bad{c}" for c in "abcde"], [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
-    rows = [(i, " ".join([rng.choice(common) for _ in range(60)] + [rng.choice(bad) for _ in range(6 if i % 4 == 0 else 0)]), i % 4 == 0) for i in range(240)]
-    labels = {i: int(y) for i, _, y in rows}
-    model = TX.fit(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), labels)
-    seen = {y: Counter(e for i, t, _ in rows if labels[i] == y for e in {e for w in set(t.split()) for e in TX.entries(w)}) for y in (0, 1)}
+def law_truth(rows, labels):
+    """Lexicon, lambda and K of ``(id, text)`` rows, from their definitions."""
+    seen = {y: Counter(e for i, t in rows if labels[i] == y for e in {e for w in set(t.split()) for e in TX.entries(w)}) for y in (0, 1)}
     n = {y: sum(seen[y].values()) for y in (0, 1)}
-    want, clean = {}, {}
+    lexicon, clean = {}, {}
     for e in seen[0] | seen[1]:
         a = TX.PRIOR_SHARE * (seen[0][e] + seen[1][e])
         prior = TX.PRIOR_SHARE * (n[0] + n[1])
         odds = [math.log((seen[y][e] + a) / (n[y] + prior - seen[y][e] - a)) for y in (0, 1)]
-        if (odds[1] - odds[0]) / math.sqrt(1 / (seen[1][e] + a) + 1 / (seen[0][e] + a)) > TX.LEAST_Z:
-            want[e], clean[e] = odds[1] - odds[0], seen[0][e] + 0.5
-    assert set(model.lexicon) == set(want) and all(math.isclose(model.lexicon[e], want[e], rel_tol=1e-9) for e in want)
-    words = {e: v for e, v in want.items() if not e.startswith("^")}
-    mass = {e: clean[e] for e in words}
-    rest = max(n[0] - sum(mass.values()), 1.0)
-    moment = sum(mass[e] * math.exp(model.rate * v) for e, v in words.items()) + rest * math.exp(model.rate * TX.OTHER)
-    assert math.isclose(moment / (sum(mass.values()) + rest), 1.0, rel_tol=1e-6)
-    scorer = TX.Scorer(model)
-    found = {i: scorer.segments(t) for i, t, _ in rows}
-    best = {i: max((s for _, _, s in x), default=0.0) for i, (_, x) in found.items()}
-    assert math.isclose(model.k, 180 / sum(found[i][0] * math.exp(-model.rate * best[i]) for i in found if not labels[i]), rel_tol=1e-9)
-    x, y = np.array([scorer.statistic(*found[i]) for i in labels]), np.array([labels[i] for i in labels], float)
+        if abs(odds[1] - odds[0]) / math.sqrt(1 / (seen[1][e] + a) + 1 / (seen[0][e] + a)) > TX.LEAST_Z:
+            lexicon[e], clean[e] = odds[1] - odds[0], seen[0][e] + 0.5
+    words = {e: v for e, v in lexicon.items() if not e.startswith("^")}
+    rest = max(n[0] - sum(clean[e] for e in words), 1.0)
+    total = rest + sum(clean[e] for e in words)
+    moment = lambda rate: sum(clean[e] * math.exp(rate * v) for e, v in words.items()) / total + rest * math.exp(rate * TX.OTHER) / total
+    return lexicon, moment
+
+
+def best_truth(lexicon, text):
+    """The totals of all maximal segments of a text."""
+    weights = []
+    for w in text.split():
+        known = [lexicon[e] for e in (w, *("^" + w[:k] for k in TX.PREFIXES if len(w) > k)) if e in lexicon]
+        weights.append(max(known) if known else TX.OTHER)
+    return [s for _, _, s in segments_truth(weights)]
+
+
+def statistic_truth(n, totals, rate, k):
+    """Minus the log of the smallest chance of any r best normalised totals, by the formula with its factorials."""
+    x = sorted((rate * s - math.log(k * max(n, 1)) for s in totals), reverse=True)
+    first = rate * max(totals, default=0.0) - math.log(k * max(n, 1))
+    chances = [max(-math.expm1(-math.exp(-first)), 1e-300)]
+    for r in range(1, len(x) + 1):
+        t = sum(x[:r])
+        if x[r - 1] > 0 and t > r * r:
+            chances.append(math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)) * (r * (r + 1) / 2))
+    return -math.log(min(chances))
+
+
+def test_statistic_against_the_law_of_the_r_best():
+    rng = random.Random(8)
+    for _ in range(500):
+        rate, k, n = rng.uniform(0.3, 2), rng.uniform(0.01, 1), rng.randrange(0, 400)
+        totals = [rng.uniform(0.1, 12) for _ in range(rng.randrange(0, 9))]
+        got = TX.Scorer(TX.Model({}, rate, k, 0.0, 1.0)).statistic(n, [(i, i, s) for i, s in enumerate(totals)])
+        assert math.isclose(got, statistic_truth(n, totals, rate, k), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_log_odds_root_and_calibration(spark):
+    """The lexicon, the law's constants and the curve of two folds, each against its definition."""
+    rng = random.Random(12)
+    bad, common = [f"bad{c}" for c in "abcde"], [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    kind = [f"kind{c}" for c in "abc"]  # stand out in clean documents
+    rows = [(i, " ".join([rng.choice(common) for _ in range(60)] + [rng.choice(bad if i % 4 == 0 else kind) for _ in range(6)])) for i in range(400)]
+    labels = {i: int(i % 4 == 0) for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = TX.fit(docs, labels)
+    lexicon, moment = law_truth(rows, labels)
+    assert set(model.lexicon) == set(lexicon) and all(math.isclose(model.lexicon[e], lexicon[e], rel_tol=1e-9) for e in lexicon)
+    assert set(bad) | set(kind) <= set(lexicon) and all(lexicon[e] < 0 for e in kind)
+    assert math.isclose(moment(model.rate), 1.0, rel_tol=1e-6)
+    best = {i: max(best_truth(lexicon, t), default=0.0) for i, t in rows}
+    assert math.isclose(model.k, 300 / sum(66 * math.exp(-model.rate * best[i]) for i in best if not labels[i]), rel_tol=1e-9)
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(TX.FOLDS)), F.lit(TX.FOLDS)).alias("f")).collect()}
+    x, y = [], []
+    for f in range(TX.FOLDS):
+        own, moment = law_truth([r for r in rows if fold[r[0]] != f], labels)
+        lo, hi = 1e-6, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if moment(mid) < 1 else (lo, mid)
+        others = [(i, max(best_truth(own, t), default=0.0)) for i, t in rows if fold[i] != f and not labels[i]]
+        k = len(others) / sum(66 * math.exp(-lo * s) for _, s in others)
+        for i, t in rows:
+            if fold[i] == f:
+                x.append(statistic_truth(66, best_truth(own, t), lo, k))
+                y.append(labels[i])
+    x, y = np.array(x), np.array(y, float)
     loss = lambda b0, b1: float(np.sum(np.logaddexp(0, b0 + b1 * x) - y * (b0 + b1 * x)) + b1 * b1 / 2)
     least = loss(model.intercept, model.slope)
     assert all(loss(model.intercept + d0, model.slope + d1) >= least - 1e-6 for d0 in (-0.1, 0, 0.1) for d1 in (-0.05, 0, 0.05))
-    for i, t, bad_one in rows[:8]:
-        size, segments = found[i]
-        expected = model.k * size * math.exp(-model.rate * best[i])
-        assert math.isclose(scorer.p_value(size, best[i]), -math.expm1(-expected), rel_tol=1e-6) and (scorer.p_value(size, best[i]) <= TX.ALPHA) == bad_one
+    scorer = TX.Scorer(model)
+    for i, _ in rows[:8]:
+        expected = model.k * 66 * math.exp(-model.rate * best[i])
+        assert math.isclose(scorer.p_value(66, best[i]), -math.expm1(-expected), rel_tol=1e-6) and (scorer.p_value(66, best[i]) <= TX.ALPHA) == bool(labels[i])
 
 
 def test_toxicity_odd(spark, odd, odd_rows, empty):
