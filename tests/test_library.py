@@ -124,6 +124,26 @@ def test_hamming_pairs_of_crowded_bands(spark, monkeypatch):
     assert {(r["x"], r["y"], r["dist"]) for r in J.hamming_pairs(df, 8).collect()} == want
 
 
+def test_hamming_pairs_by_many_tasks(spark):
+    """Probes of a small table are made and compared by all tasks; bands, tiles and all pairs at once agree, with scopes apart."""
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 63, 1500, dtype=np.int64)
+    h[:400] = h[400:800] ^ (1 << rng.integers(0, 63, 400)) ^ (1 << rng.integers(0, 63, 400))
+    h[0], h[1] = -1, -2
+    scopes = [["p", None][i % 2] for i in range(len(h))]
+    df = spark.createDataFrame(list(zip(scopes, h.tolist(), strict=True)), "scope string, h long")
+    dist = np.bitwise_count(h.view(np.uint64)[:, None] ^ h.view(np.uint64))
+    apart = np.array([s is None for s in scopes])
+    for t, bands in ((10, None), (20, None), (10, J.plan_bands(10, 10**5)), (20, [J.Band((), 20)])):
+        i, j = np.nonzero((dist <= t) & (h[:, None] < h) & (apart[:, None] == apart))
+        want = {(scopes[a], int(h[a]), int(h[b]), int(dist[a, b])) for a, b in zip(i, j, strict=True)}
+        found = J.hamming_pairs(df, t, bands=bands, tile_rows=200)
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+        if t == 20:
+            assert found.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_tiled_join_splits_a_hot_key(spark):
     from kindred.plans.joins import join_tiled
 
