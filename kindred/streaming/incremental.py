@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from kindred.functions import scalars as S
 from kindred.operators.components import connected_components
-from kindred.operators.similarity import hamming_pairs, scope_key
+from kindred.operators.similarity import edges_of_files, hamming_pairs, scope_key
 from kindred.plans.joins import join_counted
 from kindred.plans.storage import materialise
 from kindred.sources.listing import every_file
@@ -184,6 +184,11 @@ def current_edges(spark: SparkSession, directory: str) -> DataFrame:
     return found.select(F.when(F.col("s") != "", F.substring("s", 2, 1 << 30)).alias("scope"), "x", "y", "dist").distinct()
 
 
+def current_file_edges(spark: SparkSession, directory: str) -> DataFrame:
+    """``(a, b, dist)``, a < b by ``ord``: all links of files known so far, those of different files under one hash too."""
+    return edges_of_files(State(spark, directory).read("hashes", ROWS), current_edges(spark, directory))
+
+
 def current_members(spark: SparkSession, directory: str) -> DataFrame:
     """``(ord, first_ord)`` of all groups known so far; files of one hash needn't meet in one task."""
     state = State(spark, directory)

@@ -159,3 +159,14 @@ def test_a_blank_picture_of_many_files_costs_a_row_each(spark, tmp_path):
     assert state.read("edges", T.EDGES).count() == 1 and state.read("labels", T.LABELS).count() == 2
     members = T.current_members(spark, state.directory)
     assert members.count() == 3001 and members.filter("first_ord <> 0").count() == 0
+
+
+def test_links_of_files_hold_those_under_one_hash(spark, tmp_path):
+    """Different files of one hash are linked, copies are not, in whatever batch they come."""
+    state = T.State(spark, f"file://{tmp_path}/state")
+    rows = [(None, 0, "a", 0), (None, 1, "a", 0), (None, 2, "b", 0), (None, 3, "a", 1), (None, 4, None, 3), ("z", 5, "c", 0), ("z", 6, "d", 0), (None, 7, "e", 1 << 40)]
+    for number, part in enumerate((rows[:2], rows[2:5], rows[5:])):
+        T.add_batch(state, spark.createDataFrame(part, T.ROWS), number, 2)
+    want = {tuple(r) for r in hamming_edges(spark.createDataFrame(rows, T.ROWS), 2).collect()}
+    found = [tuple(r) for r in T.current_file_edges(spark, state.directory).collect()]
+    assert len(found) == len(want) and set(found) == want and {(0, 2, 0), (1, 2, 0), (5, 6, 0)} <= want
