@@ -30,6 +30,8 @@ MAX_PROBES = 20_000
 BLOCK_ROWS = tiles.BLOCK_ROWS
 #: Pivots by which blocks of vectors are told apart.
 PIVOTS = 16
+#: Of large tables so many blocks of vectors are made, until a block has so many numbers.
+BLOCKS, BLOCK_NUMBERS = 24, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -321,12 +323,19 @@ def edge_sums(classes: DataFrame, nodes: DataFrame, threshold: int = 10, exclude
     return same.unionByName(near).filter("n > 0")
 
 
-def cosine_blocks(vectors: DataFrame, threshold: float, column: str = "v", block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, float]:
+def _block_rows(unit: DataFrame) -> int:
+    """Rows of a block: rows move once for every block they meet, so blocks grow with the table, as far as two fit well into a task."""
+    n, width = unit.agg(F.count("*"), F.max(F.size("u"))).first()
+    return max(BLOCK_ROWS, min(n // BLOCKS, BLOCK_NUMBERS // max(width or 1, 1)))
+
+
+def cosine_blocks(vectors: DataFrame, threshold: float, column: str = "v", block_rows: int | None = None, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, float]:
     """Unit vectors in blocks (``ord, u, block``), the pairs of blocks that can hold a cosine of ``threshold``, and the share of pairs that can't.
 
     Angles are a metric: vectors within an angle of each other are within it in their
     angles to every pivot, too. Blocks are rings around the nearest of the pivots, which
-    are vectors of the table.
+    are vectors of the table. Without ``block_rows`` they grow with the table, within a
+    bound.
     """
     def units(batches):
         for batch in batches:
@@ -350,12 +359,12 @@ def cosine_blocks(vectors: DataFrame, threshold: float, column: str = "v", block
             yield pa.RecordBatch.from_arrays([batch.column("ord"), u, pa.array(list(d), pa.list_(pa.float64()))], ["ord", "u", "d"])
 
     rows = unit.mapInArrow(angles, "ord long, u array<double>, d array<double>")
-    rows = tiles.in_rings(rows, F.col("d"), F.asc("ord"), block_rows=block_rows)
+    rows = tiles.in_rings(rows, F.col("d"), F.asc("ord"), block_rows=block_rows or _block_rows(unit))
     pairs, skipped = tiles.block_pairs(rows, F.col("d"), float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6)
     return rows.drop("d"), pairs, skipped
 
 
-def cosine_edges(vectors: DataFrame, threshold: float = 0.85, column: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def cosine_edges(vectors: DataFrame, threshold: float = 0.85, column: str = "v", block_rows: int | None = None) -> DataFrame:
     """``(a, b, cosine)``, a < b by ``ord``: all pairs of vectors with a cosine of ``threshold`` or more, exactly.
 
     Blocks against blocks, one matrix product each, without the pairs of blocks that the
@@ -365,9 +374,10 @@ def cosine_edges(vectors: DataFrame, threshold: float = 0.85, column: str = "v",
 
     def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        (p, x), (q, y) = ((t.column("ord").to_numpy(), np.stack(t.column("u").to_numpy())) for t in (a, b))
-        for lo in range(0, len(p), 512):
-            i, j = np.nonzero(x[lo : lo + 512] @ y.T >= threshold - 1e-9)
+        (p, x), (q, y) = ((t.column("ord").to_numpy(), t.column("u").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)) for t in (a, b))
+        for lo, at in ((lo, at) for lo in range(0, len(p), 512) for at in range(0, len(q), BLOCK_ROWS)):
+            i, j = np.nonzero(x[lo : lo + 512] @ y[at : at + BLOCK_ROWS].T >= threshold - 1e-9)
+            j = j + at
             exact = (x[lo + i] * y[j]).sum(axis=1)
             keep = (p[lo + i] < q[j] if same else p[lo + i] != q[j]) & (exact >= threshold)
             found.append((np.minimum(p[lo + i], q[j])[keep], np.maximum(p[lo + i], q[j])[keep], exact[keep]))

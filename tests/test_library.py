@@ -188,6 +188,22 @@ def test_ranges_of_many_blocks_are_looked_at_together(spark, monkeypatch):
     assert fine < coarse and len(coarse) < 40 * 41 / 2 and all(i <= j for i, j in coarse)
 
 
+def test_cosine_blocks_grow_with_the_table(spark, monkeypatch):
+    """A large table has a bounded number of blocks until they are full, and a block is compared in parts."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.85, 1)), strict=True)}
+    monkeypatch.setattr(J, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(J, "BLOCKS", 4)
+    rows, _, _ = J.cosine_blocks(df, 0.85, pivots=1)
+    assert rows.select("block").distinct().count() == 4
+    assert {(r["a"], r["b"]) for r in J.cosine_edges(df).collect()} == want
+    monkeypatch.setattr(J, "BLOCK_NUMBERS", 6 * 50)
+    assert J.cosine_blocks(df, 0.85, pivots=1)[0].select("block").distinct().count() == 8
+
+
 def test_cosine_blocks(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(120, 8))
