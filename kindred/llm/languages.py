@@ -4,7 +4,8 @@ Each language has a model of the next character given the four before it, interp
 over all orders: the highest order counts occurrences, the lower ones count the
 different characters that come before. Counts are taken over all labelled documents in
 one Spark aggregation; a model is a few sorted arrays of 64-bit hashes, with a
-probability for each n-gram and a back-off weight for each context. A text gets the
+probability for each n-gram and a back-off weight for each context, or, where all n-grams
+together would be too many for one process, tables of the same. A text gets the
 language with the lowest cross-entropy per character. On labelled documents that their
 models have not seen two things are calibrated: the temperature that makes the
 differences of cross-entropies probabilities, and how far over its usual value a text's
@@ -14,7 +15,7 @@ cross-entropy may lie, given the text's length, before the language is rejected.
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.llm.common import slices, table
+from kindred.plans.joins import join_counted
 from kindred.plans.storage import materialise
 
 ORDER = 5
-#: n-grams of the highest order that all models hold together, at most: each language has an equal part, and where it has more its rarest don't count.
+#: n-grams of the highest order that models in memory hold together, at most; where there are more, the models are tables (``Tables``) and texts are joined with them.
 MAX_GRAMS = 4_000_000
-#: Labelled documents for the calibration, at most: of every tenth by the checksum of the id, those with the smallest hashes. Models that are calibrated leave out all of every tenth.
-MAX_CALIBRATION = 5_000
+#: Temperatures to choose from.
+TEMPERATURES = [2.0**k for k in range(16)]
 #: The share of documents in their own language whose language is rejected.
 ALPHA = 0.001
 UNKNOWN = "und"
@@ -216,12 +218,31 @@ class Calibration:
     most: float
 
 
+@dataclass(frozen=True)
+class Tables:
+    """Models of all languages as tables: for each order ``lang, gram, chance`` and ``lang, context, weight``."""
+
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+
+
 @dataclass(frozen=True)
 class Models:
     langs: list[str]
     models: list[Model]
     alphabet: int
     calibration: Calibration | None = None
+    tables: Tables | None = None  # instead of ``models``, where these would be too large
+
+
+def decide(m: Models, n: int, letters: bool, e: np.ndarray) -> tuple[str, float, float | None, bool]:
+    """``(language, score, cross-entropy, rejected)`` for a text of ``n`` symbols from its cross-entropies."""
+    if not letters or not m.langs:
+        return UNKNOWN, 0.0, None, True
+    best, c = int(e.argmin()), m.calibration
+    score = float(1 / np.exp((e[best] - e) * n / (c.temperature if c else 1.0)).sum())
+    over = (e[best] - c.usual[best]) / np.sqrt(c.level + c.share / n) / c.most if c else 0.0
+    return m.langs[best], score / max(1.0, over), float(e[best]), bool(over > 1)
 
 
 class Scorer:
@@ -256,29 +277,21 @@ class Scorer:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float | None, bool]]:
         """``(language, score, cross-entropy, rejected)`` for each text."""
-        m, out = self.models, []
-        for n, letters, e in zip(*self.cross_entropies(texts), strict=True):
-            if not letters or not m.langs:
-                out.append((UNKNOWN, 0.0, None, True))
-                continue
-            best, c = int(e.argmin()), m.calibration
-            score = float(1 / np.exp((e[best] - e) * n / (c.temperature if c else 1.0)).sum())
-            over = (e[best] - c.usual[best]) / np.sqrt(c.level + c.share / n) / c.most if c else 0.0
-            out.append((m.langs[best], score / max(1.0, over), float(e[best]), bool(over > 1)))
-        return out
+        return [decide(self.models, *x) for x in zip(*self.cross_entropies(texts), strict=True)]
+
+
+def _losses(own: np.ndarray, n: np.ndarray, entropies: np.ndarray) -> np.ndarray:
+    """Each text's loss (row) at each of the temperatures (column)."""
+    gaps = -(entropies - entropies[np.arange(len(own)), own][:, None]) * n[:, None]
+    # A hundredth goes to errors of any kind, so no temperature is infinitely wrong.
+    return np.stack([-np.log(0.99 / np.exp(np.minimum(gaps / t, 700.0)).sum(axis=1) + 0.01 / entropies.shape[1]) for t in TEMPERATURES], axis=1)
 
 
 def calibrate(own: np.ndarray, n: np.ndarray, entropies: np.ndarray) -> Calibration | None:
     """From texts with known languages (``own`` is a column of ``entropies``) that the models haven't seen; none without texts."""
     if not len(own):
         return None
-    gaps = -(entropies - entropies[np.arange(len(own)), own][:, None]) * n[:, None]
-
-    def loss(t: float) -> float:  # a hundredth goes to errors of any kind, so no temperature is infinitely wrong
-        z = np.minimum(gaps / t, 700.0)
-        return float(-np.log(0.99 / np.exp(z).sum(axis=1) + 0.01 / entropies.shape[1]).sum())
-
-    temperature = min((2.0**k for k in range(16)), key=loss)
+    temperature = TEMPERATURES[int(_losses(own, n, entropies).sum(axis=0).argmin())]
     mine = entropies[np.arange(len(own)), own]
     seen, weight = np.bincount(own, minlength=entropies.shape[1]), np.bincount(own, n, minlength=entropies.shape[1])
     mean = float((mine * n).sum() / n.sum())
@@ -289,19 +302,52 @@ def calibrate(own: np.ndarray, n: np.ndarray, entropies: np.ndarray) -> Calibrat
     return Calibration(temperature, usual, level, share, max(1.0, float(np.quantile(over / np.sqrt(level + share / n), 1 - ALPHA))))
 
 
+def calibrate_table(scored: DataFrame, langs: list[str]) -> Calibration | None:
+    """``calibrate`` over a table ``lang, n, e`` of any size; rows of other languages don't count."""
+    at = {lang: i for i, lang in enumerate(langs)}
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array([x in at for x in batch.column("lang").to_pylist()], pa.bool_()))
+            if batch.num_rows:
+                own, n = np.array([at[x] for x in batch.column("lang").to_pylist()]), batch.column("n").to_numpy().astype(float)
+                e = batch.column("e").flatten().to_numpy().reshape(len(own), -1)
+                mine = e[np.arange(len(own)), own]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(mine), pa.array(list(_losses(own, n, e)), pa.list_(pa.float64()))], ["own", "n", "mine", "losses"])
+
+    rows = materialise(scored.select("lang", "n", "e").mapInArrow(run, "own long, n double, mine double, losses array<double>"), "scored")
+    losses = [F.sum(F.col("losses")[k]).alias(f"loss{k}") for k in range(len(TEMPERATURES))]
+    sums = rows.groupBy("own").agg(F.sum(F.col("mine") * F.col("n")).alias("nats"), F.sum("n").alias("n"), *losses).collect()  # a row for each language
+    if not sums:
+        return None
+    temperature = TEMPERATURES[int(np.argmin([sum(r[f"loss{k}"] for r in sums) for k in range(len(TEMPERATURES))]))]
+    usual = np.full(len(langs), sum(r["nats"] for r in sums) / sum(r["n"] for r in sums))
+    for r in sums:
+        usual[r["own"]] = r["nats"] / r["n"]
+    part, over = 1 / F.col("n"), F.col("mine") - F.array(*[F.lit(float(x)) for x in usual])[F.col("own").cast("int")]
+    m = rows.agg(F.count("*").alias("k"), F.sum(part).alias("p"), F.sum(part * part).alias("pp"), F.sum(over * over).alias("v"), F.sum(over * over * part).alias("vp")).first()
+    level, share = np.linalg.lstsq(np.array([[m["k"], m["p"]], [m["p"], m["pp"]]]), np.array([m["v"], m["vp"]]), rcond=None)[0]
+    level, share = max(float(level), 1e-4), max(float(share), 1e-2)
+    place = (m["k"] - 1) * (1 - ALPHA)  # of the quantile among the sorted values, which lies ALPHA of the rows below the top
+    low = int(place)
+    top = rows.select((over / F.sqrt(level + share * part)).alias("z")).orderBy(F.desc("z")).offset(max(0, m["k"] - 2 - low)).limit(2).collect()
+    high, least = top[0]["z"], top[-1]["z"]
+    return Calibration(temperature, usual, level, share, max(1.0, float(least + (high - least) * (place - low))))
+
+
 def _collect(counts: DataFrame, column: str) -> Models:
-    """Models of all languages from their n-gram counts, of which a bounded number reaches the driver."""
+    """Models in memory, of all languages, from their n-gram counts; of more than ``MAX_GRAMS`` the rarest are lost, which ``fit`` never lets happen."""
     counts = counts.filter(F.col(column) > 0)
     sizes = counts.groupBy("lang", F.least(F.col(column), F.lit(1000)).alias("c")).count().collect()  # at most a thousand rows for each language
     langs = sorted({r["lang"] for r in sizes})
     if not langs:
         return Models([], [], 1)
-    cuts = []
+    cuts, whole = [], sum(r["count"] for r in sizes) <= MAX_GRAMS
     for lang in langs:
         total, cut = 0, 1001
         for r in sorted((r for r in sizes if r["lang"] == lang), key=lambda r: -r["c"]):
             total += r["count"]
-            if total > max(1, MAX_GRAMS // len(langs)):
+            if not whole and total > max(1, MAX_GRAMS // len(langs)):
                 break
             cut = r["c"]
         cuts.append((lang, cut))
@@ -315,38 +361,100 @@ def _collect(counts: DataFrame, column: str) -> Models:
     return Models(known, [estimate(grams[names == lang], counted[names == lang], alphabet) for lang in known], alphabet)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
-    """Calibrated models from all rows with a text and a language.
+def estimate_tables(counts: DataFrame, column: str) -> Models:
+    """``estimate`` for all languages by aggregations and joins: every n-gram counts, however many there are."""
+    levels = [counts.filter(F.col(column) > 0).select("lang", "gram", F.col(column).cast("double").alias("c"))]
+    for _ in range(ORDER - 1):
+        levels.append(materialise(levels[-1].groupBy("lang", F.substring("gram", 2, ORDER).alias("gram")).agg(F.count("*").cast("double").alias("c")), "grams"))
+    alphabet = levels[-1].select("gram").distinct().count() + 1
+    tables = Tables([], [])
+    for n, level in enumerate(reversed(levels), 1):
+        seen = level.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"))
+        discount = F.when((F.col("once") > 0) & (F.col("twice") > 0), F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(0.5)
+        rows = level.join(F.broadcast(seen.select("lang", discount.alias("d"))), "lang").withColumn("context", F.substring("gram", 1, n - 1))
+        contexts = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.first("d") * F.count("*") / F.sum("c")).alias("weight"))
+        contexts = materialise(contexts, "contexts")
+        rows = rows.join(contexts, ["lang", "context"])
+        if n > 1:
+            lower = tables.grams[-1].select("lang", F.col("gram").alias("suffix"), F.col("chance").alias("lower"))
+            rows = rows.withColumn("suffix", F.substring("gram", 2, n)).join(lower, ["lang", "suffix"])
+        chance = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * (F.col("lower") if n > 1 else F.lit(1 / alphabet))
+        tables.grams.append(materialise(rows.select("lang", "gram", chance.alias("chance")), "chances"))
+        tables.contexts.append(contexts.select("lang", "context", "weight"))
+    langs = sorted(r["lang"] for r in levels[-1].select("lang").distinct().collect())
+    return Models(langs, [], alphabet, tables=tables)
 
-    Rows are counted whole and all of them; every tenth, by the checksum of the id, is
-    left out of the models that the calibration uses.
-    """
-    held = F.pmod(F.floor(F.crc32(F.col(id_col).cast("string")) / 3), F.lit(10)) == 0
-    counts = materialise(gram_counts(docs, F.col(lang_col), held, F.col(text_col)), "grams")
-    models, rest = _collect(counts, "n"), _collect(counts, "n_fit")
-    at = {lang: i for i, lang in enumerate(rest.langs)}
-    own = docs.filter(held & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(MAX_CALIBRATION)
-    chosen = docs.sparkSession.createDataFrame([(r["i"],) for r in own.collect()], "i long")  # a bounded sample
-    rows = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("i"), "left_semi").select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    shared = docs.sparkSession.sparkContext.broadcast(rest)
+
+def _joined(rows: DataFrame, m: Models) -> DataFrame:
+    """``row, n, letters, e`` of rows ``row, text``, by joins of their n-grams with the models' tables."""
+
+    def run(batches):
+        for batch in batches:
+            for cut in slices(batch, rows=SLICE_ROWS):
+                s = stream([t or "" for t in cut.column("text").to_pylist()])
+                if len(s.symbols):
+                    _, first, met = np.unique(_grams(s) ^ (s.text.astype(np.uint64) * _STEPS[1]), return_index=True, return_counts=True)
+                    grams = np.ascontiguousarray(_at(s, first)).view(f"<U{ORDER}").reshape(-1).tolist()
+                    yield pa.RecordBatch.from_arrays([cut.column("row").take(pa.array(s.text[first])), pa.array(grams, pa.string()), pa.array(met)], ["row", "gram", "k"])
+
+    def lengths(batches):
+        for batch in batches:
+            for cut in slices(batch, rows=SLICE_ROWS):
+                s = stream([t or "" for t in cut.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([cut.column("row"), pa.array(np.bincount(s.text, minlength=cut.num_rows)), pa.array(s.letters)], ["row", "n", "letters"])
+
+    met = materialise(rows.select("row", "text").mapInArrow(run, "row long, gram string, k long"), "met")
+    wanted = materialise(met.groupBy("gram").agg(F.count("*").alias("n")), "wanted")
+    chances = wanted.select("gram", F.explode(F.array(*[F.lit(x) for x in m.langs])).alias("lang"), F.lit(1 / m.alphabet).alias("p"))
+    for n, (grams, contexts) in enumerate(zip(m.tables.grams, m.tables.contexts, strict=True), 1):
+        start = ORDER - n + 1
+        chances = chances.withColumn("context", F.substring("gram", start, n - 1)).join(contexts, ["lang", "context"], "left")
+        chances = chances.withColumn("suffix", F.substring("gram", start, n)).join(grams.withColumnRenamed("gram", "suffix"), ["lang", "suffix"], "left")
+        chances = chances.select("gram", "lang", F.coalesce("chance", F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+    each = [F.max(F.when(F.col("lang") == x, F.log("p").cast("float").cast("double"))).alias(f"p{i}") for i, x in enumerate(m.langs)]
+    logs = materialise(chances.groupBy("gram").agg(*each).join(wanted, "gram"), "logs")
+    sums = join_counted(met, logs, ["gram"], met.count()).groupBy("row").agg(*[F.sum(F.col(f"p{i}") * F.col("k")).alias(f"p{i}") for i in range(len(m.langs))])
+    sized = rows.select("row", "text").mapInArrow(lengths, "row long, n long, letters boolean").join(sums, "row", "left")
+    return sized.select("row", "n", "letters", F.array(*[F.coalesce(F.col(f"p{i}") / -F.col("n"), F.lit(0.0)) for i in range(len(m.langs))]).alias("e"))
+
+
+def entropies(rows: DataFrame, models: Models, *kept: str) -> DataFrame:
+    """``n, letters, e`` and the ``kept`` columns of rows with ``text``: symbols, whether there is a letter, and nats per symbol in each language."""
+    if models.tables is not None:
+        named = materialise(rows.select(*kept, "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+        return _joined(named, models).join(named.select("row", *kept), "row").drop("row")
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
             for cut in slices(batch, rows=SLICE_ROWS):
                 n, letters, e = scorer.cross_entropies([t or "" for t in cut.column("text").to_pylist()])
-                use = letters & np.array([x in at for x in cut.column("lang").to_pylist()], bool)
-                yield pa.RecordBatch.from_arrays([cut.column("lang").filter(pa.array(use)), pa.array(n[use]), pa.array(list(e[use]), pa.list_(pa.float64()))], ["lang", "n", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(letters), pa.array(list(e), pa.list_(pa.float64())), *[cut.column(c) for c in kept]], ["n", "letters", "e", *kept])
+
+    own = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, "text").mapInArrow(run, f"n long, letters boolean, e array<double>{own}")
+
 
-    seen = rows.mapInArrow(run, "lang string, n long, e array<double>").collect() if at else []
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
+    """Calibrated models from all rows with a text and a language.
+
+    Rows and n-grams are counted whole and all of them; every tenth row, by the checksum
+    of the id, is left out of the models that the calibration uses, and calibrates.
+    """
+    held = F.pmod(F.floor(F.crc32(F.col(id_col).cast("string")) / 3), F.lit(10)) == 0
+    counts = materialise(gram_counts(docs, F.col(lang_col), held, F.col(text_col)), "grams")
+    build = _collect if counts.count() <= MAX_GRAMS else estimate_tables
+    models, rest = build(counts, "n"), build(counts, "n_fit")
     calibration = None
-    if seen and rest.langs == models.langs:
-        calibration = calibrate(np.array([at[r["lang"]] for r in seen]), np.array([r["n"] for r in seen], float), np.array([r["e"] for r in seen]))
-    return Models(models.langs, models.models, models.alphabet, calibration)
+    if rest.langs and rest.langs == models.langs:
+        rows = docs.filter(held & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+        calibration = calibrate_table(entropies(rows, rest, "lang").filter("letters"), rest.langs)
+    return replace(models, calibration=calibration)
 
 
 def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score, cross_entropy, rejected)`` for every row, without a shuffle.
+    """``(doc_id, lang_pred, score, cross_entropy, rejected)`` for every row, without a shuffle unless the models are tables.
 
     ``lang_pred`` is the language of the lowest cross-entropy, ``score`` its calibrated
     probability, which falls for texts whose language is ``rejected``. Null and empty
@@ -354,17 +462,32 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     ``und`` with score 0 and no cross-entropy. Ties go to the language that sorts first.
     Every row keeps its own result; an empty table gives no rows.
     """
+    schema = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def found(ids: pa.Array, decided) -> pa.RecordBatch:
+        lang, score, entropy, rejected = zip(*decided, strict=True)
+        return pa.RecordBatch.from_arrays([ids, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+
+    if models.tables is not None:
+        own = replace(models, tables=None)
+
+        def choose(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    e = batch.column("e").flatten().to_numpy().reshape(batch.num_rows, -1)
+                    yield found(batch.column("doc_id"), (decide(own, *x) for x in zip(batch.column("n").to_numpy(), batch.column("letters").to_pylist(), e, strict=True)))
+
+        return entropies(rows, models, "doc_id").select("doc_id", "n", "letters", "e").mapInArrow(choose, schema)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
             for cut in slices(batch, rows=SLICE_ROWS):
-                lang, score, entropy, rejected = zip(*scorer.predict([t or "" for t in cut.column("text").to_pylist()]), strict=True)
-                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+                yield found(cut.column("doc_id"), scorer.predict([t or "" for t in cut.column("text").to_pylist()]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return rows.mapInArrow(run, schema)
 
 
 def op12_languages(spark, sf_dir: str) -> DataFrame:

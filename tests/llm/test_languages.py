@@ -154,3 +154,38 @@ def test_the_held_out_third_is_not_learnt_from(spark, tmp_path, rows):
     table.withColumn("lang", F.when(held, F.lit("qq")).otherwise(F.col("lang"))).write.parquet(f"{tmp_path}/b/documents.parquet")
     a, b = (sorted(map(tuple, L.op12_languages(spark, f"{tmp_path}/{k}").collect())) for k in "ab")
     assert a == b
+
+
+def test_more_grams_than_fit_in_memory_lose_none(spark, rows, odd, odd_rows, monkeypatch):
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    held = spark.createDataFrame([(i, t, None) for i, (t) in enumerate(["abc \u0436", "", None, "12", "q q", "Hello, wörld"], 1000)], "doc_id long, text string, lang string")
+    texts = table.unionByName(held).unionByName(odd.select(F.col("doc_id").cast("long"), "text", "lang"))
+    key = lambda r: (str(r["doc_id"]), r["lang_pred"], r["rejected"], round(r["score"], 5), round(r["cross_entropy"] or 0, 5))
+    whole = L.fit(table)
+    want = sorted(map(key, L.identify(texts, whole).collect()))
+    monkeypatch.setattr(L, "MAX_GRAMS", 900)
+    models = L.fit(table)
+    assert not models.models and models.tables and models.langs == whole.langs and models.alphabet == whole.alphabet
+    assert [g.count() for g in models.tables.grams] == [sum(len(m.grams[k]) for m in whole.models) for k in range(L.ORDER)]
+    assert np.isclose(models.calibration.most, whole.calibration.most, rtol=1e-5)
+    assert sorted(map(key, L.identify(texts, models).collect())) == want
+
+
+def test_a_language_with_a_larger_part_keeps_its_grams(spark, rows, monkeypatch):
+    table = spark.createDataFrame([r for r in rows if r[2] != "xx" or r[0] % 20 == 0], "doc_id long, text string, lang string")
+    counts = L.gram_counts(table, F.col("lang"), F.lit(False), F.col("text"))
+    monkeypatch.setattr(L, "MAX_GRAMS", counts.count())
+    assert sum(len(m.grams[-1]) for m in L._collect(counts, "n").models) == counts.count()
+
+
+def test_every_held_row_calibrates(spark):
+    rng = np.random.default_rng(2)
+    n, own = rng.integers(20, 2000, 7000), rng.integers(0, 3, 7000)
+    e = 2 + rng.random((7000, 3)) + np.where(np.arange(3) == own[:, None], -0.5, 0)
+    scored = spark.createDataFrame([("xyz"[i], int(k), x.tolist()) for i, k, x in zip(own, n, e)] + [("?", 5, [1.0, 1.0, 1.0])], "lang string, n long, e array<double>")
+    want, got = L.calibrate(own, n.astype(float), e), L.calibrate_table(scored, ["x", "y", "z"])
+    assert np.allclose(got.usual, want.usual) and got.temperature == want.temperature
+    assert np.allclose([got.level, got.share, got.most], [want.level, want.share, want.most], rtol=1e-6)
+    assert L.calibrate_table(scored.limit(0), ["x"]) is None
+    one = L.calibrate_table(scored.filter("lang = 'x'").limit(1), ["x", "y", "z"])
+    assert one.most >= 1
