@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations, groupby
 from math import ceil, comb, log2
@@ -30,6 +31,8 @@ MAX_PROBES = 20_000
 BLOCK_ROWS = tiles.BLOCK_ROWS
 #: Pivots by which blocks of vectors are told apart.
 PIVOTS = 16
+#: So many blocks of keypoints are made, until one has so many rows; and the pairs of keypoints that one task compares, about.
+FILE_BLOCKS, MAX_BLOCK_ROWS, TASK_PAIRS = 24, 16_384, 1 << 30
 #: Of large tables so many blocks of vectors are made, until a block has so many numbers.
 BLOCKS, BLOCK_NUMBERS = 24, 1 << 21
 
@@ -447,71 +450,140 @@ def _score(good: Column, kp_a: Column, kp_b: Column) -> Column:
     return F.when(least < 2, 0.0).otherwise(F.round(F.least(F.lit(1.0), good / least), 3))
 
 
-def _signs(table: pa.Table) -> np.ndarray:
-    """256 signs, 1 or -1, for every descriptor: distances follow from their products."""
+def _packed(table: pa.Table, masks: list[int]) -> np.ndarray:
+    """The bits of every descriptor that the masks name, next to each other in as few 64-bit words as hold them."""
     words = np.stack([table.column(f"w{i}").to_numpy() for i in range(4)], axis=1)
-    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    kept = np.unpackbits(np.array(masks, np.int64).view(np.uint8)).astype(bool)
+    bits = np.packbits(np.unpackbits(words.view(np.uint8), axis=1)[:, kept], axis=1)
+    out = np.zeros((len(words), max(1, -(-bits.shape[1] // 8)) * 8), np.uint8)
+    out[:, : bits.shape[1]] = bits
+    return out.view(np.uint64)
 
 
 def good_matches(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, ratio: float) -> np.ndarray:
     """How many keypoints of every file of a (row) have a good match in every file of b (column).
 
-    ``a`` and ``b`` are signs, keypoints of a file next to each other, from ``a_first``
-    and ``b_first`` on. A good match is nearer than ``ratio`` times the second nearest.
+    ``a`` and ``b`` are rows of 64-bit words, keypoints of a file next to each other, from
+    ``a_first`` and ``b_first`` on. A good match is nearer than ``ratio`` times the second
+    nearest. All files' first keypoints are compared at once, then all second ones, and
+    so on; files with many come first, so those that still have one are in a row.
     """
     sizes = np.diff(np.append(b_first, len(b)))
-    out = np.zeros((len(a), len(b_first)), np.int64)
-    for lo in range(0, len(a), 512):
-        d = (a.shape[1] - a[lo : lo + 512] @ b.T) / 2  # whole numbers, exact
-        nearest = np.minimum.reduceat(d, b_first, axis=1)
-        hit = d == np.repeat(nearest, sizes, axis=1)
-        twice = np.add.reduceat(hit, b_first, axis=1, dtype=np.int32) > 1
-        d[hit] = np.inf
-        second = np.where(twice, nearest, np.minimum.reduceat(d, b_first, axis=1))
-        out[lo : lo + 512] = (nearest < ratio * second) & (sizes > 1)
-    return np.add.reduceat(out, a_first, axis=0)
-
-
-def descriptor_scores(descriptors: DataFrame, ratio: float = 0.75, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(a, b, kp_a, kp_b, good, score)`` of all pairs of files a < b that have a good match, exactly.
-
-    ``descriptors``: ``file, kp, w0, w1, w2, w3``, four 64-bit words. Every keypoint of a
-    takes its two nearest of b by the Hamming distance; it is a good match if the nearer
-    is closer than ``ratio`` times the other. The score is the good share of the file
-    with fewer keypoints, 0 if that has under two; pairs without a good match score 0,
-    too, and have no row. All pairs count, since a keypoint's nearest may be good
-    however far it is; so files are dealt into blocks of about ``block_rows`` keypoints
-    in their order, and blocks are compared by matrix products. Keypoints of a file
-    stay together; an extractor bounds their number.
+    order = np.argsort(-sizes, kind="stable")
+    still = [int((sizes > k).sum()) for k in range(int(sizes.max()))]
+    slots = [np.ascontiguousarray(b[b_first[order[:n]] + k].T) for k, n in enumerate(still)]
+    far = 64 * a.shape[1] + 1
+    kind = np.uint8 if far < 256 else np.uint16
+    limit = np.ceil(ratio * np.arange(far + 1)).astype(kind)  # what the nearest stays under, for each second nearest
+    out = np.zeros((len(a), len(b_first)), bool)
+    step = max(1, (1 << 17) // len(b_first))
+    for lo in range(0, len(a), step):
+        own = a[lo : lo + step]
+        nearest, second = (np.full((len(own), len(b_first)), far, kind) for _ in range(2))
+        for n, slot in zip(still, slots, strict=True):
+            d = np.bitwise_count(own[:, 0, None] ^ slot[0]).astype(kind, copy=False)
+            for w in range(1, a.shape[1]):
+                d += np.bitwise_count(own[:, w, None] ^ slot[w])
+            one, two = nearest[:, :n], second[:, :n]
+            np.minimum(two, np.maximum(one, d), out=two)
+            np.minimum(one, d, out=one)
+        out[lo : lo + step, order] = nearest < limit[second]
+    out[:, sizes < 2] = False
+    return np.add.reduceat(out, a_first, axis=0, dtype=np.int32)
+
+
+def _matched(descriptors: DataFrame, ratio: float, block_rows: int | None, found: Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``found(files, keypoints, files, keypoints, good)`` for all pairs of blocks of files; a pair of files counts where it is the first's turn.
+
+    ``schema`` may name the type of the files as ``{kind}``. Bits that all descriptors
+    share are left out, as they part no two. Blocks grow with the table up to a bound.
     """
     words = [f"w{i}" for i in range(4)]
     whole = descriptors.select("file", "kp", *words).dropna()
-    ranked = tiles.in_blocks(whole, F.asc("file"), F.asc("kp"), block_rows=block_rows)
-    own = ranked.groupBy("file").agg(F.min("block").alias("block"), F.count("*").alias("kp_n"))
+    ranked = tiles.in_blocks(whole, F.asc("file"), F.asc("kp"), block_rows=1)  # places; blocks follow
+    n, *ends = ranked.agg(F.count("*"), *[f(w) for w in words for f in (F.bit_and, F.bit_or)]).first()
+    masks = [(x or 0) ^ (y or 0) for x, y in zip(ends[::2], ends[1::2], strict=True)]
+    block_rows = block_rows or max(BLOCK_ROWS, min(n // FILE_BLOCKS, MAX_BLOCK_ROWS))
+    own = ranked.groupBy("file").agg(F.floor(F.min("block") / block_rows).cast("long").alias("block"))
     rows = materialise(ranked.drop("block").join(own, "file").select("block", "file", *words), "descriptors")
     last = own.agg(F.max("block")).first()[0]
     blocks = descriptors.sparkSession.range(0 if last is None else last + 1)
     pairs = blocks.select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id"), F.lit(last or 0).cast("long"))).alias("j"))
     for side in "ij":  # a file's keypoints may leave a block without any
         pairs = pairs.join(own.select(F.col("block").alias(side)).distinct(), side, "left_semi")
-    kind = rows.schema["file"].dataType.simpleString()
+    count = 0 if last is None else (last + 1) * (last + 2) // 2
 
     def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
         sides = []
         for t in (a,) if same else (a, b):
-            t = t.sort_by("file")
-            names = np.array(t.column("file").to_pylist(), object)
-            sides.append((names, np.flatnonzero(np.append(True, names[1:] != names[:-1])), _signs(t)))
-        (x, xf, xs), (y, yf, ys) = sides[0], sides[-1]
+            t = t.sort_by("file").combine_chunks()
+            names = t.column("file").combine_chunks()
+            new = np.append(True, np.asarray(pc.not_equal(names[1:], names[:-1]), bool))
+            first = np.flatnonzero(new)
+            sides.append((names.take(pa.array(first)), first, np.diff(np.append(first, len(names))), _packed(t, masks)))
+        (x, xf, xn, xs), (y, yf, yn, ys) = sides[0], sides[-1]
         good = good_matches(xs, xf, ys, yf, ratio)
-        if same:
-            good = np.triu(good, 1)
+        return found(x, xn, y, yn, np.triu(good, 1) if same else good)
+
+    tasks = max(int(descriptors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(count, n * n // (2 * TASK_PAIRS)))
+    return tiles.compare(rows, pairs, kernel, schema.format(kind=rows.schema["file"].dataType.simpleString()), tasks)
+
+
+def descriptor_scores(descriptors: DataFrame, ratio: float = 0.75, block_rows: int | None = None) -> DataFrame:
+    """``(a, b, kp_a, kp_b, good, score)`` of all pairs of files a < b that have a good match, exactly.
+
+    ``descriptors``: ``file, kp, w0, w1, w2, w3``, four 64-bit words. Every keypoint of a
+    takes its two nearest of b by the Hamming distance; it is a good match if the nearer
+    is closer than ``ratio`` times the other. The score is the good share of the file
+    with fewer keypoints, 0 if that has under two; pairs without a good match score 0,
+    too, and have no row. All pairs count, since a keypoint's nearest may be good
+    however far it is; so files are dealt into blocks of about ``block_rows`` keypoints
+    in their order, and blocks are compared with blocks. Keypoints of a file
+    stay together; an extractor bounds their number.
+    """
+
+    def found(x, xn, y, yn, good) -> pa.Table:
         i, j = np.nonzero(good)
-        return pa.table([pa.array(x[xf][i].tolist(), a.schema.field("file").type), pa.array(y[yf][j].tolist(), a.schema.field("file").type), pa.array(good[i, j])], ["a", "b", "good"])
+        return pa.table([x.take(pa.array(i)), y.take(pa.array(j)), pa.array(xn[i]), pa.array(yn[j]), pa.array(good[i, j].astype(np.int64))], ["a", "b", "kp_a", "kp_b", "good"])
+
+    rows = _matched(descriptors, ratio, block_rows, found, "a {kind}, b {kind}, kp_a long, kp_b long, good long")
+    return rows.withColumn("score", _score(F.col("good"), F.col("kp_a"), F.col("kp_b")))
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0 to n - 1 reaches by the edges i, j."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[i], root[j])
+        now = root.copy()
+        for end in (root[i], root[j], i, j):
+            np.minimum.at(now, end, least)
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+
+
+def feature_links(descriptors: DataFrame, least: float = 0.15, ratio: float = 0.75, block_rows: int | None = None) -> DataFrame:
+    """``(a, b, score, n)``: ``feature_edges`` of all pairs, added up where their blocks are compared.
+
+    ``n`` edges whose sum of scores is ``score`` belong to file b, which reaches a by
+    edges of the same two blocks. So components and means are those of the edges, but
+    two blocks give a row for each of their files at most, not for each of their pairs.
+    """
 
-    found = tiles.compare(rows, pairs, kernel, f"a {kind}, b {kind}, good long")
-    sized = found.join(own.select(F.col("file").alias("a"), F.col("kp_n").alias("kp_a")), "a").join(own.select(F.col("file").alias("b"), F.col("kp_n").alias("kp_b")), "b")
-    return sized.select("a", "b", "kp_a", "kp_b", "good", _score(F.col("good"), F.col("kp_a"), F.col("kp_b")).alias("score"))
+    def found(x, xn, y, yn, good) -> pa.Table:
+        few = np.minimum(xn[:, None], yn[None, :])
+        score = np.where(few < 2, 0, np.minimum(1000, (2000 * good.astype(np.int64) + few) // (2 * few))) / 1000  # rounded half up, as ``_score``
+        i, j = np.nonzero((good > 0) & (score >= least))
+        names = pa.concat_arrays([x, y]) if x is not y else x
+        to = j + len(x) if x is not y else j
+        root = _roots(len(names), i, to)
+        n, total = np.bincount(i, minlength=len(names)), np.bincount(i, score[i, j], minlength=len(names))
+        met = np.flatnonzero((n > 0) | (np.bincount(to, minlength=len(names)) > 0))
+        return pa.table([names.take(pa.array(root[met])), names.take(pa.array(met)), pa.array(total[met].astype(float)), pa.array(n[met])], ["a", "b", "score", "n"])
+
+    return _matched(descriptors, ratio, block_rows, found, "a {kind}, b {kind}, score double, n long")
 
 
 def descriptor_matches(descriptors: DataFrame, pairs: DataFrame, ratio: float = 0.75) -> DataFrame:

@@ -73,11 +73,17 @@ def block_pairs(rows: DataFrame, distances: Column, radius: float | None, reach:
     return pairs, 1 - pairs.count() / (blocks * (blocks + 1) / 2)
 
 
-def compare(rows: DataFrame, pairs: DataFrame, kernel: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str) -> DataFrame:
-    """``kernel(left, right, same)`` for every pair of blocks that have rows, each on its own; ``same`` for a block with itself."""
+def compare(rows: DataFrame, pairs: DataFrame, kernel: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str, tasks: int | None = None) -> DataFrame:
+    """``kernel(left, right, same)`` for every pair of blocks that have rows, each on its own; ``same`` for a block with itself.
+
+    ``tasks`` is for kernels whose work is large for few rows, which would be read by few tasks.
+    """
     left = rows.join(pairs, rows["block"] == pairs["i"]).drop("block")
     right = rows.select(*[F.col(c).alias(c) for c in rows.columns]).join(pairs.select(F.col("i").alias("i"), F.col("j").alias("j")).filter("i < j"), F.col("block") == F.col("j")).drop("block")
 
+    if tasks is not None:
+        left, right = left.repartition(tasks, "i", "j"), right.repartition(tasks, "i", "j")
+
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         return kernel(a, b if b.num_rows else a, not b.num_rows)
 

@@ -353,6 +353,30 @@ def test_descriptor_scores_equal_all_pairs(spark):
     assert met <= near and {(f"f{i:02d}", f"g{i}") for i in range(8) if (f"f{i:02d}", f"g{i}") in near} <= met
 
 
+def test_links_of_files_are_their_edges_added_up(spark):
+    rng = random.Random(17)
+    base = [[rng.getrandbits(16) for _ in range(4)] for _ in range(40)]
+    rows = [(f * 3, k, *[w ^ (1 << rng.randrange(16)) for w in rng.choice(base[f % 5 :: 5])]) for f in range(60) for k in range(rng.randrange(1, 7))]
+    df = spark.createDataFrame(rows, "file long, kp long, w0 long, w1 long, w2 long, w3 long")
+    for least in (0.15, 0.6):
+        edges = J.feature_edges(df, least).cache()
+        want = {tuple(r) for r in G.feature_groups(edges, G.components_of(edges)).collect()}
+        for size in (40, None):
+            links = J.feature_links(df, least, block_rows=size).cache()
+            assert {tuple(r) for r in G.feature_groups(links, G.components_of(links)).collect()} == want
+            assert links.agg(F.sum("n")).first()[0] == (edges.count() or None)
+            assert size is not None or links.count() <= 60 or edges.count() < 60
+    assert J.feature_links(df.limit(0)).count() == 0
+
+
+def test_blocks_of_files_are_compared_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(J, "TASK_PAIRS", 1000)
+    rows = [(f, k, f * 977 + k * 31, f, k, 0) for f in range(60) for k in range(4)]
+    df = spark.createDataFrame(rows, "file long, kp long, w0 long, w1 long, w2 long, w3 long")
+    found = J.descriptor_scores(df, block_rows=16)
+    assert found.rdd.getNumPartitions() == 28
+
+
 def test_candidates_of_the_given_table(spark):
     """The inverted file of 16-bit bands finds at least nine in ten of the edges that all pairs have."""
     from kindred.plans import fixtures as T
