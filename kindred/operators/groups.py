@@ -105,8 +105,12 @@ def perceptual_groups(hashes: DataFrame, edges: DataFrame, members: DataFrame, o
 
 
 def feature_groups(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """``(first_ord, n_files, similarity)``: the mean score of the component's scored edges."""
-    scores = edges.join(members, edges["a"] == members["ord"]).groupBy("first_ord").agg(F.round(F.avg("score"), 3).alias("similarity"))
+    """``(first_ord, n_files, similarity)``: the mean score of the component's scored edges.
+
+    ``edges``: ``a, score``, or such rows added up with their number in ``n`` (``feature_links``).
+    """
+    mean = F.sum("score") / F.sum("n") if "n" in edges.columns else F.avg("score")
+    scores = edges.join(members, edges["a"] == members["ord"]).groupBy("first_ord").agg(F.round(mean, 3).alias("similarity"))
     return members.groupBy("first_ord").agg(F.count("*").alias("n_files")).join(scores, "first_ord")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.operators import groups as G
-from kindred.operators.similarity import cosine_edges, edge_sums, feature_edges, hash_nodes, video_edges
+from kindred.operators.similarity import cosine_edges, edge_sums, feature_edges, feature_links, hash_nodes, video_edges
 from kindred.plans.options import ScanOptions
 from kindred.plans.storage import materialise
 
@@ -37,7 +37,8 @@ def find_groups(hashes: DataFrame, options: ScanOptions = ScanOptions(), keyfram
     if options.perceptual:
         add("perceptual", *perceptual(hashes, options))
     if options.feature and descriptors is not None:
-        edges = materialise(feature_edges(descriptors, options.feature_min_score, options.feature_ratio, candidates), "features")
+        scored = (options.feature_min_score, options.feature_ratio)
+        edges = materialise(feature_links(descriptors, *scored) if candidates is None else feature_edges(descriptors, *scored, candidates), "features")
         own = materialise(G.components_of(edges), "members")
         add("feature", G.feature_groups(edges, own), own)
     if options.video and keyframes is not None:
