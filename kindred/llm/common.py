@@ -38,13 +38,18 @@ def slices(batch: pa.RecordBatch, text: str = "text", rows: int = SLICE_ROWS) ->
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: StructType | str, text: str = "text", rows: int = SLICE_ROWS) -> DataFrame:
-    """``mapInArrow`` over slices: ``make`` runs once in each task and returns the kernel."""
+    """``mapInArrow`` over slices: ``make`` runs once in each task and returns the kernel.
+
+    Workers outlive their tasks, so a task's free Arrow memory goes back before the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
             for part in slices(batch, text, rows):
                 yield kernel(part)
+            batch = part = None
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

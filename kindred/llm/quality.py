@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.llm.common import map_rows, slices, table
+from kindred.llm.common import map_rows, slices, table, texts
 from kindred.llm.toxicity import labelled_sample
 from kindred.plans.storage import materialise
 
@@ -180,9 +180,12 @@ def decide(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            n = [len(_TOKEN.findall(t or "")) for t in batch.column("text").to_pylist()]
-            w = [left_out(*shared.value, t or "", y) for t, y in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(n, pa.int64()), pa.array(w, pa.float64())], ["doc_id", "good", "n", "log_weight"])
+            for cut in slices(batch):
+                found, n, w = texts(cut), [], []
+                for t, y in zip(found, cut.column("good").to_pylist(), strict=True):
+                    n.append(1 if _TOKEN.search(t) else 0)
+                    w.append(left_out(*shared.value, t, y))
+                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("good"), pa.array(n, pa.int64()), pa.array(w, pa.float64())], ["doc_id", "good", "n", "log_weight"])
 
     sample = docs.sparkSession.createDataFrame([(d, bool(y)) for d, y in known.items()], "doc_id long, good boolean")
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")

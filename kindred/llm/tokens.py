@@ -17,7 +17,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 #: Vocabulary file that the registered queries use.
 WORD_BPE = "word_bpe_49k.json"
 #: Words after which a worker's cache begins anew.
-KEPT = 800_000
+KEPT = 200_000
 #: Rows encoded at once (texts' own sizes bound them too); repeated words are looked up once.
 ROWS = 4096
 #: Letters that the tokenizer lowers one by one and never joins with a neighbour, and marks that group by themselves and are in no special token.

@@ -370,6 +370,16 @@ def test_packing_odd(odd, odd_rows, empty, ids):
     assert PK.pack_documents(empty).count() == 0
 
 
+def test_encoder_forgets_before_it_grows_large():
+    """Workers keep their encoder after packing, so its words count towards all later stages."""
+    own = Encoder()
+    for k in "abc":
+        text = " ".join(f"{k}{i:x}" for i in range(110_000))
+        flat, _ = own.encode(pa.array([text]))
+        assert len(own.index) <= 220_000
+    assert flat[:2000].tolist() == own.full.encode(text, add_special_tokens=False).ids[:2000]
+
+
 # 5. quality
 
 
