@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kindred.llm.common import map_rows, table
-from kindred.llm.tokens import ROWS, crc32, encoder, with_end
+from kindred.llm.tokens import KEPT, ROWS, crc32, encoder, with_end
 from kindred.plans.storage import materialise
 
 CAPACITY = 4096
@@ -95,11 +95,11 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return steps
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, by_word: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, by_word: bool = True, kept: int = KEPT) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: each text's ids and ``end_id``, cut where longer than ``capacity``."""
 
     def make():
-        own = encoder(tokenizer, by_word)
+        own = encoder(tokenizer, by_word, kept)
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, bounds = with_end(*own.encode(batch.column("text")), end_id)

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 #: Vocabulary file that the registered queries use.
 WORD_BPE = "word_bpe_49k.json"
 #: Words after which a worker's cache begins anew.
-KEPT = 200_000
+KEPT = 800_000
 #: Rows encoded at once (texts' own sizes bound them too); repeated words are looked up once.
 ROWS = 4096
 #: Letters that the tokenizer lowers one by one and never joins with a neighbour, and marks that group by themselves and are in no special token.
@@ -115,9 +115,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str | None = None, by_word: bool = True) -> Encoder:
+def encoder(path: str | None = None, by_word: bool = True, kept: int = KEPT) -> Encoder:
     """One encoder for each worker process, so that later tasks find its cache warm."""
-    return Encoder(path, by_word)
+    return Encoder(path, by_word, kept)
 
 
 def with_end(flat: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 
 from kindred.llm import fingerprint as FP, licenses as L, mixing as MX, neighbours as NN, packing as PK, quality as Q, secrets as SC, simhash as SH, tokenfile as TF, toxicity as TX
 from kindred.llm.registry import SQL, queries
-from kindred.llm.tokens import WORD_BPE, Encoder, with_end
+from kindred.llm.tokens import WORD_BPE, Encoder, encoder, with_end
 
 DATA = "/root/testdata/sf0.001"
 
@@ -372,7 +372,9 @@ def test_packing_odd(odd, odd_rows, empty, ids):
 
 def test_encoder_forgets_before_it_grows_large():
     """Workers keep their encoder after packing, so its words count towards all later stages."""
-    own = Encoder()
+    import corpus_pipeline
+
+    own = encoder(kept=corpus_pipeline.KEPT_WORDS)
     for k in "abc":
         text = " ".join(f"{k}{i:x}" for i in range(110_000))
         flat, _ = own.encode(pa.array([text]))
