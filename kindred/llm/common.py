@@ -24,12 +24,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each cut holds a bounded number of rows and characters (one row at least)."""
     sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
-        if i > start and (i - start >= rows or held + n > SLICE_CHARS):
+        if i > start and (i - start >= rows or held + n > size):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n

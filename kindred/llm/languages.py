@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.llm.common import slices, table
@@ -34,9 +35,13 @@ TEMPERATURES = [2.0**k for k in range(16)]
 #: The share of documents in their own language whose language is rejected.
 ALPHA = 0.001
 UNKNOWN = "und"
-SLICE_ROWS = 256
-#: n-grams whose probabilities a task keeps at once.
+SLICE_ROWS = 128
+#: Bytes of text after which a slice ends early.
+SLICE_BYTES = 1_000_000
+#: n-grams whose probabilities a task keeps at once, of up to four languages; of more languages fewer.
 KEPT = 1_000_000
+#: n-grams whose counts a task keeps at once, and those that it hands over at once.
+COUNTED, SENT = 400_000, 50_000
 _BLANK = 32
 _STEPS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(ORDER)]
 
@@ -108,45 +113,58 @@ def _at(s: Stream, at: np.ndarray) -> np.ndarray:
     return np.where(s.place[at][:, None] < back, np.uint32(_BLANK), found)
 
 
-def gram_counts(docs: DataFrame, lang: Column, held: Column, text: Column) -> DataFrame:
-    """``(lang, gram, n, n_fit)``: how often each n-gram occurs in a language, and how often in rows that aren't ``held``.
+def _released(run):
+    """``run`` over batches; workers outlive their tasks, so a task's free Arrow memory goes back at its end."""
 
-    Every task adds up its own before the shuffle. Rows without a language don't count.
-    """
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
 
-    def run(batches):
-        names: dict[str, int] = {}
-        known: list[tuple[np.ndarray, ...]] = []
+    return whole
 
-        def merged() -> tuple[np.ndarray, ...]:
-            keys, langs, grams, n, fit = (np.concatenate(c) for c in zip(*known, strict=True))
-            _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-            return keys[first], langs[first], grams[first], np.bincount(at, n).astype(np.int64), np.bincount(at, fit).astype(np.int64)
 
-        def rows(keys, langs, grams, n, fit):
-            every = list(names)
-            text = np.ascontiguousarray(grams).view(f"<U{ORDER}").reshape(-1).tolist()
-            return pa.RecordBatch.from_arrays([pa.array([every[i] for i in langs.tolist()], pa.string()), pa.array(text, pa.string()), pa.array(n), pa.array(fit)], ["lang", "gram", "n", "n_fit"])
+def count_grams(batches):
+    """``lang, gram, n, n_fit`` of rows ``lang, held, text``, added up as far as ``COUNTED`` n-grams go, in batches of ``SENT``."""
+    names: dict[str, int] = {}
+    known: list[tuple[np.ndarray, ...]] = []
+
+    def merged() -> tuple[np.ndarray, ...]:
+        keys, langs, grams, n, fit = (np.concatenate(c) for c in zip(*known, strict=True))
+        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        return keys[first], langs[first], grams[first], np.bincount(at, n).astype(np.int64), np.bincount(at, fit).astype(np.int64)
+
+    def rows(keys, langs, grams, n, fit):
+        every = list(names)
+        for i in range(0, len(keys), SENT):
+            part = slice(i, i + SENT)
+            text = np.ascontiguousarray(grams[part]).view(f"<U{ORDER}").reshape(-1).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([every[k] for k in langs[part].tolist()], pa.string()), pa.array(text, pa.string()), pa.array(n[part]), pa.array(fit[part])], ["lang", "gram", "n", "n_fit"])
+
+    for batch in batches:
+        for cut in slices(batch, rows=SLICE_ROWS, size=SLICE_BYTES):
+            own = np.array([names.setdefault(x, len(names)) for x in cut.column("lang").to_pylist()], np.int64)
+            s = stream([t or "" for t in cut.column("text").to_pylist()])
+            if not len(s.symbols):
+                continue
+            langs = own[s.text]
+            keys, first, at = np.unique(_grams(s) ^ (langs.astype(np.uint64) * _STEPS[1]), return_index=True, return_inverse=True)
+            fit = ~np.array(cut.column("held").to_pylist(), bool)
+            known.append((keys, langs[first], _at(s, first), np.bincount(at), np.bincount(at, fit[s.text])))
+            if sum(len(k[0]) for k in known) > COUNTED:
+                known = [merged()]
+                if len(known[0][0]) > COUNTED * 3 // 4:
+                    yield from rows(*known.pop())
+    if known:
+        yield from rows(*merged())
 
-        for batch in batches:
-            for cut in slices(batch, rows=SLICE_ROWS):
-                own = np.array([names.setdefault(x, len(names)) for x in cut.column("lang").to_pylist()], np.int64)
-                s = stream([t or "" for t in cut.column("text").to_pylist()])
-                if not len(s.symbols):
-                    continue
-                langs = own[s.text]
-                keys, first, at = np.unique(_grams(s) ^ (langs.astype(np.uint64) * _STEPS[1]), return_index=True, return_inverse=True)
-                fit = ~np.array(cut.column("held").to_pylist(), bool)
-                known.append((keys, langs[first], _at(s, first), np.bincount(at), np.bincount(at, fit[s.text])))
-                if sum(len(k[0]) for k in known) > KEPT:
-                    known = [merged()]
-                    if len(known[0][0]) > KEPT // 2:
-                        yield rows(*known.pop())
-        if known:
-            yield rows(*merged())
 
+def gram_counts(docs: DataFrame, lang: Column, held: Column, text: Column) -> DataFrame:
+    """``(lang, gram, n, n_fit)``: how often each n-gram occurs in a language, and how often in rows that aren't ``held``.
+
+    Every task adds up its own before the shuffle. Rows without a language don't count.
+    """
     labelled = docs.select(lang.cast("string").alias("lang"), F.coalesce(held, F.lit(False)).alias("held"), text.alias("text")).filter("lang is not null and text is not null")
-    return labelled.mapInArrow(run, "lang string, gram string, n long, n_fit long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_fit").alias("n_fit"))
+    return labelled.mapInArrow(_released(count_grams), "lang string, gram string, n long, n_fit long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_fit").alias("n_fit"))
 
 
 @dataclass(frozen=True)
@@ -266,7 +284,7 @@ class Scorer:
             if not met.all():
                 fresh = _at(s, first[~met])
                 values[~met] = np.stack([log_chances(x, fresh, m.alphabet) for x in m.models], axis=1)
-                if len(self.keys) + len(fresh) > KEPT:
+                if len(self.keys) + len(fresh) > KEPT * 4 // max(4, len(m.langs)):
                     self.keys, self.values = self.keys[:0], self.values[:0]
                 both, rows = np.concatenate([self.keys, keys[~met]]), np.concatenate([self.values, values[~met]])
                 order = np.argsort(both)
@@ -287,6 +305,12 @@ def _losses(own: np.ndarray, n: np.ndarray, entropies: np.ndarray) -> np.ndarray
     return np.stack([-np.log(0.99 / np.exp(np.minimum(gaps / t, 700.0)).sum(axis=1) + 0.01 / entropies.shape[1]) for t in TEMPERATURES], axis=1)
 
 
+def _loss(temperature: float, langs: int) -> Column:
+    """The same of a row ``n, mine, e`` at one temperature."""
+    raised = [F.exp(F.least((F.col("mine") - F.col("e")[i]) * F.col("n") / temperature, F.lit(700.0))) for i in range(langs)]
+    return -F.log(0.99 / sum(raised[1:], raised[0]) + 0.01 / langs)
+
+
 def calibrate(own: np.ndarray, n: np.ndarray, entropies: np.ndarray) -> Calibration | None:
     """From texts with known languages (``own`` is a column of ``entropies``) that the models haven't seen; none without texts."""
     if not len(own):
@@ -304,19 +328,11 @@ def calibrate(own: np.ndarray, n: np.ndarray, entropies: np.ndarray) -> Calibrat
 
 def calibrate_table(scored: DataFrame, langs: list[str]) -> Calibration | None:
     """``calibrate`` over a table ``lang, n, e`` of any size; rows of other languages don't count."""
-    at = {lang: i for i, lang in enumerate(langs)}
-
-    def run(batches):
-        for batch in batches:
-            batch = batch.filter(pa.array([x in at for x in batch.column("lang").to_pylist()], pa.bool_()))
-            if batch.num_rows:
-                own, n = np.array([at[x] for x in batch.column("lang").to_pylist()]), batch.column("n").to_numpy().astype(float)
-                e = batch.column("e").flatten().to_numpy().reshape(len(own), -1)
-                mine = e[np.arange(len(own)), own]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(mine), pa.array(list(_losses(own, n, e)), pa.list_(pa.float64()))], ["own", "n", "mine", "losses"])
-
-    rows = materialise(scored.select("lang", "n", "e").mapInArrow(run, "own long, n double, mine double, losses array<double>"), "scored")
-    losses = [F.sum(F.col("losses")[k]).alias(f"loss{k}") for k in range(len(TEMPERATURES))]
+    # Functions of Spark only: where ``scored`` comes from a Python stage, a second one would double the workers of each task.
+    own = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
+    rows = scored.select(own.alias("own"), F.col("n").cast("double").alias("n"), "e").filter("own >= 0").withColumn("mine", F.col("e")[F.col("own").cast("int")])
+    rows = materialise(rows.select("own", "n", "mine", *[_loss(t, len(langs)).alias(f"loss{k}") for k, t in enumerate(TEMPERATURES)]), "scored")
+    losses = [F.sum(f"loss{k}").alias(f"loss{k}") for k in range(len(TEMPERATURES))]
     sums = rows.groupBy("own").agg(F.sum(F.col("mine") * F.col("n")).alias("nats"), F.sum("n").alias("n"), *losses).collect()  # a row for each language
     if not sums:
         return None
@@ -353,12 +369,14 @@ def _collect(counts: DataFrame, column: str) -> Models:
         cuts.append((lang, cut))
     least = counts.sparkSession.createDataFrame(cuts, "lang string, least long")
     rows = counts.join(F.broadcast(least), "lang").filter(F.col(column) >= F.col("least")).select("lang", "gram", F.col(column).alias("n")).toArrow()
-    names = np.array(rows.column("lang").to_pylist(), object)
-    grams = np.frombuffer("".join(rows.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    own = pc.index_in(rows.column("lang"), value_set=pa.array(langs, rows.column("lang").type)).to_numpy()
+    # In parts, as every n-gram is a Python string on its way.
+    parts = [np.frombuffer("".join(b.column("gram").to_pylist()).encode("utf-32-le"), np.uint32) for b in rows.to_batches(max_chunksize=SENT)]
+    grams = np.concatenate([np.zeros(0, np.uint32), *parts]).reshape(-1, ORDER)
     counted = rows.column("n").to_numpy()
     alphabet = len(np.unique(grams[:, -1])) + 1 if len(grams) else 1
-    known = [lang for lang in langs if (names == lang).any()]
-    return Models(known, [estimate(grams[names == lang], counted[names == lang], alphabet) for lang in known], alphabet)
+    known = [i for i in range(len(langs)) if (own == i).any()]
+    return Models([langs[i] for i in known], [estimate(grams[own == i], counted[own == i], alphabet) for i in known], alphabet)
 
 
 def estimate_tables(counts: DataFrame, column: str) -> Models:
@@ -390,7 +408,7 @@ def _joined(rows: DataFrame, m: Models) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for cut in slices(batch, rows=SLICE_ROWS):
+            for cut in slices(batch, rows=SLICE_ROWS, size=SLICE_BYTES):
                 s = stream([t or "" for t in cut.column("text").to_pylist()])
                 if len(s.symbols):
                     _, first, met = np.unique(_grams(s) ^ (s.text.astype(np.uint64) * _STEPS[1]), return_index=True, return_counts=True)
@@ -399,11 +417,11 @@ def _joined(rows: DataFrame, m: Models) -> DataFrame:
 
     def lengths(batches):
         for batch in batches:
-            for cut in slices(batch, rows=SLICE_ROWS):
+            for cut in slices(batch, rows=SLICE_ROWS, size=SLICE_BYTES):
                 s = stream([t or "" for t in cut.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([cut.column("row"), pa.array(np.bincount(s.text, minlength=cut.num_rows)), pa.array(s.letters)], ["row", "n", "letters"])
 
-    met = materialise(rows.select("row", "text").mapInArrow(run, "row long, gram string, k long"), "met")
+    met = materialise(rows.select("row", "text").mapInArrow(_released(run), "row long, gram string, k long"), "met")
     wanted = materialise(met.groupBy("gram").agg(F.count("*").alias("n")), "wanted")
     chances = wanted.select("gram", F.explode(F.array(*[F.lit(x) for x in m.langs])).alias("lang"), F.lit(1 / m.alphabet).alias("p"))
     for n, (grams, contexts) in enumerate(zip(m.tables.grams, m.tables.contexts, strict=True), 1):
@@ -414,7 +432,7 @@ def _joined(rows: DataFrame, m: Models) -> DataFrame:
     each = [F.max(F.when(F.col("lang") == x, F.log("p").cast("float").cast("double"))).alias(f"p{i}") for i, x in enumerate(m.langs)]
     logs = materialise(chances.groupBy("gram").agg(*each).join(wanted, "gram"), "logs")
     sums = join_counted(met, logs, ["gram"], met.count()).groupBy("row").agg(*[F.sum(F.col(f"p{i}") * F.col("k")).alias(f"p{i}") for i in range(len(m.langs))])
-    sized = rows.select("row", "text").mapInArrow(lengths, "row long, n long, letters boolean").join(sums, "row", "left")
+    sized = rows.select("row", "text").mapInArrow(_released(lengths), "row long, n long, letters boolean").join(sums, "row", "left")
     return sized.select("row", "n", "letters", F.array(*[F.coalesce(F.col(f"p{i}") / -F.col("n"), F.lit(0.0)) for i in range(len(m.langs))]).alias("e"))
 
 
@@ -428,12 +446,12 @@ def entropies(rows: DataFrame, models: Models, *kept: str) -> DataFrame:
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            for cut in slices(batch, rows=SLICE_ROWS):
+            for cut in slices(batch, rows=SLICE_ROWS, size=SLICE_BYTES):
                 n, letters, e = scorer.cross_entropies([t or "" for t in cut.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(letters), pa.array(list(e), pa.list_(pa.float64())), *[cut.column(c) for c in kept]], ["n", "letters", "e", *kept])
 
     own = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.select(*kept, "text").mapInArrow(run, f"n long, letters boolean, e array<double>{own}")
+    return rows.select(*kept, "text").mapInArrow(_released(run), f"n long, letters boolean, e array<double>{own}")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
@@ -484,10 +502,10 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            for cut in slices(batch, rows=SLICE_ROWS):
+            for cut in slices(batch, rows=SLICE_ROWS, size=SLICE_BYTES):
                 yield found(cut.column("doc_id"), scorer.predict([t or "" for t in cut.column("text").to_pylist()]))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(_released(run), schema)
 
 
 def op12_languages(spark, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,47 @@ def test_every_held_row_calibrates(spark):
     assert L.calibrate_table(scored.limit(0), ["x"]) is None
     one = L.calibrate_table(scored.filter("lang = 'x'").limit(1), ["x", "y", "z"])
     assert one.most >= 1
+
+
+def test_no_task_needs_two_python_workers(spark, rows, monkeypatch):
+    made, write = [], L.materialise
+    monkeypatch.setattr(L, "materialise", lambda df, *tag: made.append(df) or write(df, *tag))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = L.fit(table)
+    assert models.calibration
+    assert [df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for df in [*made, L.identify(table, models)]] == [1, 1, 1]
+
+
+def test_counting_holds_and_hands_over_few_grams_at_once():
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 2500))) for _ in range(450)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["xx", "yy"] * 225), pa.array([False, False, True] * 150), pa.array(texts)], ["lang", "held", "text"])
+    L.stream(["a"])
+    tracemalloc.start()
+    most, counts = 0, [0, 0]
+    for part in L.count_grams(iter([batch])):
+        most, counts = max(most, part.num_rows), [counts[0] + sum(part.column("n").to_pylist()), counts[1] + sum(part.column("n_fit").to_pylist())]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert counts == [450 * 2501, 300 * 2501]
+    assert most <= 50_000 and peak < 160
+
+
+def test_counts_handed_over_in_parts_stay_whole(spark, rows, monkeypatch):
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    count = lambda: sorted(map(tuple, L.gram_counts(table, F.col("lang"), F.col("doc_id") % 3 == 0, F.col("text")).collect()))
+    plain = {lang: Counter(("    " + t)[i : i + L.ORDER] for _, text, x in rows if x == lang for t in [normal(text)] for i in range(len(t))) for lang in ("xx", "yy", "zz")}
+    fit = {lang: Counter(("    " + t)[i : i + L.ORDER] for d, text, x in rows if x == lang and d % 3 for t in [normal(text)] for i in range(len(t))) for lang in plain}
+    want = sorted((lang, g, n, fit[lang][g]) for lang, c in plain.items() for g, n in c.items())
+    assert count() == want
+    batch = pa.RecordBatch.from_pydict({"lang": [x for *_, x in rows], "held": [d % 3 == 0 for d, *_ in rows], "text": [t for _, t, _ in rows]})
+    monkeypatch.setattr(L, "COUNTED", 700)
+    monkeypatch.setattr(L, "SENT", 60)
+    monkeypatch.setattr(L, "SLICE_ROWS", 7)
+    sums: dict = defaultdict(lambda: [0, 0])
+    parts = list(L.count_grams(iter([batch])))
+    for r in (r for p in parts for r in p.to_pylist()):
+        sums[r["lang"], r["gram"]][0] += r["n"]
+        sums[r["lang"], r["gram"]][1] += r["n_fit"]
+    assert max(p.num_rows for p in parts) == 60 and sum(p.num_rows for p in parts) > len(want)
+    assert sorted((*k, *v) for k, v in sums.items()) == want
