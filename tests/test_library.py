@@ -124,6 +124,32 @@ def test_hamming_pairs_of_crowded_bands(spark, monkeypatch):
     assert {(r["x"], r["y"], r["dist"]) for r in J.hamming_pairs(df, 8).collect()} == want
 
 
+def test_edges_of_a_wide_threshold_are_made_where_they_are_found(spark, monkeypatch):
+    """All files of a scope meet in slices: no edge is shuffled, and common hashes, shared digests and nulls keep their edges."""
+    rng = np.random.default_rng(9)
+    h = rng.integers(0, 1 << 63, 260, dtype=np.int64)
+    h[:60], h[60:90], h[90:120] = h[0], h[0] ^ 5, -h[90:120]
+    digests = [None if i % 11 == 0 else f"m{i // 3 if i % 2 else i}" for i in range(260)]
+    scopes = [None if i < 200 else ["p", "q", "r"][i % 3] for i in range(260)]
+    rows = list(zip(scopes, range(260), digests, h.tolist(), strict=True))
+    df = spark.createDataFrame(rows, "scope string, ord long, md5 string, h long")
+    monkeypatch.setattr(J, "LEAST_SLICE", 10)
+    monkeypatch.setattr(J, "_plan", lambda threshold, *_: ([J.Band((), threshold)], 1.0))
+    monkeypatch.setattr(J, "EDGES_AT_ONCE", 37)
+    monkeypatch.setattr(J, "MEET_AT_ONCE", 50)
+    dist = np.bitwise_count(h.view(np.uint64)[:, None] ^ h.view(np.uint64))
+    for t, exclude in ((20, True), (20, False), (29, True), (64, True)):
+        want = {(a, b, int(dist[a, b])) for a in range(260) for b in range(a + 1, 260) if scopes[a] == scopes[b] and dist[a, b] <= t and not (exclude and digests[a] == digests[b])}
+        found = J.hamming_edges(df, t, exclude_exact=exclude)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan.split("MapInArrow")[0] and plan.count("Exchange") - plan.count("BroadcastExchange") <= 2
+    tiles = J.hamming_edges(df, 64).groupBy(F.spark_partition_id()).count().count()
+    assert tiles > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert J.hamming_edges(df.limit(0), 30).count() == 0
+
+
 def test_hamming_pairs_by_many_tasks(spark):
     """Probes of a small table are made and compared by all tasks; bands, tiles and all pairs at once agree, with scopes apart."""
     rng = np.random.default_rng(5)
