@@ -115,9 +115,16 @@ def content_digests(content: Column) -> list[Column]:
 
 def l2_normalise(vector: Column) -> Column:
     """The vector in doubles over its length; a zero vector stays as it is."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+
+    def once(value: Column, f) -> Column:
+        """``f`` of a value that isn't computed again for each number in it."""
+        return F.transform(F.array(value), f)[0]
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return once(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return once(F.transform(vector, lambda x: x.cast("double")), scaled)
 
 
 def renamed(prefix: Column, index: Column, path: Column, digits: int = 3) -> Column:

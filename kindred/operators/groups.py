@@ -15,6 +15,8 @@ from kindred.plans.storage import materialise
 #: Order of the methods in numbering and reports.
 METHOD_ORDER = ("exact", "perceptual", "feature", "video", "semantic")
 BITS = 64
+#: Numbers of a vector that are added up in one row.
+PIECE = 64
 #: The columns of ``all_groups``.
 GROUPS = "method string, first_ord long, n_files long, similarity double, multi_account boolean, group_id long"
 
@@ -120,9 +122,13 @@ def semantic_groups(vectors: DataFrame, members: DataFrame) -> DataFrame:
     ``vectors``: ``ord, unit``. With s the sum of n unit vectors the mean over pairs is
     (s.s - sum of squared lengths) / (n (n - 1)), so no pair is made.
     """
-    own = vectors.join(members, "ord").select("first_ord", "ord", F.posexplode("unit").alias("i", "x"))
-    sums = own.groupBy("first_ord", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    total = sums.groupBy("first_ord").agg(F.sum(F.col("s") * F.col("s") - F.col("q")).alias("dots"))
+    last = F.greatest(F.floor((F.size("unit") - 1) / PIECE), F.lit(0)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("unit", k * PIECE + 1, PIECE))
+    own = vectors.join(members, "ord").select("first_ord", F.posexplode(pieces).alias("piece", "x"))
+    squares = F.sum(F.aggregate("x", F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0)))).alias("q")
+    sums = own.groupBy("first_ord", "piece").agg(squares, *[F.sum(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(PIECE)])
+    dots = sum((F.coalesce(F.col(f"s{i}") * F.col(f"s{i}"), F.lit(0.0)) for i in range(PIECE)), F.lit(0.0)) - F.col("q")
+    total = sums.groupBy("first_ord").agg(F.sum(dots).alias("dots"))
     sizes = members.groupBy("first_ord").agg(F.count("*").alias("n_files"))
     return sizes.join(total, "first_ord").select("first_ord", "n_files", (F.col("dots") / (F.col("n_files") * (F.col("n_files") - 1))).alias("similarity"))
 

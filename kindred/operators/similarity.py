@@ -39,7 +39,11 @@ PIVOTS = 16
 #: So many blocks of keypoints are made, until one has so many rows; and the pairs of keypoints that one task compares, about.
 FILE_BLOCKS, MAX_BLOCK_ROWS, TASK_PAIRS = 24, 16_384, 1 << 30
 #: Of large tables so many blocks of vectors are made, until a block has so many numbers.
-BLOCKS, BLOCK_NUMBERS = 24, 1 << 21
+BLOCKS, BLOCK_NUMBERS = 24, 1 << 22
+#: Vectors of two blocks that are multiplied at once, pairs that are checked at once, and tasks that the pairs of blocks are dealt to, at most.
+LEFT_ROWS, RIGHT_ROWS, CHECKED_ROWS, MOST_TASKS = 256, 1024, 1 << 14, 2048
+#: What a bound of two vectors costs in nanoseconds, in all and for each of its numbers, and what each number costs where the pair is checked.
+BOUND_COST, NUMBER_COST, CHECK_COST = 1.0, 0.03, 2.0
 
 
 @dataclass(frozen=True)
@@ -515,6 +519,7 @@ def cosine_blocks(vectors: DataFrame, threshold: float, column: str = "v", block
     """
     def units(batches):
         for batch in batches:
+            batch = batch.filter(batch.column("v").is_valid())
             v = batch.column("v")
             if len(v):
                 x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
@@ -522,7 +527,8 @@ def cosine_blocks(vectors: DataFrame, threshold: float, column: str = "v", block
                 kept = size > 0
                 yield pa.RecordBatch.from_arrays([batch.column("ord").filter(pa.array(kept)), pa.array(list(x[kept] / size[kept, None]), pa.list_(pa.float64()))], ["ord", "u"])
 
-    own = vectors.select("ord", F.col(column).cast("array<double>").alias("v")).filter("v is not null")
+    # Nulls are left out by the kernel: a filter would be evaluated below the columns that the vectors are made of, again for each number.
+    own = vectors.select("ord", F.col(column).cast("array<double>").alias("v"))
     unit = materialise(own.mapInArrow(units, "ord long, u array<double>"), "units")
     chosen = np.array(tiles.sample(unit, "u", pivots), float)
     shared = vectors.sparkSession.sparkContext.broadcast(chosen)
@@ -540,26 +546,76 @@ def cosine_blocks(vectors: DataFrame, threshold: float, column: str = "v", block
     return rows.drop("d"), pairs, skipped
 
 
+def _bound(x: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """Some numbers of each vector and the length of all others: the product of two such rows is no less than that of the vectors."""
+    return np.column_stack([x[:, order[:width]], np.sqrt((x[:, order[width:]] ** 2).sum(axis=1))]).astype(np.float32)
+
+
+def _slack(width: int) -> float:
+    """What single precision takes from a product of unit vectors, at most."""
+    return 1e-9 + 2.4e-7 * (width + 8)
+
+
+def _width(x: np.ndarray, y: np.ndarray, order: np.ndarray, threshold: float) -> int:
+    """For how many numbers a bound costs least: fewer are multiplied faster, but leave more pairs to be checked."""
+    few = [t[:: max(1, len(t) // 256)][:256] for t in (x, y)]
+
+    def cost(width: int) -> float:
+        a, b = (_bound(t, order, width) for t in few)
+        return BOUND_COST + width * NUMBER_COST + len(order) * CHECK_COST * float((a @ b.T >= threshold - _slack(width)).mean())
+
+    return min({-(-len(order) * k // 8) for k in range(1, 9)}, key=cost)
+
+
+def _near_vectors(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i, j of unit vectors with a cosine of ``threshold`` or more, and that cosine, part by part; i < j if both are the ``same``.
+
+    Products of some numbers, and of the lengths of the rest, bound the cosine from above
+    (Cauchy and Schwarz); only pairs that pass are checked, in double precision.
+    """
+    if not len(x) or not len(y):
+        return
+    order = np.argsort(-((x * x).mean(axis=0) + (y * y).mean(axis=0)), kind="stable")
+    width = _width(x, y, order, threshold)
+    a, b = (_bound(t, order, width) for t in (x, y))
+    room = -(-LEFT_ROWS * RIGHT_ROWS // 8) * 8
+    product, near = np.empty(room, np.float32), np.zeros(room, bool)
+    for lo in range(0, len(x), LEFT_ROWS):
+        own = a[lo : lo + LEFT_ROWS]
+        for at in range(lo if same else 0, len(y), RIGHT_ROWS):
+            rest = b[at : at + RIGHT_ROWS]
+            n = len(own) * len(rest)
+            np.matmul(own, rest.T, out=product[:n].reshape(len(own), -1))
+            np.greater_equal(product[:n], threshold - _slack(width), out=near[:n])
+            near[n : n + 8] = False
+            found = _places(near, n)
+            for k in range(0, len(found), CHECKED_ROWS):
+                i, j = np.divmod(found[k : k + CHECKED_ROWS], len(rest))
+                i, j = i + lo, j + at
+                if same:
+                    i, j = i[i < j], j[i < j]
+                exact = (x[i] * y[j]).sum(axis=1)
+                yield i[exact >= threshold], j[exact >= threshold], exact[exact >= threshold]
+
+
 def cosine_edges(vectors: DataFrame, threshold: float = 0.85, column: str = "v", block_rows: int | None = None) -> DataFrame:
     """``(a, b, cosine)``, a < b by ``ord``: all pairs of vectors with a cosine of ``threshold`` or more, exactly.
 
-    Blocks against blocks, one matrix product each, without the pairs of blocks that the
-    triangle inequality rules out. Zero vectors have no edges.
+    Blocks against blocks, by matrix products that bound the cosine, without the pairs of
+    blocks that the triangle inequality rules out. Zero vectors have no edges.
     """
     rows, pairs, _ = cosine_blocks(vectors, threshold, column, block_rows)
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(pairs.count(), MOST_TASKS))
 
     def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         (p, x), (q, y) = ((t.column("ord").to_numpy(), t.column("u").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)) for t in (a, b))
-        for lo, at in ((lo, at) for lo in range(0, len(p), 512) for at in range(0, len(q), BLOCK_ROWS)):
-            i, j = np.nonzero(x[lo : lo + 512] @ y[at : at + BLOCK_ROWS].T >= threshold - 1e-9)
-            j = j + at
-            exact = (x[lo + i] * y[j]).sum(axis=1)
-            keep = (p[lo + i] < q[j] if same else p[lo + i] != q[j]) & (exact >= threshold)
-            found.append((np.minimum(p[lo + i], q[j])[keep], np.maximum(p[lo + i], q[j])[keep], exact[keep]))
+        for i, j, cosine in _near_vectors(x, y, threshold, same):
+            keep = p[i] != q[j]
+            found.append((np.minimum(p[i], q[j])[keep], np.maximum(p[i], q[j])[keep], cosine[keep]))
         return pa.table(dict(zip(("a", "b", "cosine"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
 
-    return tiles.compare(rows, pairs, kernel, "a long, b long, cosine double").dropDuplicates(["a", "b"])
+    return tiles.compare(rows, pairs, kernel, "a long, b long, cosine double", tasks).dropDuplicates(["a", "b"])
 
 
 def cosine_candidates(vectors: DataFrame, threshold: float = 0.85, column: str = "v", width: float = 0.5, tables: int = 8, seed: int = 11) -> DataFrame:

@@ -230,6 +230,55 @@ def test_cosine_blocks_grow_with_the_table(spark, monkeypatch):
     assert J.cosine_blocks(df, 0.85, pivots=1)[0].select("block").distinct().count() == 8
 
 
+def test_wide_vectors_are_normalised_in_linear_time(spark):
+    """A vector's length is taken once, not once for each number."""
+    import time
+
+    df = spark.range(100).selectExpr("id AS ord", "transform(sequence(1, 4000), x -> CAST(x * (id + 1) AS DOUBLE)) AS v")
+    began = time.perf_counter()
+    found = df.select("ord", S.l2_normalise(F.col("v")).alias("u")).selectExpr("ord", "aggregate(u, 0D, (s, x) -> s + x * x) AS n", "u[1] / u[0] AS r").collect()
+    assert time.perf_counter() - began < 30
+    assert len(found) == 100 and all(abs(r["n"] - 1) < 1e-9 and abs(r["r"] - 2) < 1e-9 for r in found)
+    odd = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, []), (3, [3.0, 4.0])], "ord long, v array<double>")
+    assert [r["u"] for r in odd.select("ord", S.l2_normalise(F.col("v")).alias("u")).orderBy("ord").collect()] == [[0.0, 0.0], None, [], [0.6, 0.8]]
+
+
+def test_bounds_of_cosines_lose_no_pair(monkeypatch):
+    """However many numbers a bound has and wherever the vectors' weight lies, the pairs are those of all products."""
+    rng, chosen = np.random.default_rng(13), J._width
+    for scale in (np.ones(40), np.geomspace(1, 1e-4, 40)):
+        x = rng.normal(size=(300, 40)) * scale
+        x[150:] = x[:150] + 0.4 * rng.normal(size=(150, 40)) * scale
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        exact = (x[:, None] * x).sum(axis=2)
+        monkeypatch.setattr(J, "LEFT_ROWS", 37)
+        monkeypatch.setattr(J, "RIGHT_ROWS", 50)
+        monkeypatch.setattr(J, "CHECKED_ROWS", 11)
+        for width in (1, 5, 20, 40, None):
+            monkeypatch.setattr(J, "_width", (lambda *_, w=width: w) if width else chosen)
+            for threshold in (0.85, float(exact[0, 150]), -1.0):
+                for other, same, want in ((x, True, np.triu(exact >= threshold, 1)), (x[:99], False, exact[:, :99] >= threshold)):
+                    parts = list(J._near_vectors(x, other, threshold, same))
+                    got = [(int(i), int(j)) for p in parts for i, j in zip(p[0], p[1], strict=True)]
+                    assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True))
+        monkeypatch.undo()
+
+
+def test_semantic_groups_of_vectors_of_any_width(spark):
+    from kindred.operators import groups as G
+
+    rng = np.random.default_rng(14)
+    for width in (3, 64, 150):
+        v = rng.normal(size=(12, width))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ord long, unit array<double>")
+        members = spark.createDataFrame([(i, 0 if i < 7 else 7) for i in range(12)], "ord long, first_ord long")
+        got = {r["first_ord"]: (r["n_files"], r["similarity"]) for r in G.semantic_groups(vectors, members).collect()}
+        for first, own in ((0, v[:7]), (7, v[7:])):
+            mean = np.mean([own[i] @ own[j] for i in range(len(own)) for j in range(i)])
+            assert got[first][0] == len(own) and abs(got[first][1] - mean) < 1e-12
+
+
 def test_cosine_blocks(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(120, 8))
