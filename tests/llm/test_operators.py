@@ -652,6 +652,35 @@ def test_near_copies_at_a_similarity(spark, odd, empty):
     assert SH.keep_one(empty, similarity=0.8).count() == 0
 
 
+def test_near_copies_that_no_band_of_minima_shares(spark, monkeypatch):
+    """A pair at 0.8 whose 32 bands of 5 minima all differ, which bands missed; and whatever shingles count as common."""
+    from kindred.llm import likeness as LK
+
+    base = [f"b{k}" for k in range(44)]
+    ends = ["w69157 w41606 w8271 w6317 w92571", "w64937 w11932 w58915 w89006 w49740", "w1 w2 w3 w4 w5 w6"]
+    made = [" ".join([*base, e]) for e in ends]
+    assert jaccard(made[0], made[1]) == 0.8 and jaccard(made[0], made[2]) < 0.8 and jaccard(made[1], made[2]) < 0.8
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for share in (8, 1):
+        monkeypatch.setattr(LK, "SAMPLED", share)
+        assert {r["doc_id"] for r in SH.keep_one(df, width=5, similarity=0.8).collect()} == {0, 2}
+
+    rng = np.random.default_rng(4)
+    known = np.unique(rng.integers(0, 300, 60)).astype(np.uint64)
+    tried = 0
+    for _ in range(4000):
+        x = np.unique(rng.integers(0, 300, rng.integers(1, 60))).astype(np.uint64)
+        y = np.union1d(rng.choice(x, max(1, len(x) - rng.integers(0, 6)), replace=False), rng.integers(0, 300, rng.integers(0, 6)).astype(np.uint64))
+        shared = len(np.intersect1d(x, y))
+        for least in (0.5, 0.8, 1.0):
+            if shared / (len(x) + len(y) - shared) >= least:
+                tried += 1
+                for common in (known, known[:0]):
+                    a, b = (LK.prefix(s, least, common, (common % 7).astype(np.int64)) for s in (x, y))
+                    assert len(np.intersect1d(a, b))
+    assert tried > 1000
+
+
 # 8. neighbours
 
 
